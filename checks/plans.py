@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from checks.contracts import DERIVED_SQL
 from checks.inputs import derived
 from checks.registry import query
+from concordat.operators.contract import update_errors
 from concordat.plans.access_update import access_update_plan
 from concordat.plans.provision import find_workspaces, publish_verdicts
-from concordat.plans.reverse_provision import derived_contracts, reverse_provision_plan
+from concordat.plans.reverse_provision import contract_problems, reverse_provision_plan
 
 
 @query(
@@ -97,6 +100,7 @@ _JSON = """concat('{"name":"', name, '","dataType":"', data_type, '","dataLength
     f"""AS_WITH {DERIVED_SQL},
       failing AS (SELECT DISTINCT table_name FROM derived_columns WHERE problem IS NOT NULL),
       usable AS (SELECT * FROM {{update_requests}} WHERE table_name NOT IN (SELECT table_name FROM failing)
+                   AND table_name IN (SELECT table_name FROM {{columns_inv}})
                    AND NOT (upper(option) = 'SCHEMA_AND_DETAILS' AND is_view)),
       items AS (SELECT DISTINCT table_name, pos, name, {_JSON} AS json FROM derived_columns
                 WHERE table_name IN (SELECT table_name FROM usable)),
@@ -120,6 +124,19 @@ def update_map(spark, sf_dir):
     )
 
 
+@query(
+    "k13_update_errors",
+    """SELECT table_name, error FROM (
+         SELECT table_name, CASE WHEN table_name NOT IN (SELECT table_name FROM {columns_inv}) THEN 'TABLE_NOT_FOUND'
+                WHEN upper(option) = 'SCHEMA_AND_DETAILS' AND is_view THEN 'DETAILS_OF_A_VIEW' END AS error
+         FROM {update_requests}) WHERE error IS NOT NULL""",
+)
+def failed_updates(spark, sf_dir):
+    return update_errors(
+        derived(spark, sf_dir, "update_requests"), derived(spark, sf_dir, "columns_inv")
+    ).select("table_name", "error")
+
+
 @query(
     "a2_contract_problems",
     f"""AS_WITH {DERIVED_SQL},
@@ -129,10 +146,8 @@ def update_map(spark, sf_dir):
              CAST(sum(times) AS BIGINT) AS problem_count
       FROM counted GROUP BY table_name""",
 )
-def contract_problems(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    _, problems = derived_contracts(
+def gathered_contract_problems(spark, sf_dir):
+    problems = contract_problems(
         derived(spark, sf_dir, "columns_inv"), derived(spark, sf_dir, "table_constraints")
     )
     return problems.select(

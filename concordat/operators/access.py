@@ -52,24 +52,36 @@ def revoke_set(
     )
 
 
-def with_usage(grants: DataFrame) -> DataFrame:
-    """Each grant on a view with the usage grants on its catalog and schema, every row once."""
+def usage_rows(privilege: Column) -> Column:
+    """A grant on a view as an array: itself and the usage grants on its catalog and schema."""
     view = F.col("securable")
-    catalog = F.substring_index(view, ".", 1)
-    schema = F.substring_index(view, ".", 2)
-    rows = F.array(
-        record(object_type=F.lit("TABLE"), object_name=view, privilege=F.col("privilege")),
-        record(object_type=F.lit("CATALOG"), object_name=catalog, privilege=F.lit(USE_CATALOG)),
-        record(object_type=F.lit("SCHEMA"), object_name=schema, privilege=F.lit(USE_SCHEMA)),
+
+    def grant(object_type: str, name: Column, given: Column) -> Column:
+        return record(
+            object_type=F.lit(object_type), object_name=name, privilege=given, action=F.lit("GRANT")
+        )
+
+    return F.array(
+        grant("TABLE", view, privilege),
+        grant("CATALOG", F.substring_index(view, ".", 1), F.lit(USE_CATALOG)),
+        grant("SCHEMA", F.substring_index(view, ".", 2), F.lit(USE_SCHEMA)),
     )
+
+
+def plan_rows(df: DataFrame, rows: Column) -> DataFrame:
+    """The plan rows in an array column beside ``principal``, each once."""
     return (
-        grants.select("principal", F.explode(rows).alias("g"))
-        .select("g.object_type", "g.object_name", "principal", "g.privilege")
+        df.select("principal", F.explode(rows).alias("r"))
+        .select("r.object_type", "r.object_name", "principal", "r.privilege", "r.action")
         .distinct()
-        .withColumn("action", F.lit("GRANT"))
     )
 
 
+def with_usage(grants: DataFrame) -> DataFrame:
+    """Each grant on a view with the usage grants on its catalog and schema, every row once."""
+    return plan_rows(grants, usage_rows(F.col("privilege")))
+
+
 def grant_set(
     desired: DataFrame, current_grants: DataFrame | None = None, mode: str = "all"
 ) -> DataFrame:

@@ -10,7 +10,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.functions.names import canonical_member, col, is_empty, template_base_id
+from concordat.functions.names import canonical_member, col, template_base_id
+from concordat.operators.joins import keyed_join
 
 # Component kinds and the fields each of them must have.
 BASE_FIELDS = ["id", "name", "description", "useCaseTemplateId", "infrastructureTemplateId"]
@@ -174,7 +175,7 @@ def dependency_edges(components: DataFrame) -> DataFrame:
 def dangling_dependencies(components: DataFrame) -> DataFrame:
     """Edges to ids that no component has."""
     known = components.select(F.col("id").alias("depends_on")).distinct()
-    return dependency_edges(components).join(known, ["depends_on"], "left_anti")
+    return keyed_join(dependency_edges(components), known, ["depends_on"], "left_anti")
 
 
 def tagged_columns(contract: DataFrame, tag: str) -> DataFrame:

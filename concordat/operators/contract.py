@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.functions.names import col, is_empty, quote_identifier
+from concordat.functions.names import col, is_empty, quote_identifier, record
 from concordat.functions.types import STRING_LENGTH, contract_type, is_contract_type
 from concordat.operators.joins import keyed_join
 from concordat.operators.problems import split_lists
@@ -120,60 +120,70 @@ def _column_json() -> Column:
 
 
 def update_map(
-    columns: DataFrame,
+    derived: DataFrame,
     requests: DataFrame,
     form_prefix: str,
     per_row: int = 1000,
-    salts: int = 1,
 ) -> DataFrame:
     """Descriptor updates (``table_name``, ``path``, ``part``, ``value_json``).
 
-    ``requests`` has one row per table: ``table_name``, ``catalog``, ``schema``,
-    ``table``, ``option`` and ``is_view``.  The derived schema goes under two
-    paths; the table details under six more when the option asks for them.
-    ``form_prefix`` is the root of the form parameters in the caller's portal.
-    A schema of more than ``per_row`` columns comes in several parts, each a list
-    in column order.  Views asked for details are left out (see ``update_errors``).
+    ``derived`` are the rows of ``derive_contract``; a table with a problem in any
+    of its columns gets no update.  ``requests`` has one row per table:
+    ``table_name``, ``catalog``, ``schema``, ``table``, ``option`` and ``is_view``.
+    The derived schema goes under two paths; the table details under six more
+    when the option asks for them.  ``form_prefix`` is the root of the form
+    parameters in the caller's portal.  A schema of more than ``per_row`` columns
+    comes in several parts, each a list in column order.  Views asked for details
+    are left out (see ``update_errors``).
     """
-    usable = requests.where(_update_error().isNull())
-    wanted = usable.select("table_name")
-    item = F.struct(F.col("pos"), F.col("name"), _column_json().alias("json"))
-    listed = keyed_join(columns, wanted, ["table_name"], "left_semi", salts).select(
-        "table_name", item.alias("item")
+    item = F.struct(
+        F.col("pos"), F.col("name"), _column_json().alias("json"), F.col("problem")
     )
-    schema_paths = F.array(
-        F.lit(SCHEMA_PATH), F.lit(f"{form_prefix}.schemaDefinition.schemaColumns")
+    lists = split_lists(
+        derived.select("table_name", item.alias("item")),
+        ["table_name"],
+        "item",
+        per_row,
+        drop_units_with=F.col("item")["problem"].isNotNull(),
     )
-    schema_rows = split_lists(listed, ["table_name"], "item", per_row).select(
-        "table_name",
-        F.explode(schema_paths).alias("path"),
-        "part",
-        F.concat(
-            F.lit("["),
-            F.array_join(F.transform("entries", lambda e: e["item"]["json"]), ","),
-            F.lit("]"),
-        ).alias("value_json"),
+    schema_json = F.concat(
+        F.lit("["),
+        F.array_join(F.transform("entries", lambda e: e["item"]["json"]), ","),
+        F.lit("]"),
     )
-    details = [
-        F.struct(F.lit(f"{prefix}.{key}").alias("path"), F.col(source).alias("value"))
-        for prefix in (DETAILS_PREFIX, form_prefix)
-        for key, source in (
-            ("catalogName", "catalog"),
-            ("schemaName", "schema"),
-            ("tableName", "table"),
-        )
-    ]
-    detail_rows = (
-        usable.where(F.upper("option") == WITH_DETAILS)
-        .select("table_name", F.explode(F.array(*details)).alias("d"))
-        .select(
-            "table_name",
-            F.col("d.path").alias("path"),
-            F.lit(0).cast("bigint").alias("part"),
-            _json_text(F.col("d.value")).alias("value_json"),
+    listed = keyed_join(
+        lists.select("table_name", "part", schema_json.alias("schema_json")),
+        requests.where(_update_error().isNull()),
+        ["table_name"],
+        "inner",
+    )
+
+    def update(path: str, value: Column) -> Column:
+        return record(path=F.lit(path), value_json=value)
+
+    schema_updates = F.array(
+        update(SCHEMA_PATH, F.col("schema_json")),
+        update(f"{form_prefix}.schemaDefinition.schemaColumns", F.col("schema_json")),
+    )
+    details = F.array(
+        *[
+            update(f"{prefix}.{key}", _json_text(F.col(source)))
+            for prefix in (DETAILS_PREFIX, form_prefix)
+            for key, source in (
+                ("catalogName", "catalog"),
+                ("schemaName", "schema"),
+                ("tableName", "table"),
+            )
+        ]
+    )
+    # The details come once, whatever the number of parts of the schema.
+    with_details = (F.upper("option") == WITH_DETAILS) & (F.col("part") == 0)
+    updates = F.when(with_details, F.concat(schema_updates, details)).otherwise(schema_updates)
+    return (
+        listed.select("table_name", "part", F.explode(updates).alias("u")).select(
+            "table_name", "u.path", "part", "u.value_json"
         )
     )
-    return schema_rows.unionByName(detail_rows)
 
 
 def _json_text(value: Column) -> Column:
@@ -188,9 +198,12 @@ def _update_error() -> Column:
     )
 
 
-def update_errors(requests: DataFrame) -> DataFrame:
-    """Requests for the details of a view, which only offer their schema."""
-    return requests.withColumn("error", _update_error()).where(F.col("error").isNotNull())
+def update_errors(requests: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Requests for tables that do not exist, and for the details of views."""
+    known = inventory.select("table_name").distinct().withColumn("__known", F.lit(True))
+    checked = keyed_join(requests, known, ["table_name"], "left", unique_facts=True)
+    error = F.when(F.col("__known").isNull(), "TABLE_NOT_FOUND").otherwise(_update_error())
+    return checked.withColumn("error", error).where(F.col("error").isNotNull()).drop("__known")
 
 
 def as_problem(rows: DataFrame, unit: Sequence[str], message: str | Column) -> DataFrame:

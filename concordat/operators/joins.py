@@ -1,10 +1,15 @@
 """Joins of a large table against a table with one row per key.
 
 No operator hints a broadcast: the optimiser and adaptive execution broadcast a
-side only when its measured size is under ``spark.sql.autoBroadcastJoinThreshold``
-and fall back to a shuffle join beyond it.  In a shuffle join adaptive execution
-splits the partitions of hot keys; ``salts`` spreads them explicitly where
-adaptive execution is off or its threshold is too coarse.
+side only when its size is under ``spark.sql.autoBroadcastJoinThreshold`` and
+shuffle both sides beyond it.
+
+In a shuffle join one key may hold a large part of the fact rows.  Adaptive
+execution splits such a partition, but only where both sides come straight from a
+shuffle made for this join.  A directory that was just aggregated by the join key
+is not: it would be used as it lies, and the hot partition would stay whole.  The
+join therefore also compares a hash of the key.  That costs one more shuffle of
+the directory, one row per key, and lets every hot fact partition be split.
 """
 
 from __future__ import annotations
@@ -16,36 +21,42 @@ from pyspark.sql import functions as F
 
 from concordat.functions.names import col
 
+_HASH = "__key_hash"
 _SALT = "__salt"
 
 
-def _salted(facts: DataFrame, directory: DataFrame, on: Sequence[str], salts: int):
-    # A hash of the row keeps the salt the same when a lost task is run again.
-    spread = [c for c, t in facts.dtypes if c not in on and not t.startswith("map")]
-    facts = facts.withColumn(_SALT, F.pmod(F.xxhash64(*(spread or on)), F.lit(salts)))
-    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    directory = directory.withColumn(_SALT, every_salt.cast("bigint"))
-    return facts, directory
-
-
 def keyed_join(
     facts: DataFrame,
     directory: DataFrame,
     on: Sequence[str],
     how: str = "left",
     salts: int = 1,
+    unique_facts: bool = False,
 ) -> DataFrame:
     """Join ``facts`` with ``directory``, which has at most one row per key.
 
     ``how`` keeps the fact side whole or filters it: ``inner``, ``left``,
-    ``left_semi`` or ``left_anti``.  With ``salts`` above 1 every directory row
-    is repeated that many times and the rows of one key go to as many partitions.
+    ``left_semi`` or ``left_anti``.  ``unique_facts`` says that the facts have one
+    row per key as well, so that no key can be hot and both sides may be used as
+    they lie.  ``salts`` above 1 spreads the rows of each key over so many
+    partitions without adaptive execution, repeating every directory row as often.
     """
     on = list(on)
-    if salts <= 1:
+    if unique_facts:
         return facts.join(directory, on, how)
-    facts, directory = _salted(facts, directory, on, salts)
-    return facts.join(directory, [*on, _SALT], how).drop(_SALT)
+    if salts > 1:
+        # A hash of the row keeps the salt the same when a lost task is run again.
+        spread = [c for c, t in facts.dtypes if c not in on and not t.startswith("map")]
+        salt = F.pmod(F.xxhash64(*(spread or on)), F.lit(salts))
+        every_salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+        salted = facts.withColumn(_SALT, salt)
+        return salted.join(directory.withColumn(_SALT, every_salt), [*on, _SALT], how).drop(_SALT)
+    key_hash = F.xxhash64(*on)
+    return (
+        facts.withColumn(_HASH, key_hash)
+        .join(directory.withColumn(_HASH, key_hash), [*on, _HASH], how)
+        .drop(_HASH)
+    )
 
 
 def one_row_per_key(

@@ -108,6 +108,8 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     aggregate only sees distinct values.  The other form estimates the distinct
     values in a single pass.  Decimals are compared as text.
     """
+    if not exact:
+        return _estimated_profile(df)
     simple = [(f.name, _lane(f.dataType)) for f in df.schema.fields if _lane(f.dataType)]
 
     def cell(name: str, lane: str) -> Column:
@@ -125,23 +127,13 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
         for k in _LANES
         for f, label in ((F.min, "min"), (F.max, "max"))
     ]
-    if exact:
-        values = cells.groupBy("column_name", *_LANES).agg(F.count(F.lit(1)).alias("n"))
-        grouped = values.groupBy("column_name").agg(
-            F.sum("n").alias("rows"),
-            F.sum(F.when(is_null, F.col("n")).otherwise(0)).alias("nulls"),
-            F.count(F.when(~is_null, F.lit(1))).alias("distinct_values"),
-            *spread,
-        )
-    else:
-        grouped = cells.groupBy("column_name").agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.count_if(is_null).alias("nulls"),
-            F.approx_count_distinct(
-                F.coalesce(*[F.col(k).cast("string") for k in _LANES])
-            ).alias("distinct_values"),
-            *spread,
-        )
+    values = cells.groupBy("column_name", *_LANES).agg(F.count(F.lit(1)).alias("n"))
+    grouped = values.groupBy("column_name").agg(
+        F.sum("n").alias("rows"),
+        F.sum(F.when(is_null, F.col("n")).otherwise(0)).alias("nulls"),
+        F.count(F.when(~is_null, F.lit(1))).alias("distinct_values"),
+        *spread,
+    )
 
     def shown(label: str) -> Column:
         return F.coalesce(*[F.col(f"{label}_{k}").cast("string") for k in _LANES])
@@ -152,6 +144,27 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
+def _estimated_profile(df: DataFrame) -> DataFrame:
+    """The profile in one global aggregate, with estimated numbers of distinct values."""
+    names = [f.name for f in df.schema.fields if _lane(f.dataType)]
+    aggregates = [F.count(F.lit(1)).alias("rows")]
+    for i, name in enumerate(names):
+        value = F.col(quote_identifier(name))
+        aggregates.append(
+            F.struct(
+                F.lit(name).alias("column_name"),
+                F.count_if(value.isNull()).alias("nulls"),
+                F.approx_count_distinct(value).alias("distinct_values"),
+                F.min(value).cast("string").alias("min_value"),
+                F.max(value).cast("string").alias("max_value"),
+            ).alias(f"c{i}")
+        )
+    lines = F.array(*[F.col(f"c{i}") for i in range(len(names))])
+    return df.agg(*aggregates).select("rows", F.explode(lines).alias("c")).select(
+        "c.column_name", "rows", "c.nulls", "c.distinct_values", "c.min_value", "c.max_value"
+    )
+
+
 def freshness(df: DataFrame, ts: str, as_of: str | Column, limit: str) -> DataFrame:
     """Newest timestamp of a table and whether it is within ``limit`` of ``as_of``."""
     now = F.lit(as_of).cast("timestamp_ntz") if isinstance(as_of, str) else as_of

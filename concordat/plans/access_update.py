@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.functions.names import record
+from concordat.functions.names import is_empty, record
 from concordat.functions.principals import group_reference
-from concordat.operators.access import (
-    DEVELOPMENT,
-    gate_verdicts,
-    grant_set,
-    passing_only,
-    revoke_set,
-)
+from concordat.operators.access import DEVELOPMENT, READ, plan_rows, usage_rows
 from concordat.operators.joins import keyed_join
 from concordat.operators.principals import distinct_references, map_to_names
 
@@ -40,6 +34,28 @@ def mapped_requests(
     return keyed_join(uses, mapping, ["ref"], "left", salts)
 
 
+# What is known of a view and a principal, as bits of one number.
+_WANTED, _ENTITLED, _HELD, _BROKEN = 1, 2, 4, 8
+
+
+def _has(bit: int) -> Column:
+    return F.col("claims").bitwiseAND(F.lit(bit)) != 0
+
+
+def _claims(mapped: DataFrame, current: DataFrame) -> DataFrame:
+    """One row per view and principal with everything claimed of them."""
+    from_references = (
+        F.when(F.col("error").isNotNull(), F.lit(_BROKEN))
+        .when(F.col("role") == "access", F.lit(_WANTED))
+        .otherwise(F.lit(_ENTITLED))
+    )
+    from_grants = F.when(is_empty("principal"), F.lit(_BROKEN)).otherwise(F.lit(_HELD))
+    rows = mapped.select(
+        "securable", F.col("mapped").alias("principal"), from_references.alias("claims")
+    ).unionByName(current.select("securable", "principal", from_grants.alias("claims")))
+    return rows.groupBy("securable", "principal").agg(F.bit_or("claims").alias("claims"))
+
+
 def access_update_plan(
     requests: DataFrame,
     securables: DataFrame,
@@ -50,35 +66,31 @@ def access_update_plan(
 ) -> DataFrame:
     """Plan rows (``object_type``, ``object_name``, ``principal``, ``privilege``, ``action``).
 
-    ``requests`` has ``securable`` and ``ref``; ``securables`` has owner and
-    development group as references.  A view with any reference that cannot be
-    mapped, or any current grant without principal, is left as it is.
+    ``requests`` has ``securable`` and ``ref``; ``securables`` has one row per view
+    with owner and development group as references.  A view with any reference
+    that cannot be mapped, or any current grant without principal, is left as it
+    is, and so is a view that ``securables`` does not list.
+
+    References and grants meet in one aggregate by view and principal; what blocks
+    a view is an aggregate of that, and comes back to the pairs in one join.
     """
-    mapped = mapped_requests(requests, securables, groups, salts)
-    verdicts = gate_verdicts(mapped, current)
-    usable = passing_only(mapped, verdicts, salts)
-    desired = usable.where(F.col("role") == "access").select(
-        "securable", F.col("mapped").alias("principal")
-    )
-    named = (
-        usable.where(F.col("role") != "access")
-        .groupBy("securable")
-        .agg(
-            F.max(F.when(F.col("role") == "owner", F.col("mapped"))).alias("owner"),
-            F.max(F.when(F.col("role") == "dev_group", F.col("mapped"))).alias("dev_group"),
-        )
+    pairs = _claims(mapped_requests(requests, securables, groups, salts), current)
+    blocked = pairs.groupBy("securable").agg(F.max(_has(_BROKEN)).alias("blocked"))
+    open_views = keyed_join(
+        blocked, securables.select("securable", "environment"), ["securable"], "inner", unique_facts=True
+    ).where(~F.col("blocked"))
+    in_development = F.lower("environment") == development.lower()
+    judged = keyed_join(pairs, open_views, ["securable"], "inner", salts)
+    keeps = _has(_WANTED) | (_has(_ENTITLED) & in_development)
+    revoke = record(
+        object_type=F.lit("TABLE"),
+        object_name=F.col("securable"),
+        privilege=F.lit(READ),
+        action=F.lit("REVOKE"),
     )
-    environments = securables.select("securable", "environment")
-    revokes = revoke_set(
-        keyed_join(current, named.select("securable"), ["securable"], "left_semi", salts),
-        desired,
-        named.join(environments, ["securable"]),
-        development,
-    ).select(
-        F.lit("TABLE").alias("object_type"),
-        F.col("securable").alias("object_name"),
-        "principal",
-        "privilege",
-        "action",
+    none = F.filter(F.array(revoke), lambda row: F.lit(False))
+    changes = F.concat(
+        F.when(_has(_HELD) & ~keeps, F.array(revoke)).otherwise(none),
+        F.when(_has(_WANTED), usage_rows(F.lit(READ))).otherwise(none),
     )
-    return revokes.unionByName(grant_set(desired))
+    return plan_rows(judged, changes)

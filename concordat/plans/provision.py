@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from concordat.functions.names import WORKSPACE_URL, workspace_reference
 from concordat.operators.access import DEVELOPMENT
-from concordat.operators.contract import duplicate_columns, missing_columns
 from concordat.operators.existence import table_exists
 from concordat.operators.joins import keyed_join
 
@@ -32,6 +31,28 @@ def find_workspaces(
     )
 
 
+def contract_findings(contract: DataFrame, inventory: DataFrame, salts: int = 1) -> DataFrame:
+    """Per view: the contract columns its source lacks, and whether any name comes twice.
+
+    One pass over the contract; names are compared as data, with case.
+    """
+    present = (
+        inventory.select(
+            F.col("table_name").alias("source_table"), F.col("column_name").alias("name")
+        )
+        .distinct()
+        .withColumn("__present", F.lit(True))
+    )
+    named = keyed_join(contract, present, ["source_table", "name"], "left", salts)
+    per_name = named.groupBy("target_view", "name").agg(
+        F.count(F.lit(1)).alias("times"),
+        F.count_if(F.col("__present").isNull()).alias("missing"),
+    )
+    return per_name.groupBy("target_view").agg(
+        F.sum("missing").alias("missing_columns"), F.max(F.col("times") > 1).alias("repeated")
+    )
+
+
 def publish_verdicts(
     publications: DataFrame,
     contract: DataFrame,
@@ -42,30 +63,18 @@ def publish_verdicts(
 ) -> DataFrame:
     """Verdict and reason per publication.
 
-    ``publications`` has ``target_view``, ``source_table``, ``environment``,
-    ``workspace_known``, ``metastore_attached`` and ``is_managed``; ``contract``
-    has ``target_view``, ``source_table`` and ``name``.  Column types are not
-    compared.  Duplicate contract columns are rejected because no view can have
-    them; ``reject_duplicates=False`` leaves that to the view's creation.
+    ``publications`` has one row per ``target_view`` with ``source_table``,
+    ``environment``, ``workspace_known``, ``metastore_attached`` and
+    ``is_managed``; ``contract`` has ``target_view``, ``source_table`` and
+    ``name``.  Column types are not compared.  Duplicate contract columns are
+    rejected because no view can have them; ``reject_duplicates=False`` leaves
+    that to the view's creation.
     """
     tables = inventory.select(F.col("table_name").alias("source_table"))
     checked = table_exists(publications, tables, "source_table", salts)
-    missing = (
-        missing_columns(contract, inventory, "source_table", "name", salts)
-        .groupBy("target_view")
-        .agg(F.count(F.lit(1)).alias("missing_columns"))
-    )
-    checked = keyed_join(checked, missing, ["target_view"], "left", salts)
-    repeated = F.lit(False)
-    if reject_duplicates:
-        duplicates = (
-            duplicate_columns(contract, "target_view")
-            .select("target_view")
-            .distinct()
-            .withColumn("__repeated", F.lit(True))
-        )
-        checked = keyed_join(checked, duplicates, ["target_view"], "left", salts)
-        repeated = F.coalesce("__repeated", F.lit(False))
+    findings = contract_findings(contract, inventory, salts)
+    checked = keyed_join(checked, findings, ["target_view"], "left", unique_facts=True)
+    repeated = F.coalesce("repeated", F.lit(False)) & F.lit(reject_duplicates)
     missing_count = F.coalesce("missing_columns", F.lit(0))
     no_metastore = ~F.coalesce("metastore_attached", F.lit(False))
     in_development = F.lower("environment") == development.lower()

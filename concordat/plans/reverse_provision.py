@@ -10,20 +10,18 @@ from concordat.operators.contract import (
     mark_primary_key,
     update_map,
 )
-from concordat.operators.problems import gather_problems, split_by_problems
+from concordat.operators.joins import keyed_join
+from concordat.operators.problems import gather_problems
 
 
-def derived_contracts(
+def contract_problems(
     inventory: DataFrame, constraints: DataFrame, salts: int = 1
-) -> tuple[DataFrame, DataFrame]:
-    """Contract columns of the tables without any problem, and the problems of the others.
-
-    One bad column fails its whole table, with every problem listed.
-    """
+) -> DataFrame:
+    """Every problem of the tables that have any; one bad column fails its whole table."""
     derived = derive_contract(mark_primary_key(inventory, constraints, salts))
-    problems = as_problem(derived.where("problem IS NOT NULL"), ["table_name"], "problem")
-    good, _ = split_by_problems(derived, problems, ["table_name"], salts)
-    return good.drop("problem"), gather_problems(problems, ["table_name"])
+    return gather_problems(
+        as_problem(derived.where("problem IS NOT NULL"), ["table_name"], "problem"), ["table_name"]
+    )
 
 
 def reverse_provision_plan(
@@ -34,6 +32,7 @@ def reverse_provision_plan(
     salts: int = 1,
 ) -> DataFrame:
     """Descriptor updates of every requested table whose columns all have a contract type."""
-    columns, problems = derived_contracts(inventory, constraints, salts)
-    usable, _ = split_by_problems(requests, problems, ["table_name"], salts)
-    return update_map(columns, usable, form_prefix, salts=salts)
+    wanted = requests.select("table_name").distinct()
+    relevant = keyed_join(inventory, wanted, ["table_name"], "left_semi", salts)
+    derived = derive_contract(mark_primary_key(relevant, constraints, salts))
+    return update_map(derived, requests, form_prefix)
