@@ -30,6 +30,11 @@ def mapped_requests(
             securables.select("securable", F.explode(roles).alias("r")).select("securable", "r.*")
         )
     )
+    # A missing reference is one that cannot be mapped.  The joins imply the filter;
+    # stated here it is the same in every branch, so the uses are shuffled once.
+    uses = uses.withColumn("ref", F.coalesce("ref", F.lit(""))).where(
+        F.col("securable").isNotNull()
+    )
     mapping = map_to_names(distinct_references(uses), groups, salts)
     return keyed_join(uses, mapping, ["ref"], "left", salts)
 
