@@ -93,6 +93,12 @@ def _split_template(template):
             yield True, field
 
 
+def _parsed(spark, sf_dir):
+    return parse_descriptors(
+        _descriptors(spark, sf_dir), partitions=int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+
+
 @query(
     "s6_parsed_descriptors",
     """SELECT c_custkey, CASE WHEN c_custkey % 13 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 7 <> 0
@@ -109,7 +115,7 @@ def _split_template(template):
        FROM customer""",
 )
 def parsed_descriptors(spark, sf_dir):
-    parsed = parse_descriptors(_descriptors(spark, sf_dir))
+    parsed = _parsed(spark, sf_dir)
     contract = F.transform(
         F.get(F.col("product.components"), F.lit(0))["dataContract"]["schema"],
         lambda column: F.concat(column["name"], F.lit(" "), column["dataType"]),
@@ -135,7 +141,7 @@ def parsed_descriptors(spark, sf_dir):
 )
 def components_to_provision(spark, sf_dir):
     """The component each readable descriptor asks for."""
-    parsed = parse_descriptors(_descriptors(spark, sf_dir)).where("product IS NOT NULL")
+    parsed = _parsed(spark, sf_dir).where("product IS NOT NULL")
     nested = parsed.select("product.id", "product.components", "component_id")
     wanted = nested.withColumn(
         "components", F.filter("components", lambda one: one["id"] == F.col("component_id"))

@@ -103,19 +103,22 @@ def derive_contract(marked: DataFrame, strict_decimals: bool = False) -> DataFra
     )
 
 
-def _column_json() -> Column:
+# Contract columns in a descriptor: field of the descriptor, column of the derived rows.
+_JSON_FIELDS = {
+    "name": "name",
+    "dataType": "data_type",
+    "dataLength": "data_length",
+    "constraint": "constraint",
+    "precision": "precision",
+    "scale": "scale",
+    "description": "description",
+}
+
+
+def _column_json(item: Column) -> Column:
+    fields = {key: item[source] for key, source in _JSON_FIELDS.items()}
     return F.to_json(
-        F.struct(
-            "name",
-            F.col("data_type").alias("dataType"),
-            F.col("data_length").alias("dataLength"),
-            "constraint",
-            "precision",
-            "scale",
-            "description",
-            F.lit(None).cast("string").alias("tags"),
-        ),
-        {"ignoreNullFields": "false"},
+        record(**fields, tags=F.lit(None).cast("string")), {"ignoreNullFields": "false"}
     )
 
 
@@ -136,9 +139,7 @@ def update_map(
     comes in several parts, each a list in column order.  Views asked for details
     are left out (see ``update_errors``).
     """
-    item = F.struct(
-        F.col("pos"), F.col("name"), _column_json().alias("json"), F.col("problem")
-    )
+    item = F.struct("pos", *_JSON_FIELDS.values(), "problem")
     lists = split_lists(
         derived.select("table_name", item.alias("item")),
         ["table_name"],
@@ -146,10 +147,16 @@ def update_map(
         per_row,
         drop_units_with=F.col("item")["problem"].isNotNull(),
     )
+    in_order = F.array_sort(
+        F.transform(
+            "entries",
+            lambda e: record(
+                pos=e["item"]["pos"], name=e["item"]["name"], json=_column_json(e["item"])
+            ),
+        )
+    )
     schema_json = F.concat(
-        F.lit("["),
-        F.array_join(F.transform("entries", lambda e: e["item"]["json"]), ","),
-        F.lit("]"),
+        F.lit("["), F.array_join(F.transform(in_order, lambda e: e["json"]), ","), F.lit("]")
     )
     listed = keyed_join(
         lists.select("table_name", "part", schema_json.alias("schema_json")),

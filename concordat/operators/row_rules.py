@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,34 @@ def _unfit(value: Column, spark_type: str) -> Column:
     return value.isNotNull() & value.try_cast(spark_type).isNull()
 
 
-def rule_conditions(rules: Sequence[ColumnRule]) -> list[tuple[str, str, Column]]:
-    """(column, rule, condition that a value breaks it) for everything the contract declares."""
+# A decimal of up to this many digits has an exact shortest form as a double.
+_EXACT_DIGITS = 15
+
+
+def _unfit_decimal(value: Column, dtype: T.DataType | None, precision: int, scale: int) -> Column:
+    """The value rounds to more digits before the point than the declaration has.
+
+    Numbers are compared with the smallest magnitude that rounds up to too many
+    digits, which costs far less than a cast that fails; NaN compares as larger.
+    """
+    plain = isinstance(
+        dtype, (T.DoubleType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    )
+    if not plain or precision + 1 > _EXACT_DIGITS:
+        return _unfit(value, f"decimal({precision},{scale})")
+    too_large = Decimal(10) ** (precision - scale) - Decimal(5) / Decimal(10) ** (scale + 1)
+    return value.isNotNull() & (F.abs(value.cast("double")) >= F.lit(float(too_large)))
+
+
+def rule_conditions(
+    rules: Sequence[ColumnRule], schema: T.StructType | None = None
+) -> list[tuple[str, str, Column]]:
+    """(column, rule, condition that a value breaks it) for everything the contract declares.
+
+    With the schema of the data at hand cheaper conditions are chosen where the
+    type of the column allows.
+    """
+    types = {f.name.lower(): f.dataType for f in schema.fields} if schema else {}
     conditions = []
     for rule in rules:
         value = F.col(quote_identifier(rule.name))
@@ -40,8 +67,9 @@ def rule_conditions(rules: Sequence[ColumnRule]) -> list[tuple[str, str, Column]
             too_long = F.length(value) > rule.data_length
             conditions.append((rule.name, "MAX_LENGTH", F.coalesce(too_long, F.lit(False))))
         if rule.precision is not None and rule.scale is not None:
-            decimal = f"decimal({rule.precision},{rule.scale})"
-            conditions.append((rule.name, "DECIMAL_FIT", _unfit(value, decimal)))
+            dtype = types.get(rule.name.lower())
+            unfit = _unfit_decimal(value, dtype, rule.precision, rule.scale)
+            conditions.append((rule.name, "DECIMAL_FIT", unfit))
         castable = CASTABLE_TYPES.get((rule.data_type or "").upper())
         if castable:
             conditions.append((rule.name, "CASTABLE", _unfit(value, castable)))
@@ -50,7 +78,7 @@ def rule_conditions(rules: Sequence[ColumnRule]) -> list[tuple[str, str, Column]
 
 def count_violations(df: DataFrame, rules: Sequence[ColumnRule]) -> DataFrame:
     """Violations per column and rule in one pass over the columns that have rules."""
-    conditions = rule_conditions(rules)
+    conditions = rule_conditions(rules, df.schema)
     counts = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(c).alias(f"v{i}") for i, (_, _, c) in enumerate(conditions)],
@@ -72,7 +100,7 @@ def count_violations(df: DataFrame, rules: Sequence[ColumnRule]) -> DataFrame:
 
 def violating_rows(df: DataFrame, rules: Sequence[ColumnRule]) -> DataFrame:
     """The rows that break any rule, with the rules they break."""
-    broken = [F.when(c, F.lit(f"{name} {rule}")) for name, rule, c in rule_conditions(rules)]
+    broken = [F.when(c, F.lit(f"{name} {rule}")) for name, rule, c in rule_conditions(rules, df.schema)]
     marked = df.withColumn("violations", F.array_compact(F.array(*broken)))
     return marked.where(F.size("violations") > 0)
 

@@ -77,13 +77,18 @@ def to_json(texts: DataFrame, text: str = "descriptor") -> DataFrame:
     return texts.mapInPandas(convert, schema)
 
 
-def parse_descriptors(texts: DataFrame, text: str = "descriptor") -> DataFrame:
+def parse_descriptors(
+    texts: DataFrame, text: str = "descriptor", partitions: int | None = None
+) -> DataFrame:
     """Typed descriptors: ``product``, ``component_id`` and ``errors``.
 
     ``product`` is null where ``errors`` is not empty.  A ``descriptor_kind``
-    column, when there is one, must name a component descriptor.
+    column, when there is one, must name a component descriptor.  Reading YAML
+    takes far longer than moving it: ``partitions`` spreads texts that come in
+    few partitions over so many tasks.
     """
-    parsed = to_json(texts, text).withColumn("d", F.from_json("document", DESCRIPTOR))
+    spread = texts.repartition(partitions) if partitions else texts
+    parsed = to_json(spread, text).withColumn("d", F.from_json("document", DESCRIPTOR))
     product = F.col("d.dataProduct")
     readable = F.col("parse_error").isNull()
     checks = [F.col("parse_error")]
