@@ -184,11 +184,10 @@ def direct_assignments(assignments: DataFrame, wanted: DataFrame, salts: int = 1
     without case; an assignment is direct when its id contains the resource name.
     """
     key = F.lower("principal_id")
+    direct = F.contains(F.col("assignment_id"), F.col("resource_name")) & ~is_empty("principal_id")
     requested = wanted.select("resource_name", key.alias("__principal")).distinct()
     return keyed_join(
-        assignments.where(F.contains(F.col("assignment_id"), F.col("resource_name"))).withColumn(
-            "__principal", key
-        ),
+        assignments.where(direct).withColumn("__principal", key),
         requested,
         ["resource_name", "__principal"],
         "left_semi",

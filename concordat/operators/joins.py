@@ -67,11 +67,12 @@ def one_row_per_key(
 ) -> DataFrame:
     """The first row per key in the given order, by an aggregate that combines before the shuffle.
 
-    Ties in the order are broken by the values, so the result never depends on
-    the order in which rows arrive.
+    Nulls come last in the order.  Ties are broken by the values, so the result
+    never depends on the order in which rows arrive.
     """
+    ranks = [c for o in order for c in (col(o).isNull(), col(o))]
     ranked = F.struct(
-        *[col(o).alias(f"o{i}") for i, o in enumerate(order)], *[F.col(v) for v in values]
+        *[rank.alias(f"o{i}") for i, rank in enumerate(ranks)], *[F.col(v) for v in values]
     )
     return (
         table.groupBy(*[expr.alias(name) for name, expr in keys.items()])

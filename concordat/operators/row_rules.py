@@ -26,8 +26,18 @@ class ColumnRule:
     scale: int | None = None
 
 
-def _unfit(value: Column, spark_type: str) -> Column:
-    return value.isNotNull() & value.try_cast(spark_type).isNull()
+_WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
+
+# What text must start with to be read as a whole number: a cast that fails costs
+# far more than this test, so text that cannot pass is not cast at all.
+_NUMBER_START = r"^[\x00-\x20\x7f]*[+\-0-9]"
+
+
+def _uncastable(value: Column, dtype: T.DataType | None, spark_type: str) -> Column:
+    unfit = value.try_cast(spark_type).isNull()
+    if isinstance(dtype, T.StringType) and spark_type in _WHOLE_NUMBERS:
+        unfit = ~value.rlike(_NUMBER_START) | unfit
+    return value.isNotNull() & unfit
 
 
 # A decimal of up to this many digits has an exact shortest form as a double.
@@ -44,7 +54,7 @@ def _unfit_decimal(value: Column, dtype: T.DataType | None, precision: int, scal
         dtype, (T.DoubleType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     )
     if not plain or precision + 1 > _EXACT_DIGITS:
-        return _unfit(value, f"decimal({precision},{scale})")
+        return value.isNotNull() & value.try_cast(f"decimal({precision},{scale})").isNull()
     too_large = Decimal(10) ** (precision - scale) - Decimal(5) / Decimal(10) ** (scale + 1)
     return value.isNotNull() & (F.abs(value.cast("double")) >= F.lit(float(too_large)))
 
@@ -61,18 +71,18 @@ def rule_conditions(
     conditions = []
     for rule in rules:
         value = F.col(quote_identifier(rule.name))
+        dtype = types.get(rule.name.lower())
         if rule.constraint in ("NOT_NULL", "PRIMARY_KEY"):
             conditions.append((rule.name, "NOT_NULL", value.isNull()))
         if rule.data_length is not None:
             too_long = F.length(value) > rule.data_length
             conditions.append((rule.name, "MAX_LENGTH", F.coalesce(too_long, F.lit(False))))
         if rule.precision is not None and rule.scale is not None:
-            dtype = types.get(rule.name.lower())
             unfit = _unfit_decimal(value, dtype, rule.precision, rule.scale)
             conditions.append((rule.name, "DECIMAL_FIT", unfit))
         castable = CASTABLE_TYPES.get((rule.data_type or "").upper())
         if castable:
-            conditions.append((rule.name, "CASTABLE", _unfit(value, castable)))
+            conditions.append((rule.name, "CASTABLE", _uncastable(value, dtype, castable)))
     return conditions
 
 

@@ -56,15 +56,24 @@ def fold_status(log: DataFrame) -> DataFrame:
     return finish_fold(log.groupBy("task_id").agg(*fold_aggregates()))
 
 
-def orphan_updates(log: DataFrame, salts: int = 1) -> DataFrame:
-    """Updates that came before their task was created, or whose task never was."""
-    created = (
+def creations(log: DataFrame) -> DataFrame:
+    """When each task was created (``task_id``, ``created_seq``)."""
+    return (
         log.where(F.col("op") == "create")
         .groupBy("task_id")
         .agg(F.min("seq").alias("created_seq"))
     )
-    updates = log.where(F.col("op") == "update")
+
+
+def orphan_updates(
+    log: DataFrame, created: DataFrame | None = None, salts: int = 1
+) -> DataFrame:
+    """Updates that came before their task was created, or whose task never was.
+
+    ``created`` gives the creations where they are known already, as from the
+    versions of a streamed fold; otherwise they are taken from the log.
+    """
+    known = creations(log) if created is None else created
     before = F.col("created_seq").isNull() | (F.col("seq") < F.col("created_seq"))
-    return (
-        keyed_join(updates, created, ["task_id"], "left", salts).where(before).drop("created_seq")
-    )
+    updates = log.where(F.col("op") == "update")
+    return keyed_join(updates, known, ["task_id"], "left", salts).where(before).drop("created_seq")

@@ -7,11 +7,14 @@ import tempfile
 from pyspark.sql import SparkSession
 
 # Runtime re-planning picks broadcast joins from measured sizes and splits the
-# partitions of hot join keys, so no operator carries a broadcast hint.
+# partitions of hot join keys, so no operator carries a broadcast hint.  Where the
+# measured partitions of a directory are small, it also hashes them instead of
+# sorting both sides.
 ADAPTIVE_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -31,7 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` names it.  Only a session without one, as in tests
     on one machine, gets a new temporary folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir"
+    )
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

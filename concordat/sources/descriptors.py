@@ -7,11 +7,6 @@ with errors.
 
 from __future__ import annotations
 
-import datetime
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,46 +30,49 @@ def read_descriptors(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _plain(value):
-    return value.isoformat() if isinstance(value, (datetime.date, datetime.datetime)) else str(value)
+def _batch_reader(text: str):
+    """A function for ``mapInPandas``; it carries all it needs, so workers import nothing of ours."""
 
+    def convert(batches):
+        import datetime
+        import json
 
-def _yaml_to_json(text: str | None) -> tuple[str | None, str | None]:
-    import yaml
+        import pandas as pd
+        import yaml
 
-    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-    try:
-        document = yaml.load(text or "", Loader=loader)
-    except yaml.YAMLError as problem:
-        return None, "unreadable YAML: " + " ".join(str(problem).split())
-    if not isinstance(document, dict):
-        return None, "descriptor is not a mapping"
-    try:
-        return json.dumps(document, default=_plain), None
-    except (TypeError, ValueError) as problem:
-        return None, f"descriptor has no JSON form: {problem}"
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 
+        def plain(value):
+            if isinstance(value, (datetime.date, datetime.datetime)):
+                return value.isoformat()
+            return str(value)
 
-def to_json(texts: DataFrame, text: str = "descriptor") -> DataFrame:
-    """Replaces the YAML column by ``document`` (JSON) and ``parse_error``."""
-    kept = [f for f in texts.schema.fields if f.name != text]
-    schema = T.StructType(
-        [
-            *kept,
-            T.StructField("document", T.StringType()),
-            T.StructField("parse_error", T.StringType()),
-        ]
-    )
+        def read(value):
+            try:
+                document = yaml.load(value or "", Loader=loader)
+                if not isinstance(document, dict):
+                    return None, "descriptor is not a mapping"
+                return json.dumps(document, default=plain), None
+            except yaml.YAMLError as problem:
+                return None, "unreadable YAML: " + " ".join(str(problem).split())
+            except (TypeError, ValueError, RecursionError) as problem:
+                return None, f"descriptor has no JSON form: {problem}"
 
-    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pairs = [_yaml_to_json(value) for value in batch[text]]
+            pairs = [read(value) for value in batch[text]]
             out = batch.drop(columns=[text])
-            out["document"] = pd.Series([p[0] for p in pairs], index=batch.index, dtype=object)
-            out["parse_error"] = pd.Series([p[1] for p in pairs], index=batch.index, dtype=object)
+            for i, name in enumerate(("document", "parse_error")):
+                out[name] = pd.Series([p[i] for p in pairs], index=batch.index, dtype=object)
             yield out
 
-    return texts.mapInPandas(convert, schema)
+    return convert
+
+
+def to_json(texts: DataFrame, text: str = "descriptor") -> DataFrame:
+    """Replaces the YAML column by ``document`` (JSON) and ``parse_error``."""
+    kept = [f for f in texts.schema.fields if f.name != text]
+    added = [T.StructField(name, T.StringType()) for name in ("document", "parse_error")]
+    return texts.mapInPandas(_batch_reader(text), T.StructType(kept + added))
 
 
 def parse_descriptors(
@@ -88,7 +86,12 @@ def parse_descriptors(
     few partitions over so many tasks.
     """
     spread = texts.repartition(partitions) if partitions else texts
-    parsed = to_json(spread, text).withColumn("d", F.from_json("document", DESCRIPTOR))
+    # Generated columns are computed once: a filter on the result would otherwise
+    # repeat the JSON parsing for every field it looks at.
+    kept = [c for c in texts.columns if c != text]
+    parsed = to_json(spread, text).select(
+        *kept, "parse_error", F.explode(F.array(F.from_json("document", DESCRIPTOR))).alias("d")
+    )
     product = F.col("d.dataProduct")
     readable = F.col("parse_error").isNull()
     checks = [F.col("parse_error")]
@@ -110,7 +113,6 @@ def parse_descriptors(
     )
     own = F.array_compact(F.array(*checks))
     errors = F.concat(own, F.coalesce(_component_problems(), F.array().cast("array<string>")))
-    kept = [c for c in texts.columns if c != text]
     return parsed.withColumn("errors", errors).select(
         *kept,
         F.when(F.size("errors") == 0, product).alias("product"),

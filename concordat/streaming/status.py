@@ -36,14 +36,27 @@ def fold_status_stream(
     return writer.trigger(**trigger).start()
 
 
-def latest_status(spark: SparkSession, target: str) -> DataFrame:
-    """Status of every task from the versions written so far."""
+def _latest_versions(spark: SparkSession, target: str) -> DataFrame:
     versions = spark.read.parquet(target)
     fields = [c for c in versions.columns if c not in ("task_id", "version")]
     newest = F.max(F.struct("version", *fields))
-    folded = (
+    return (
         versions.groupBy("task_id")
         .agg(newest.alias("v"))
         .select("task_id", *[F.col("v")[f].alias(f) for f in fields])
     )
-    return finish_fold(folded)
+
+
+def latest_status(spark: SparkSession, target: str) -> DataFrame:
+    """Status of every task from the versions written so far."""
+    return finish_fold(_latest_versions(spark, target))
+
+
+def stream_creations(spark: SparkSession, target: str) -> DataFrame:
+    """When each task was created, from the versions: what ``orphan_updates`` needs beside a log."""
+    return (
+        spark.read.parquet(target)
+        .where(F.col("created_seq").isNotNull())
+        .groupBy("task_id")
+        .agg(F.min("created_seq").alias("created_seq"))
+    )

@@ -58,3 +58,19 @@ def test_freshness(spark):
     assert r.freshness(df, "ts", "2024-01-02 11:00:00", "24 HOURS").first()["is_fresh"] is True
     assert r.freshness(df, "ts", "2024-01-02 13:00:00", "24 HOURS").first()["is_fresh"] is False
     assert r.freshness(df.where("ts IS NULL"), "ts", "2024-01-02 13:00:00", "24 HOURS").first()["is_fresh"] is False
+
+
+def test_cheap_conditions_equal_casts(spark):
+    """Doubles around the bound of a decimal, and texts around the form of a number."""
+    edges = [99999.994, 99999.995, 99999.996, 99999.99, 100000.0, -99999.995, -99999.994, 0.0, float("nan"), float("inf"), None, 1e20]
+    df = spark.createDataFrame([(x,) for x in edges], "x double")
+    for precision, scale in ((7, 2), (5, 0), (3, 3), (15, 4)):
+        plain = f"x IS NOT NULL AND try_cast(x AS decimal({precision},{scale})) IS NULL"
+        got = r.count_violations(df, [ColumnRule("x", precision=precision, scale=scale)]).first()["violations"]
+        assert got == df.where(plain).count(), (precision, scale)
+    texts = ["1", " 1", "1 ", "\t+1\n", "-1", "1.5", ".5", "1e3", "", " ", "x1", "1x", "\x7f3", "99999999999", "\u00a05", None, "--1", "+"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    for name, spark_type in (("INT", "int"), ("BIGINT", "bigint"), ("DOUBLE", "double"), ("BOOLEAN", "boolean")):
+        plain = f"x IS NOT NULL AND try_cast(x AS {spark_type}) IS NULL"
+        got = r.count_violations(df, [ColumnRule("x", name)]).first()["violations"]
+        assert got == df.where(plain).count(), name

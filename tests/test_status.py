@@ -5,7 +5,7 @@ from conftest import rows
 from concordat.operators.status import fold_status, orphan_updates
 from concordat.schemas import STATUS_EVENT
 from concordat.streaming.projection import publish_stream
-from concordat.streaming.status import fold_status_stream, latest_status
+from concordat.streaming.status import fold_status_stream, latest_status, stream_creations
 
 
 def log(spark, *events):
@@ -76,15 +76,17 @@ def test_fold_equals_a_replay(spark):
 def test_stream_equals_batch_over_several_batches_and_runs(spark, tmp_path):
     events = sorted(random_events(), key=lambda e: e[1])
     source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
-    seen = []
+    seen, orphans = [], []
     for i in range(3):
         chunk = events[i * 1000 : (i + 1) * 1000]
         seen += chunk
         log(spark, *chunk).write.mode("append").parquet(source)
         stream = spark.readStream.schema(STATUS_EVENT).option("maxFilesPerTrigger", 2).parquet(source)
         fold_status_stream(stream, target, checkpoint).awaitTermination()
-        expected, _ = replay(seen)
+        expected, orphans = replay(seen)
         assert rows(latest_status(spark, target)) == sorted(expected, key=repr)
+    late = orphan_updates(log(spark, *seen), stream_creations(spark, target))
+    assert rows(late, "task_id", "seq") == sorted(orphans, key=repr)
     versions = {r["version"] for r in spark.read.parquet(target).select("version").distinct().collect()}
     assert len(versions) > 3
 
