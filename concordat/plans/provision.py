@@ -12,19 +12,25 @@ from concordat.operators.joins import keyed_join
 
 
 def find_workspaces(
-    publications: DataFrame, workspaces: DataFrame, url_pattern: str = WORKSPACE_URL, salts: int = 1
+    publications: DataFrame,
+    workspaces: DataFrame,
+    workspace: str = "workspace",
+    url_pattern: str = WORKSPACE_URL,
+    salts: int = 1,
 ) -> DataFrame:
     """Adds ``workspace_known`` and ``is_managed``.
 
     An identifier that is a URL is an unmanaged workspace and always known; a
-    name is managed and known when ``workspaces`` lists it.
+    name is managed and known when ``workspaces`` lists it.  Publishing looks at
+    the workspace of the source, an access update at that of the view: the column
+    ``workspace`` says which.
     """
-    listed = workspaces.select(F.col("name").alias("workspace")).distinct().withColumn(
+    listed = workspaces.select(F.col("name").alias(workspace)).distinct().withColumn(
         "__listed", F.lit(True)
     )
-    managed = workspace_reference("workspace", url_pattern)["is_managed"]
+    managed = workspace_reference(workspace, url_pattern)["is_managed"]
     return (
-        keyed_join(publications, listed, ["workspace"], "left", salts)
+        keyed_join(publications, listed, [workspace], "left", salts)
         .withColumn("is_managed", managed)
         .withColumn("workspace_known", ~managed | F.coalesce("__listed", F.lit(False)))
         .drop("__listed")

@@ -18,6 +18,13 @@ ADAPTIVE_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# For streams with state for many tasks: keeps it on disk instead of in the heap.
+STREAMING_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+}
+
 
 def build_session(name: str = "concordat", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(name)

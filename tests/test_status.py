@@ -1,9 +1,11 @@
 import random
 
+import pytest
 from conftest import rows
 
 from concordat.operators.status import fold_status, orphan_updates
 from concordat.schemas import STATUS_EVENT
+from concordat.session import STREAMING_SETTINGS
 from concordat.streaming.projection import publish_stream
 from concordat.streaming.status import fold_status_stream, latest_status, stream_creations
 
@@ -73,7 +75,9 @@ def test_fold_equals_a_replay(spark):
     assert rows(orphan_updates(df), "task_id", "seq") == sorted(orphans, key=repr)
 
 
-def test_stream_equals_batch_over_several_batches_and_runs(spark, tmp_path):
+@pytest.mark.parametrize("settings", [{}, STREAMING_SETTINGS], ids=["default", "rocksdb"])
+def test_stream_equals_batch_over_several_batches_and_runs(spark, conf, tmp_path, settings):
+    conf(**{k.replace(".", "__"): v for k, v in settings.items()})
     events = sorted(random_events(), key=lambda e: e[1])
     source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
     seen, orphans = [], []
