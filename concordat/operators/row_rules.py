@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,42 +144,35 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
 
     The exact form counts each (column, value) once before anything else, so a
     frequent value shrinks to one row per task ahead of the shuffle and the second
-    aggregate only sees distinct values.  The other form estimates the distinct
-    values in a single pass.  Decimals are compared as text.
+    aggregate only sees distinct values.  Columns of one family of types go
+    together, each family reading only its own columns.  The other form estimates
+    the distinct values in a single pass.  Decimals are compared as text.
     """
     if not exact:
         return _estimated_profile(df)
-    simple = [(f.name, _lane(f.dataType)) for f in df.schema.fields if _lane(f.dataType)]
-
-    def cell(name: str, lane: str) -> Column:
-        value = F.col(quote_identifier(name))
-        lanes = [
-            (value.cast(t) if lane == key else F.lit(None).cast(t)).alias(key)
-            for key, t in _LANES.items()
-        ]
-        return F.struct(F.lit(name).alias("column_name"), *lanes)
-
-    cells = df.select(F.explode(F.array(*[cell(n, lane) for n, lane in simple])).alias("c")).select("c.*")
-    is_null = F.coalesce(*[F.col(k).cast("string") for k in _LANES]).isNull()
-    spread = [
-        f(k).alias(f"{label}_{k}")
-        for k in _LANES
-        for f, label in ((F.min, "min"), (F.max, "max"))
-    ]
-    values = cells.groupBy("column_name", *_LANES).agg(F.count(F.lit(1)).alias("n"))
-    grouped = values.groupBy("column_name").agg(
-        F.sum("n").alias("rows"),
-        F.sum(F.when(is_null, F.col("n")).otherwise(0)).alias("nulls"),
-        F.count(F.when(~is_null, F.lit(1))).alias("distinct_values"),
-        *spread,
+    families: dict[str, list[str]] = {}
+    for field in df.schema.fields:
+        lane = _lane(field.dataType)
+        if lane:
+            families.setdefault(lane, []).append(field.name)
+    if not families:
+        raise ValueError("no column of a simple type")
+    profiles = [_family_profile(df, names, _LANES[lane]) for lane, names in families.items()]
+    return reduce(DataFrame.unionByName, profiles)
+
+
+def _family_profile(df: DataFrame, names: Sequence[str], dtype: str) -> DataFrame:
+    quoted = [F.col(quote_identifier(n)) for n in names]
+    cells = df.select(*[c.cast(dtype).alias(n) for c, n in zip(quoted, names)]).unpivot(
+        [], quoted, "column_name", "value"
     )
-
-    def shown(label: str) -> Column:
-        return F.coalesce(*[F.col(f"{label}_{k}").cast("string") for k in _LANES])
-
-    return grouped.select(
-        "column_name", "rows", "nulls", "distinct_values",
-        shown("min").alias("min_value"), shown("max").alias("max_value"),
+    values = cells.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return values.groupBy("column_name").agg(
+        F.sum("n").alias("rows"),
+        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
+        F.count("value").alias("distinct_values"),
+        F.min("value").cast("string").alias("min_value"),
+        F.max("value").cast("string").alias("max_value"),
     )
 
 
