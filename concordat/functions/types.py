@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from concordat.functions.names import col
 
@@ -54,7 +53,3 @@ def contract_type(platform_type: str | Column) -> Column:
 
 def is_contract_type(declared: str | Column) -> Column:
     return F.upper(col(declared)).isin(CONTRACT_TYPES)
-
-
-def platform_type_name(dtype: T.DataType) -> str:
-    return dtype.simpleString().upper()

@@ -100,10 +100,6 @@ COLUMN_INVENTORY = _struct(
     comment=_S,
 )
 
-PERMISSION_ENTRY = _struct(
-    user_name=_S, group_name=_S, service_principal_name=_S, permission_level=_S
-)
-
 STATUS_EVENT = _struct(
     task_id=_S, seq=T.LongType(), op=_S, status=_S, result=_S, info=_S
 )

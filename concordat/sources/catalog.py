@@ -6,14 +6,12 @@ that follows works on the resulting DataFrame.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from concordat.functions.names import quote_identifier
-from concordat.functions.types import platform_type_name
 from concordat.schemas import COLUMN_INVENTORY
 
 
@@ -26,10 +24,9 @@ def scan_files(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def _declared_type(field: T.StructField) -> str:
+def _type_text(field: T.StructField) -> str:
     """CHAR and VARCHAR are strings with their declaration kept in the metadata."""
-    declared = field.metadata.get("__CHAR_VARCHAR_TYPE_STRING")
-    return declared.upper() if declared else platform_type_name(field.dataType)
+    return field.metadata.get("__CHAR_VARCHAR_TYPE_STRING") or field.dataType.simpleString()
 
 
 def inventory_rows(table: str, schema: T.StructType) -> list[tuple]:
@@ -41,8 +38,8 @@ def inventory_rows(table: str, schema: T.StructType) -> list[tuple]:
                 table,
                 pos,
                 field.name,
-                _declared_type(field),
-                _declared_type(field).lower(),
+                _type_text(field).upper(),
+                _type_text(field),
                 decimal.precision if decimal else None,
                 decimal.scale if decimal else None,
                 field.nullable,
@@ -61,10 +58,6 @@ def column_inventory(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Da
 def database_inventory(spark: SparkSession, database: str) -> DataFrame:
     """The columns of every table and view of a database."""
     names = [t.name for t in spark.catalog.listTables(database) if not t.isTemporary]
-    parts = re.split(r"\.", database)
+    parts = database.split(".")
     tables = {f"{database}.{n}": scan_table(spark, *parts, n) for n in names}
     return column_inventory(spark, tables)
-
-
-def column_names(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields]
