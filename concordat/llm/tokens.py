@@ -31,21 +31,55 @@ _STOP[[44, 46]] = True
 _ENCODERS: dict[str, Encoder] = {}
 
 
-class Encoder:
+class WordCache:
+    """Ids of the words met so far.  Words are byte ranges, told apart by a hash."""
+
+    def __init__(self):
+        self._clear()
+
+    def _clear(self) -> None:
+        self._place: dict[int, int] = {}
+        self._start = np.zeros(1, np.int64)
+        self._ids = np.empty(0, np.uint32)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in turn and how many each has."""
+        raise NotImplementedError
+
+    def _of_ranges(self, joined: bytes, begin: np.ndarray, end: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """Ids of the words in ``joined[begin:end]``, cut into texts at ``bounds``."""
+        if len(self._place) > _WORDS:
+            self._clear()
+        base, raw = hashing.BASES[0], np.frombuffer(joined, np.uint8)
+        key = hashing.of_ranges(hashing.prefix(raw.astype(np.uint64) + np.uint64(1), base), begin, end, base)
+        distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        place = self._place
+        at = np.fromiter((place.get(k, -1) for k in distinct.tolist()), np.int64, len(distinct))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            words = [joined[a:b].decode() for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist())]
+            ids, sizes = self._words(words)
+            at[new] = np.arange(len(place), len(place) + len(new))
+            place.update(zip(distinct[new].tolist(), at[new].tolist()))
+            self._start = np.concatenate([self._start, self._start[-1] + np.cumsum(sizes)])
+            self._ids = np.concatenate([self._ids, ids])
+        word = at[inverse]
+        size = self._start[word + 1] - self._start[word]
+        ids = self._ids[_ranges(self._start[word], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(begin, bounds)]
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+class Encoder(WordCache):
     """Encodes texts with one tokenizer file; one per worker and file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
         size = self._tokenizer.get_vocab_size()
         self._ends = np.array([(self._tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self._clear()
-
-    def _clear(self) -> None:
-        self._place: dict[int, int] = {}
-        self._start = np.zeros(1, np.int64)
-        self._ids = np.empty(0, np.uint32)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -85,8 +119,6 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit numbers."""
-        if len(self._place) > _WORDS:
-            self._clear()
         special = [i for i, t in enumerate(texts) if _SPECIAL in t]
         data = [b"" if _SPECIAL in t else t.encode("utf-8", "replace").lower() for t in texts]
         joined = b"\n".join(data)
@@ -105,24 +137,7 @@ class Encoder:
         start[1:] |= _STOP[raw[1:]] & _LETTER[raw[:-1]] & after[1:]
         stop = ~space & (after | np.append(start[1:], True))
         begin, end = np.flatnonzero(start), np.flatnonzero(stop) + 1
-        base = hashing.BASES[0]
-        key = hashing.of_ranges(hashing.prefix(raw.astype(np.uint64) + np.uint64(1), base), begin, end, base)
-        distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        place = self._place
-        at = np.fromiter((place.get(k, -1) for k in distinct.tolist()), np.int64, len(distinct))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            words = [joined[a:b].decode() for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist())]
-            ids, sizes = self._words(words)
-            at[new] = np.arange(len(place), len(place) + len(new))
-            place.update(zip(distinct[new].tolist(), at[new].tolist()))
-            self._start = np.concatenate([self._start, self._start[-1] + np.cumsum(sizes)])
-            self._ids = np.concatenate([self._ids, ids])
-        word = at[inverse]
-        size = self._start[word + 1] - self._start[word]
-        ids = self._ids[_ranges(self._start[word], size)]
-        ends = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(begin, bounds)]
-        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        return self._of_ranges(joined, begin, end, bounds)
 
 
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
