@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from concordat.session import shared_folder
 
 # Shuffle files of a step are of no use once its table is written.
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -49,7 +50,7 @@ def option(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     """``df`` written below ``folder`` and read back: the step ends here."""
     spark, path = df.sparkSession, f"{folder}/{name}"
-    with option(spark, _DROP_SHUFFLES, "true"):
+    with option(spark, _DROP_SHUFFLES, "true"), option(spark, _BATCH_ROWS, "1000"):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -86,6 +87,19 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+_HOLDERS: dict[str, Callable[[], None]] = {}
+
+
+def holding(owner: str, release: Callable[[], None]) -> None:
+    """Called in a worker that keeps something between tasks: what other owners keep is released.
+
+    Workers outlive the step they were started for, and a pipeline has many.
+    """
+    for other in [o for o in _HOLDERS if o != owner]:
+        _HOLDERS.pop(other)()
+    _HOLDERS[owner] = release
+
+
 def texts(column: pa.Array) -> list[str]:
     """The texts; null counts as empty."""
     return [t or "" for t in column.to_pylist()]

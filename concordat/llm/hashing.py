@@ -12,12 +12,17 @@ _POWERS: dict[tuple[int, bool], np.ndarray] = {}
 def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
     known = _POWERS.get((base, inverse))
     if known is None or len(known) < n:
-        step = np.full(max(n, 1 << 21), _U(pow(base, -1, 1 << 64) if inverse else base))
+        step = np.full(max(n, 1 << 20), _U(pow(base, -1, 1 << 64) if inverse else base))
         step[0] = 1
         known = _POWERS[base, inverse] = np.multiply.accumulate(step)
     return known[:n]
 
 
+def release() -> None:
+    """Forget the powers; they are made again when needed."""
+    _POWERS.clear()
+
+
 def prefix(values: np.ndarray, base: int) -> np.ndarray:
     """Sums of value times power over every beginning of ``values``."""
     out = np.zeros(len(values) + 1, _U)

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.common import batch, texts
+from concordat.llm import hashing
+from concordat.llm.common import batch, holding, texts
 from concordat.llm.tokens import WordCache, by_size
 
 SPACE = "▁"
@@ -127,7 +128,13 @@ class PieceModel(WordCache):
         return text[1:] if text.startswith(" ") else text
 
 
+def _release() -> None:
+    _MODELS.clear()
+    hashing.release()
+
+
 def model(path: str) -> PieceModel:
+    holding("pieces", _release)
     if path not in _MODELS:
         _MODELS[path] = PieceModel(path)
     return _MODELS[path]

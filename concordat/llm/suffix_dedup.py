@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concordat.llm import hashing
-from concordat.llm.common import batch, partitions, pieces, work_folder, written
+from concordat.llm.common import batch, holding, partitions, pieces, work_folder, written
 from concordat.operators.joins import keyed_join
 
 WINDOW = 100
@@ -163,6 +163,7 @@ _PACKED_SQL = "bucket int, kind int, packed binary"
 
 def _occurrences(batches, window, gram, buckets, texts_per_key=64, chunk=1 << 20, held=1 << 20):
     """A task's documents as packed occurrences, whole repeats and open occurrences."""
+    holding("anchors", hashing.release)
     kept: list[list[np.ndarray]] = []
 
     def flush():

@@ -15,10 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from concordat.llm import hashing
+from concordat.llm.common import holding
 
-_WORDS = 600_000
+_WORDS = 400_000
 _SPECIAL = "<|"
 # Words with as many parts as they have matches here: letters that stay single letters in lower case.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+|[.,]+")
@@ -146,7 +148,13 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + size, size)
 
 
+def _release() -> None:
+    _ENCODERS.clear()
+    hashing.release()
+
+
 def encoder(path: str) -> Encoder:
+    holding("tokens", _release)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -164,7 +172,7 @@ def _cut(text: str, chars: int) -> list[str]:
     return [*parts, text[at:]]
 
 
-def encoded(texts: list[str], path: str, end_id: int | None, chars: int = 1 << 21) -> list[np.ndarray]:
+def encoded(texts: list[str], path: str, end_id: int | None, chars: int = 1 << 20) -> list[np.ndarray]:
     """Ids of each text, then ``end_id`` if there is one.  Long texts are encoded part by part."""
     tail = np.array([] if end_id is None else [end_id], np.uint32)
     encode = encoder(path).encode
@@ -173,11 +181,11 @@ def encoded(texts: list[str], path: str, end_id: int | None, chars: int = 1 << 2
     return [np.concatenate([*(encode([p])[0] for p in _cut(t, chars)), tail]) for t in texts]
 
 
-def by_size(batches: Iterator[pa.RecordBatch], text_at: int, chars: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def by_size(batches: Iterator[pa.RecordBatch], text_at: int, chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in parts of about ``chars`` bytes of text; one row at least."""
     for b in batches:
         column = b.column(text_at)
-        size = np.cumsum(np.array([len(t) if t else 0 for t in column.to_pylist()], np.int64))
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64))
         at = 0
         while at < b.num_rows:
             base = size[at - 1] if at else 0

@@ -22,13 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from concordat.llm.common import batch, pieces
+from concordat.llm.common import holding, pieces
 
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE: dict[str, np.ndarray] = {}
-_CACHED = 300_000
+_CACHED = 200_000
 _PREFIXES = (4, 6)
 
 
@@ -62,6 +63,13 @@ class Model:
     shift: float
     bits: int
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+
+    def release(self) -> None:
+        """Forget the weights of words met so far; they are made again when needed."""
+        self.__dict__.pop("_known", None)
+
     def sentence_scores(self, text: str) -> list[tuple[str, float]]:
         """(sentence, probability) for each sentence of a text."""
         return [(s, float(p)) for s, p in zip(sentences(text), -np.expm1(-self._softplus(self._raw(text))))]
@@ -71,7 +79,7 @@ class Model:
         return np.logaddexp(0.0, z)
 
     def _raw(self, text: str) -> np.ndarray:
-        known = _WEIGHT_OF.setdefault(id(self), {})
+        known = self.__dict__.setdefault("_known", {})
         out = []
         for s in sentences(text):
             z = self.bias
@@ -92,9 +100,6 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * noisy_or + self.shift, -30, 30))))
 
 
-_WEIGHT_OF: dict[int, dict[str, float]] = {}
-
-
 def fit(
     texts: list[str], labels: list[int], bits: int = 18, rounds: int = 200, rate: float = 0.4,
     l1: float = 1e-3, least_documents: int = 5,
@@ -143,10 +148,10 @@ def fit(
         weights += step * grad_w
         weights = np.sign(weights) * np.maximum(np.abs(weights) - step * l1, 0)
         bias += 0.2 * rate * grad_b / (np.sqrt(seen_b) + 1e-8)
+    _CACHE.clear()
     full = np.zeros(1 << bits)
     full[used] = weights
-    model = Model(full, bias, 1.0, 0.0, bits)
-    return model
+    return Model(full, bias, 1.0, 0.0, bits)
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, usable: Column, per_class: int) -> DataFrame:
@@ -205,12 +210,11 @@ def with_score(documents: DataFrame, model: Model) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        holding("toxicity", m.release)
         for b in pieces(batches):
             scores = pa.array([m.score(t or "") for t in b.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, "score"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     return kept.mapInArrow(work, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
 
 
