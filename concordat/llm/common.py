@@ -7,6 +7,8 @@ then costs the tasks it was running and nothing that was finished.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -95,9 +97,21 @@ def holding(owner: str, release: Callable[[], None]) -> None:
 
     Workers outlive the step they were started for, and a pipeline has many.
     """
-    for other in [o for o in _HOLDERS if o != owner]:
+    others = [o for o in _HOLDERS if o != owner]
+    for other in others:
         _HOLDERS.pop(other)()
     _HOLDERS[owner] = release
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Return memory that is free in this worker to the machine, where the allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def texts(column: pa.Array) -> list[str]:

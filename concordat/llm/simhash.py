@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.common import batch, partitions, pieces, work_folder, written
+from concordat.llm.common import batch, give_back, holding, partitions, pieces, work_folder, written
 from concordat.llm.components import components
 from concordat.operators.joins import keyed_join
 
@@ -58,6 +58,7 @@ def with_fingerprint(documents: DataFrame, shingle: int = 4) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("shingles", give_back)
         for b in pieces(batches):
             found = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
             yield batch(out, b.column(0), found.view(np.int64))
@@ -160,7 +161,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _links(batches: Iterator[pa.RecordBatch], max_bits: int, held: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], max_bits: int, held: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Links within the groups of a partition sorted by signature; groups may span batches."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     left: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)]

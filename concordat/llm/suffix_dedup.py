@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concordat.llm import hashing
-from concordat.llm.common import batch, holding, partitions, pieces, work_folder, written
+from concordat.llm.common import batch, give_back, holding, partitions, pieces, work_folder, written
 from concordat.operators.joins import keyed_join
 
 WINDOW = 100
@@ -161,7 +161,7 @@ _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("packed", pa
 _PACKED_SQL = "bucket int, kind int, packed binary"
 
 
-def _occurrences(batches, window, gram, buckets, texts_per_key=64, chunk=1 << 20, held=1 << 20):
+def _occurrences(batches, window, gram, buckets, texts_per_key=64, chunk=1 << 19, held=1 << 18):
     """A task's documents as packed occurrences, whole repeats and open occurrences."""
     holding("anchors", hashing.release)
     kept: list[list[np.ndarray]] = []
@@ -240,6 +240,7 @@ def _found_open(c: list[np.ndarray], window: int) -> pa.RecordBatch:
 
 def _settle_bucket(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
     """Whole repeats and open occurrences of the anchors of one bucket."""
+    holding("buckets", give_back)
     kinds, packed = table.column("kind").to_pylist(), table.column("packed").to_pylist()
     of = lambda kind: [p for k, p in zip(kinds, packed) if k == kind]
     yield _found_spans(_gathered(of(_SPAN), _SPANS))
@@ -331,8 +332,8 @@ def _common(raw, start, length, group, order, most) -> np.ndarray:
     """For each string in sorted order the bytes it shares with the one before, -1 at a new group."""
     n = len(order)
     out = np.full(n, -1, np.int64)
-    for lo in range(1, n, 1 << 14):
-        hi = min(n, lo + (1 << 14))
+    for lo in range(1, n, 1 << 12):
+        hi = min(n, lo + (1 << 12))
         a, b = order[lo - 1 : hi - 1], order[lo:hi]
         span = np.arange(most)
         fit = span < np.minimum(length[a], length[b])[:, None]
@@ -391,7 +392,7 @@ def repeated_windows(member: list[np.ndarray], raw: np.ndarray, window: int) ->
 # ---------------------------------------------------------------- open occurrences with their text
 
 
-def _members(batches, window, buckets, held=1 << 18):
+def _members(batches, window, buckets, held=1 << 17):
     """Texts with their open occurrences as packed members; single windows of hot anchors."""
     cold: list[tuple] = []
     hot: dict[int, tuple] = {}
@@ -446,6 +447,7 @@ def _members(batches, window, buckets, held=1 << 18):
 
 
 def _resolve_bucket(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
+    holding("buckets", give_back)
     kinds, packed = table.column("kind").to_pylist(), table.column("packed").to_pylist()
     yield _found_spans(_gathered([p for k, p in zip(kinds, packed) if k == _SPAN], _SPANS))
     heads, texts = [], []
