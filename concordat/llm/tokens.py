@@ -10,6 +10,7 @@ Texts with the marks of special tokens go to the library whole.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -40,7 +41,8 @@ class WordCache:
         self._clear()
 
     def _clear(self) -> None:
-        self._place: dict[int, int] = {}
+        self._keys = np.empty(0, np.uint64)  # hashes of the words met, ascending
+        self._place = np.empty(0, np.int32)  # where their ids begin is at this place of _start
         self._start = np.zeros(1, np.int64)
         self._ids = np.empty(0, np.uint32)
 
@@ -50,19 +52,27 @@ class WordCache:
 
     def _of_ranges(self, joined: bytes, begin: np.ndarray, end: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         """Ids of the words in ``joined[begin:end]``, cut into texts at ``bounds``."""
-        if len(self._place) > _WORDS:
+        if len(self._keys) > _WORDS:
             self._clear()
         base, raw = hashing.BASES[0], np.frombuffer(joined, np.uint8)
         key = hashing.of_ranges(hashing.prefix(raw.astype(np.uint64) + np.uint64(1), base), begin, end, base)
         distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        place = self._place
-        at = np.fromiter((place.get(k, -1) for k in distinct.tolist()), np.int64, len(distinct))
-        new = np.flatnonzero(at < 0)
+        at = np.searchsorted(self._keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        if len(self._keys):
+            at = np.minimum(at, len(self._keys) - 1)
+            known = self._keys[at] == distinct
+            at = np.where(known, self._place[at], -1).astype(np.int64)
+        new = np.flatnonzero(~known)
         if len(new):
             words = [joined[a:b].decode() for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist())]
             ids, sizes = self._words(words)
-            at[new] = np.arange(len(place), len(place) + len(new))
-            place.update(zip(distinct[new].tolist(), at[new].tolist()))
+            n = len(self._keys)
+            at[new] = np.arange(n, n + len(new))
+            keys = np.concatenate([self._keys, distinct[new]])
+            order = np.argsort(keys, kind="stable")
+            self._keys = keys[order]
+            self._place = np.concatenate([self._place, at[new].astype(np.int32)])[order]
             self._start = np.concatenate([self._start, self._start[-1] + np.cumsum(sizes)])
             self._ids = np.concatenate([self._ids, ids])
         word = at[inverse]
@@ -76,6 +86,7 @@ class Encoder(WordCache):
     """Encodes texts with one tokenizer file; one per worker and file."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -181,7 +192,7 @@ def encoded(texts: list[str], path: str, end_id: int | None, chars: int = 1 << 2
     return [np.concatenate([*(encode([p])[0] for p in _cut(t, chars)), tail]) for t in texts]
 
 
-def by_size(batches: Iterator[pa.RecordBatch], text_at: int, chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def by_size(batches: Iterator[pa.RecordBatch], text_at: int, chars: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batches in parts of about ``chars`` bytes of text; one row at least."""
     for b in batches:
         column = b.column(text_at)
