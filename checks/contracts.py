@@ -97,16 +97,11 @@ def missing_columns(spark, sf_dir):
     "a2_gathered_problems",
     f"""AS_WITH missing AS ({_MISSING_SQL}),
         counted AS (SELECT target_view, name, count(*) AS times FROM missing GROUP BY ALL)
-        SELECT target_view, string_agg(name, ',' ORDER BY name) AS missing,
-               CAST(sum(times) AS BIGINT) AS problem_count
-        FROM counted GROUP BY target_view""",
+        SELECT *, CAST(sum(times) OVER (PARTITION BY target_view) AS BIGINT) AS problem_count FROM counted""",
 )
 def gathered_problems(spark, sf_dir):
-    """All missing columns of each view; a view with very many would come in several rows."""
-    missing = missing_columns(spark, sf_dir)
-    return gather_problems(missing, ["target_view"], "name").select(
-        "target_view", F.array_join("messages", ",").alias("missing"), "problem_count"
-    )
+    """All missing columns of each view, as often as the contract names them."""
+    return gather_problems(missing_columns(spark, sf_dir), ["target_view"], "name")
 
 
 @query(

@@ -102,14 +102,12 @@ _JSON = """concat('{"name":"', name, '","dataType":"', data_type, '","dataLength
       usable AS (SELECT * FROM {{update_requests}} WHERE table_name NOT IN (SELECT table_name FROM failing)
                    AND table_name IN (SELECT table_name FROM {{columns_inv}})
                    AND NOT (upper(option) = 'SCHEMA_AND_DETAILS' AND is_view)),
-      items AS (SELECT DISTINCT table_name, pos, name, {_JSON} AS json FROM derived_columns
-                WHERE table_name IN (SELECT table_name FROM usable)),
-      lists AS (SELECT table_name, '[' || string_agg(json, ',' ORDER BY pos, name, json) || ']' AS value_json
-                FROM items GROUP BY table_name)
-      SELECT table_name, path, CAST(0 AS BIGINT) AS part, value_json
-      FROM lists, (VALUES ('spec.mesh.dataContract.schema'), ('form.parameters.schemaDefinition.schemaColumns')) p(path)
+      items AS (SELECT table_name, pos, {_JSON} AS value_json FROM derived_columns
+                WHERE table_name IN (SELECT table_name FROM usable))
+      SELECT table_name, path, pos, value_json
+      FROM items, (VALUES ('spec.mesh.dataContract.schema'), ('form.parameters.schemaDefinition.schemaColumns')) p(path)
       UNION ALL
-      SELECT table_name, prefix || '.' || key, 0,
+      SELECT table_name, prefix || '.' || key, NULL,
              '"' || CASE key WHEN 'catalogName' THEN catalog WHEN 'schemaName' THEN schema ELSE "table" END || '"'
       FROM usable, (VALUES ('spec.mesh.specific'), ('form.parameters')) a(prefix),
            (VALUES ('catalogName'), ('schemaName'), ('tableName')) k(key)
@@ -140,16 +138,11 @@ def failed_updates(spark, sf_dir):
 @query(
     "a2_contract_problems",
     f"""AS_WITH {DERIVED_SQL},
-      counted AS (SELECT table_name, problem, count(*) AS times FROM derived_columns
+      counted AS (SELECT table_name, problem AS message, count(*) AS times FROM derived_columns
                   WHERE problem IS NOT NULL GROUP BY ALL)
-      SELECT table_name, string_agg(problem, ';' ORDER BY problem) AS problems,
-             CAST(sum(times) AS BIGINT) AS problem_count
-      FROM counted GROUP BY table_name""",
+      SELECT *, CAST(sum(times) OVER (PARTITION BY table_name) AS BIGINT) AS problem_count FROM counted""",
 )
 def gathered_contract_problems(spark, sf_dir):
-    problems = contract_problems(
+    return contract_problems(
         derived(spark, sf_dir, "columns_inv"), derived(spark, sf_dir, "table_constraints")
     )
-    return problems.select(
-        "table_name", F.array_join("messages", ";").alias("problems"), "problem_count"
-    )

@@ -39,7 +39,7 @@ def captured_references(spark, sf_dir):
       judged AS (SELECT *, CASE WHEN wanted_type IS NULL THEN NULL WHEN wanted = '' THEN 'EMPTY_NAME'
                      WHEN n IS NULL THEN 'NAME_NOT_FOUND'
                      WHEN wanted_type IN ('pipeline', 'job') AND n > 1 THEN 'NAME_NOT_UNIQUE'
-                     WHEN wanted_type = 'pipeline' AND id IS NULL THEN 'EMPTY_ID' END AS error FROM joined)
+                     WHEN id IS NULL THEN 'EMPTY_ID' END AS error FROM joined)
       SELECT job_id, pos, task_key, ref_type, ref_id,
              CASE WHEN wanted_type IS NULL THEN ref_id WHEN error IS NULL THEN id END AS new_ref_id, error
       FROM judged""",
@@ -96,5 +96,5 @@ def nested_rewrite(spark, sf_dir):
         "tasks", lambda t: F.concat(t["task_key"], F.lit("="), F.coalesce(t["new_ref_id"], F.lit("?")))
     )
     return nested.select(
-        "job_id", F.array_join(shown, " ").alias("tasks"), F.array_join("errors", ",").alias("errors")
+        "job_id", F.array_join(shown, " ").alias("tasks"), F.array_join("errors.error", ",").alias("errors")
     )

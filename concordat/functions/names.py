@@ -86,5 +86,5 @@ def like_name(candidate: str | Column, wanted: str, escape: bool = False) -> Col
 
 
 def iso_millis_utc(ts: str | Column) -> Column:
-    """ISO-8601 text with milliseconds and ``Z``; the session time zone must be UTC."""
-    return F.date_format(col(ts), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """ISO-8601 text with milliseconds and ``Z``, of a moment shown in any session time zone."""
+    return F.date_format(F.to_utc_timestamp(col(ts), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

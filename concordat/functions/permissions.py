@@ -21,18 +21,24 @@ def _entry(user: Column, group: Column, service: Column, level: Column) -> Colum
     )
 
 
+def _or_empty(entries: str | Column) -> Column:
+    """An object without a list has an empty one."""
+    return F.coalesce(col(entries), F.array())
+
+
 def has_entry_without_level(entries: str | Column) -> Column:
     return F.exists(
-        F.coalesce(col(entries), F.array()), lambda e: is_empty(F.get(e["levels"], F.lit(0)))
+        _or_empty(entries), lambda e: is_empty(F.get(e["levels"], F.lit(0)))
     )
 
 
 def first_levels(entries: str | Column) -> Column:
     """Requested entries with the first level of each listed entry.
 
-    Null when any entry lacks a level: such a list may not be written back.
+    Null when any entry lacks a level: such a list may not be written back.  A null
+    list has no entries.
     """
-    listed = col(entries)
+    listed = _or_empty(entries)
     requested = F.transform(
         listed,
         lambda e: _entry(

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from concordat.functions.names import col, is_empty, quote_identifier, record
 from concordat.functions.types import STRING_LENGTH, contract_type, is_contract_type
 from concordat.operators.joins import keyed_join
-from concordat.operators.problems import split_lists
 
 # Where the derived schema and the table details go in a descriptor.
 SCHEMA_PATH = "spec.mesh.dataContract.schema"
@@ -34,7 +33,7 @@ def missing_columns(
 ) -> DataFrame:
     """Contract columns absent from their source table; names are compared as data, with case."""
     present = inventory.select(F.col("table_name").alias(table), F.col("column_name").alias(name))
-    return keyed_join(contract, present.distinct(), [table, name], "left_anti", salts)
+    return keyed_join(contract, present, [table, name], "left_anti", salts)
 
 
 def duplicate_columns(
@@ -116,65 +115,39 @@ _JSON_FIELDS = {
 
 
 def _column_json(item: Column) -> Column:
+    """One derived column as JSON.  Fields that are null are written out."""
     fields = {key: item[source] for key, source in _JSON_FIELDS.items()}
     return F.to_json(
         record(**fields, tags=F.lit(None).cast("string")), {"ignoreNullFields": "false"}
     )
 
 
-def update_map(
-    derived: DataFrame,
-    requests: DataFrame,
-    form_prefix: str,
-    per_row: int = 1000,
-) -> DataFrame:
-    """Descriptor updates (``table_name``, ``path``, ``part``, ``value_json``).
+def update_map(derived: DataFrame, requests: DataFrame, form_prefix: str) -> DataFrame:
+    """Descriptor updates (``table_name``, ``path``, ``pos``, ``value_json``).
 
     ``derived`` are the rows of ``derive_contract``; a table with a problem in any
     of its columns gets no update.  ``requests`` has one row per table:
     ``table_name``, ``catalog``, ``schema``, ``table``, ``option`` and ``is_view``.
-    The derived schema goes under two paths; the table details under six more
-    when the option asks for them.  ``form_prefix`` is the root of the form
-    parameters in the caller's portal.  A schema of more than ``per_row`` columns
-    comes in several parts, each a list in column order.  Views asked for details
+    The derived schema goes under two paths, one row per column: the value of such a
+    path is the list of its rows in the order of ``pos``.  The table details go under
+    six more when the option asks for them, with a null ``pos``.  ``form_prefix`` is
+    the root of the form parameters in the caller's portal.  Views asked for details
     are left out (see ``update_errors``).
     """
-    item = F.struct("pos", *_JSON_FIELDS.values(), "problem")
-    lists = split_lists(
-        derived.select("table_name", item.alias("item")),
-        ["table_name"],
-        "item",
-        per_row,
-        drop_units_with=F.col("item")["problem"].isNotNull(),
-    )
-    in_order = F.array_sort(
-        F.transform(
-            "entries",
-            lambda e: record(
-                pos=e["item"]["pos"], name=e["item"]["name"], json=_column_json(e["item"])
-            ),
-        )
-    )
-    schema_json = F.concat(
-        F.lit("["), F.array_join(F.transform(in_order, lambda e: e["json"]), ","), F.lit("]")
-    )
-    listed = keyed_join(
-        lists.select("table_name", "part", schema_json.alias("schema_json")),
-        requests.where(_update_error().isNull()),
-        ["table_name"],
-        "inner",
-    )
-
-    def update(path: str, value: Column) -> Column:
-        return record(path=F.lit(path), value_json=value)
-
-    schema_updates = F.array(
-        update(SCHEMA_PATH, F.col("schema_json")),
-        update(f"{form_prefix}.schemaDefinition.schemaColumns", F.col("schema_json")),
+    sound = (
+        derived.groupBy("table_name").agg(F.max(F.col("problem").isNotNull()).alias("__bad"))
+        .where(~F.col("__bad")).select("table_name")
     )
+    usable = keyed_join(requests.where(_update_error().isNull()), sound, ["table_name"], "left_semi", unique_facts=True)
+    paths = F.array(F.lit(SCHEMA_PATH), F.lit(f"{form_prefix}.schemaDefinition.schemaColumns"))
+    item = F.struct(*_JSON_FIELDS.values())
+    schema_updates = keyed_join(
+        derived.select("table_name", "pos", _column_json(item).alias("value_json")),
+        usable.select("table_name"), ["table_name"], "left_semi",
+    ).select("table_name", F.explode(paths).alias("path"), "pos", "value_json")
     details = F.array(
         *[
-            update(f"{prefix}.{key}", _json_text(F.col(source)))
+            record(path=F.lit(f"{prefix}.{key}"), value_json=_json_text(F.col(source)))
             for prefix in (DETAILS_PREFIX, form_prefix)
             for key, source in (
                 ("catalogName", "catalog"),
@@ -183,14 +156,11 @@ def update_map(
             )
         ]
     )
-    # The details come once, whatever the number of parts of the schema.
-    with_details = (F.upper("option") == WITH_DETAILS) & (F.col("part") == 0)
-    updates = F.when(with_details, F.concat(schema_updates, details)).otherwise(schema_updates)
-    return (
-        listed.select("table_name", "part", F.explode(updates).alias("u")).select(
-            "table_name", "u.path", "part", "u.value_json"
-        )
+    detail_updates = (
+        usable.where(F.upper("option") == WITH_DETAILS).select("table_name", F.explode(details).alias("u"))
+        .select("table_name", "u.path", F.lit(None).cast(derived.schema["pos"].dataType).alias("pos"), "u.value_json")
     )
+    return schema_updates.unionByName(detail_updates)
 
 
 def _json_text(value: Column) -> Column:

@@ -15,6 +15,7 @@ the directory, one row per key, and lets every hot fact partition be split.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ def keyed_join(
 ) -> DataFrame:
     """Join ``facts`` with ``directory``, which has at most one row per key.
 
+    Only a join that filters may have more: there a repeated key changes nothing.
+
     ``how`` keeps the fact side whole or filters it: ``inner``, ``left``,
     ``left_semi`` or ``left_anti``.  ``unique_facts`` says that the facts have one
     row per key as well, so that no key can be hot and both sides may be used as
@@ -52,8 +55,11 @@ def keyed_join(
         salted = facts.withColumn(_SALT, salt)
         return salted.join(directory.withColumn(_SALT, every_salt), [*on, _SALT], how).drop(_SALT)
     key_hash = F.xxhash64(*on)
+    # A null key matches nothing; its rows would all meet in one partition, so they are dealt by the whole row.
+    others = [c for c, t in facts.dtypes if not t.startswith("map")]
+    has_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
     return (
-        facts.withColumn(_HASH, key_hash)
+        facts.withColumn(_HASH, F.when(has_null, F.xxhash64(*[F.col(f"`{c}`") for c in others])).otherwise(key_hash))
         .join(directory.withColumn(_HASH, key_hash), [*on, _HASH], how)
         .drop(_HASH)
     )

@@ -4,62 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordat.operators.joins import keyed_join
 
 
-def split_lists(
-    items: DataFrame,
-    unit: Sequence[str],
-    item: str,
-    per_row: int = 1000,
-    drop_units_with: Column | None = None,
-) -> DataFrame:
-    """The items of each unit as sorted lists of about ``per_row`` entries.
+def gather_problems(problems: DataFrame, unit: Sequence[str], message: str = "message") -> DataFrame:
+    """Every problem of each unit: ``message``, how many ``times``, and the unit's ``problem_count``.
 
-    A unit with few items gives one row (``part`` 0); a larger one is spread over
-    several parts by a hash of the item, so no row and no task holds all of it.
-    Every unit has a part 0.
-    Equal items of a unit are listed once, with their number in ``times``; ``total``
-    counts all items of the unit.  Units with any item that satisfies
-    ``drop_units_with``, a condition on the item, are left out.
+    One row per unit and message, whatever their number; nothing of a unit is gathered.
     """
     unit = list(unit)
-    item_hash = F.xxhash64(item)
-    counted = items.groupBy(*unit, item).agg(F.count(F.lit(1)).alias("times"))
-    unwanted = F.lit(False) if drop_units_with is None else drop_units_with
-    sizes = (
-        counted.groupBy(*unit)
-        .agg(
-            F.ceil(F.count(F.lit(1)) / F.lit(per_row)).alias("parts"),
-            F.sum("times").alias("total"),
-            F.min(item_hash).alias("__first"),
-            F.max(unwanted).alias("__unwanted"),
-        )
-        .where(~F.col("__unwanted"))
-        .drop("__unwanted")
-    )
-    parts = F.col("parts")
-    place = F.pmod(F.pmod(item_hash, parts) - F.pmod(F.col("__first"), parts), parts)
-    placed = keyed_join(counted, sizes, unit, "inner").withColumn("part", place)
-    return placed.groupBy(*unit, "part", "total").agg(
-        F.array_sort(F.collect_list(F.struct(item, "times"))).alias("entries")
-    )
-
-
-def gather_problems(
-    problems: DataFrame, unit: Sequence[str], message: str = "message", per_row: int = 1000
-) -> DataFrame:
-    """All problem messages of each unit: ``part``, ``messages`` and ``problem_count`` of the unit."""
-    lists = split_lists(problems, unit, message, per_row)
-    return lists.select(
-        *unit,
-        "part",
-        F.transform("entries", lambda e: e[message]).alias("messages"),
-        F.col("total").alias("problem_count"),
-    )
+    counted = problems.groupBy(*unit, message).agg(F.count(F.lit(1)).alias("times"))
+    totals = problems.groupBy(*unit).agg(F.count(F.lit(1)).alias("problem_count"))
+    return keyed_join(counted, totals, unit, "inner")
 
 
 def split_by_problems(

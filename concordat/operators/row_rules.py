@@ -118,10 +118,11 @@ def violating_rows(df: DataFrame, rules: Sequence[ColumnRule]) -> DataFrame:
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Key values carried by more than one row; keys with a null part are no duplicates."""
+    named = [F.col(f"`{key}`") for key in keys]
     complete = df
-    for key in keys:
-        complete = complete.where(F.col(key).isNotNull())
-    return complete.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    for key in named:
+        complete = complete.where(key.isNotNull())
+    return complete.groupBy(*named).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
 _LANES = {"long": "bigint", "double": "double", "text": "string", "time": "timestamp_ntz"}

@@ -7,6 +7,8 @@ or null.  Directories are rows ``ref_type``, ``id`` and ``name``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,10 @@ def reference_type(task: Column) -> Column:
 
 
 def explode_tasks(jobs: DataFrame, tasks: str = "tasks") -> DataFrame:
-    """Nested tasks as rows, with the type and id of their reference."""
+    """Nested tasks as rows, with the type and id of their reference.
+
+    A job without tasks gives one row whose ``pos`` is null, so ``nest_tasks`` returns it.
+    """
     task = F.col("task")
     ref_type = reference_type(task)
     ref_id = (
@@ -40,7 +45,7 @@ def explode_tasks(jobs: DataFrame, tasks: str = "tasks") -> DataFrame:
         .when(ref_type == "notebook_warehouse", task["notebook_task"]["warehouse_id"])
         .when(ref_type == "notebook_compute", task["existing_cluster_id"])
     )
-    return jobs.select("job_id", F.posexplode(tasks).alias("pos", "task")).select(
+    return jobs.select("job_id", F.posexplode_outer(tasks).alias("pos", "task")).select(
         "job_id",
         "pos",
         task["task_key"].alias("task_key"),
@@ -54,13 +59,14 @@ def capture_references(tasks: DataFrame, directory: DataFrame, salts: int = 1) -
     """The name behind each task's reference; tasks without a reference are dropped.
 
     Pipelines and jobs are named in ``referenced_name``, warehouses and clusters
-    in ``cluster_name``.
+    in ``cluster_name``.  A job that is listed without a name is its own error; the
+    other types are found without one.
     """
     referring = tasks.where(F.col("ref_type").isin(REFERENCE_TYPES))
     names = one_row_per_key(
-        directory.withColumn("__name", F.col("name")),
+        directory.withColumns({"__name": F.col("name"), "__found": F.lit(True)}),
         {"ref_type": F.col("ref_type"), "ref_id": F.col("id")},
-        ["__name"],
+        ["__name", "__found"],
         ["__name"],
     )
     joined = keyed_join(referring, names, ["ref_type", "ref_id"], "left", salts)
@@ -68,7 +74,7 @@ def capture_references(tasks: DataFrame, directory: DataFrame, salts: int = 1) -
     error = (
         F.when(is_empty(F.col("ref_id").cast("string")), "REFERENCE_WITHOUT_ID")
         .when((F.col("ref_type") == "job") & is_empty("__name"), "JOB_WITHOUT_NAME")
-        .when(F.col("__name").isNull(), "NAME_NOT_FOUND")
+        .when(F.col("__found").isNull(), "NAME_NOT_FOUND")
     )
     return joined.select(
         "job_id",
@@ -83,25 +89,27 @@ def capture_references(tasks: DataFrame, directory: DataFrame, salts: int = 1) -
     )
 
 
-def _target_ids(directory: DataFrame) -> DataFrame:
-    """One row per type and name; clusters and warehouses are found without case."""
+def _target_ids(directory: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The first id in the given order per type and name; clusters and warehouses are found without case."""
     is_unique = F.col("ref_type").isin(UNIQUE_TYPES)
     usable = is_unique | ~(is_empty("name") | is_empty(F.col("id").cast("string")))
     return (
         directory.where(usable)
         .groupBy("ref_type", F.when(is_unique, F.col("name")).otherwise(F.lower("name")).alias("__name"))
-        .agg(F.count(F.lit(1)).alias("__matches"), F.min("id").alias("__new_id"))
+        .agg(F.count(F.lit(1)).alias("__matches"), F.min(F.struct(*order, F.col("id").alias("__id")))["__id"].alias("__new_id"))
     )
 
 
 def rewrite_references(
-    tasks: DataFrame, infos: DataFrame, target: DataFrame, salts: int = 1
+    tasks: DataFrame, infos: DataFrame, target: DataFrame, salts: int = 1, order: Sequence[str] = ("id",)
 ) -> DataFrame:
     """Each task with the id its reference has in the target estate.
 
     ``infos`` are captured references (``job_id``, ``task_key``, ``seq``,
     ``ref_type``, ``name``); of several for one task the last counts, and tasks
     without one keep their reference.  Rows keep ``pos`` for the original order.
+    Of several warehouses or clusters with one name the first in ``order`` counts, columns
+    of ``target``.  A target without an id is an error for every type.
     """
     last = F.max(F.struct("seq", F.col("ref_type").alias("t"), F.col("name").alias("n")))
     latest = (
@@ -119,11 +127,11 @@ def rewrite_references(
     listed = keyed_join(tasks, latest, ["job_id", "task_key"], "left", salts).withColumn(
         "__name", F.when(is_unique, F.col("__wanted")).otherwise(F.lower("__wanted"))
     )
-    ids = _target_ids(target).withColumnRenamed("ref_type", "__type")
+    ids = _target_ids(target, order).withColumnRenamed("ref_type", "__type")
     joined = keyed_join(listed, ids, ["__type", "__name"], "left", salts)
     changes = F.coalesce(F.col("__listed"), F.lit(False)) & F.col("__type").isin(REFERENCE_TYPES)
     matches = F.coalesce(F.col("__matches"), F.lit(0))
-    empty_id = (F.col("__type") == "pipeline") & is_empty(F.col("__new_id").cast("string"))
+    empty_id = is_empty(F.col("__new_id").cast("string"))
     error = F.when(
         changes,
         F.when(is_empty("__wanted"), "EMPTY_NAME")
@@ -141,10 +149,14 @@ def rewrite_references(
 def nest_tasks(rows: DataFrame, *fields: str) -> DataFrame:
     """Task rows as one ordered array per job, for tasks that came from nested definitions.
 
-    A definition was one row before ``explode_tasks``, which bounds the array.
+    A definition was one row before ``explode_tasks``, which bounds the array.  Errors come
+    in the order of their tasks, each with its ``task_key``; a job without tasks has empty arrays.
     """
-    collected = F.array_sort(F.collect_list(F.struct("pos", *fields)))
-    return rows.groupBy("job_id").agg(
-        F.transform(collected, lambda t: F.struct(*[t[f].alias(f) for f in fields])).alias("tasks"),
-        F.array_compact(F.collect_list("error")).alias("errors"),
+    kept = F.when(F.col("pos").isNotNull(), F.struct("pos", *fields, F.struct("task_key", "error").alias("__error")))
+    collected = F.array_sort(F.collect_list(kept))
+    problems = F.filter(F.transform("__all", lambda t: t["__error"]), lambda e: e["error"].isNotNull())
+    return rows.groupBy("job_id").agg(collected.alias("__all")).select(
+        "job_id",
+        F.transform("__all", lambda t: F.struct(*[t[f].alias(f) for f in fields])).alias("tasks"),
+        problems.alias("errors"),
     )

@@ -32,7 +32,7 @@ def find_workspaces(
     return (
         keyed_join(publications, listed, [workspace], "left", salts)
         .withColumn("is_managed", managed)
-        .withColumn("workspace_known", ~managed | F.coalesce("__listed", F.lit(False)))
+        .withColumn("workspace_known", F.coalesce(~managed, F.lit(False)) | F.coalesce("__listed", F.lit(False)))
         .drop("__listed")
     )
 

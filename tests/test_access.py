@@ -149,6 +149,12 @@ def test_unknown_user_leaves_the_list(spark):
         lists.drop_principal("requested")
 
 
+def test_a_null_list_is_an_empty_one(spark):
+    df = spark.createDataFrame([(1, None)], LISTED).withColumn("requested", lists.first_levels("entries"))
+    row = df.select("requested", lists.append_entry("requested", "CAN_RUN", user=F.lit("u")).alias("after")).first()
+    assert row["requested"] == [] and as_tuples(row["after"]) == [("u", None, None, "CAN_RUN")]
+
+
 def test_append_keeps_duplicates(spark):
     df = permission_list(spark, USER).select(lists.append_entry("requested", "CAN_MANAGE", user=F.lit("u")).alias("after"))
     assert as_tuples(df.first()["after"]) == [("u", None, None, "CAN_MANAGE")] * 2

@@ -80,24 +80,18 @@ def test_missing_columns_keep_case_and_list_all(spark):
     )
     missing = c.missing_columns(contract, inv)
     assert rows(missing, "name") == [("VALUE",), ("extra_column",), ("other",)]
-    gathered = gather_problems(missing, ["table_name"], "name").collect()
-    assert [(r["part"], r["messages"], r["problem_count"]) for r in gathered] == [
-        (0, ["VALUE", "extra_column", "other"], 3)
-    ]
+    gathered = gather_problems(missing, ["table_name"], "name")
+    assert rows(gathered, "name", "times", "problem_count") == [("VALUE", 1, 3), ("extra_column", 1, 3), ("other", 1, 3)]
 
 
-def test_long_lists_are_split_and_whole(spark):
-    problems = spark.range(1000).select(
-        F.when(F.col("id") < 990, "big").otherwise("small").alias("unit"),
-        F.concat(F.lit("m"), F.col("id") % 500).alias("message"),
+def test_every_problem_is_listed_at_any_size(spark):
+    problems = spark.range(3000).select(
+        F.when(F.col("id") < 2990, "big").otherwise("small").alias("unit"),
+        F.concat(F.lit("m"), F.col("id") % 1500).alias("message"),
     )
-    got = gather_problems(problems, ["unit"], per_row=50).collect()
-    big = [r for r in got if r["unit"] == "big"]
-    assert len(big) > 5 and max(len(r["messages"]) for r in big) < 100
-    assert 0 in {r["part"] for r in big}
-    assert sorted(m for r in big for m in r["messages"]) == sorted(f"m{i}" for i in range(500))
-    assert {r["problem_count"] for r in big} == {990}
-    assert [r["part"] for r in got if r["unit"] == "small"] == [0]
+    got = gather_problems(problems, ["unit"]).where("unit = 'big'").collect()
+    assert sorted(r["message"] for r in got) == sorted(f"m{i}" for i in range(1500))
+    assert sum(r["times"] for r in got) == 2990 and {r["problem_count"] for r in got} == {2990}
 
 
 def test_repeated_columns(spark):
@@ -143,16 +137,17 @@ def plan_inputs(spark, bad=False):
 def test_update_map(spark):
     inv, constraints, requests = plan_inputs(spark)
     plan = reverse_provision_plan(inv, constraints, requests, "form")
-    got = {(r["table_name"], r["path"]): r["value_json"] for r in plan.collect()}
-    assert {t for t, _ in got} == {"c.s.t"} and len(got) == 8
-    assert got[("c.s.t", "form.tableName")] == '"t"'
-    assert got[("c.s.t", "spec.mesh.specific.catalogName")] == '"c"'
-    assert got[("c.s.t", "spec.mesh.dataContract.schema")] == (
-        '[{"name":"id","dataType":"INT","dataLength":null,"constraint":"PRIMARY_KEY","precision":null,'
-        '"scale":null,"description":"int","tags":null},'
+    got = {(r["table_name"], r["path"], r["pos"]): r["value_json"] for r in plan.collect()}
+    assert {t for t, _, _ in got} == {"c.s.t"} and len(got) == 10
+    assert got["c.s.t", "form.tableName", None] == '"t"'
+    assert got["c.s.t", "spec.mesh.specific.catalogName", None] == '"c"'
+    schema = [v for (_, path, _), v in sorted(got.items(), key=str) if path == "spec.mesh.dataContract.schema"]
+    assert schema == [
+        '{"name":"id","dataType":"INT","dataLength":null,"constraint":"PRIMARY_KEY","precision":null,'
+        '"scale":null,"description":"int","tags":null}',
         '{"name":"n","dataType":"STRING","dataLength":65535,"constraint":null,"precision":null,'
-        '"scale":null,"description":"say \\"hi\\"","tags":null}]'
-    )
+        '"scale":null,"description":"say \\"hi\\"","tags":null}',
+    ]
     assert rows(c.update_errors(requests, inv), "table_name", "error") == [
         ("c.s.no", "TABLE_NOT_FOUND"), ("c.s.v", "DETAILS_OF_A_VIEW"),
     ]
@@ -162,20 +157,21 @@ def test_one_bad_column_fails_its_table(spark):
     inv, constraints, requests = plan_inputs(spark, bad=True)
     assert reverse_provision_plan(inv, constraints, requests, "form").count() == 0
     problems = contract_problems(inv, constraints).collect()
-    assert [(r["table_name"], r["messages"]) for r in problems] == [("c.s.t", ["UNKNOWN_TYPE VOID"])]
+    assert [(r["table_name"], r["message"]) for r in problems] == [("c.s.t", "UNKNOWN_TYPE VOID")]
 
 
-def test_update_map_in_parts_gives_details_once(spark):
-    cols = [(f"c{i:03d}", "INT", "int", None, None, True, None) for i in range(60)]
+def test_update_map_keeps_every_column_of_a_wide_table(spark):
+    cols = [(f"c{i:03d}", "INT", "int", None, None, True, None) for i in range(1200)]
+    cols.append(cols[7])
     marked = c.mark_primary_key(inventory(spark, *cols), spark.createDataFrame([], CONSTRAINTS))
     requests = spark.createDataFrame(
         [("c.s.t", "c", "s", "t", "SCHEMA_AND_DETAILS", False)],
         "table_name string, catalog string, schema string, table string, option string, is_view boolean",
     )
-    plan = c.update_map(c.derive_contract(marked), requests, "form", per_row=10)
+    plan = c.update_map(c.derive_contract(marked), requests, "form")
     schema = plan.where("path = 'spec.mesh.dataContract.schema'")
-    names = schema.select(F.explode(F.from_json("value_json", "array<struct<name:string>>")).alias("c")).select("c.name")
-    assert schema.count() > 1 and [n for (n,) in rows(names)] == [f"c{i:03d}" for i in range(60)]
+    names = sorted(f"c{i:03d}" for i in [*range(1200), 7])
+    assert [n for (n,) in rows(schema.select(F.get_json_object("value_json", "$.name")))] == names
     assert plan.where("path LIKE '%Name'").count() == 6
 
 

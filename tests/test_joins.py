@@ -44,6 +44,17 @@ def test_hot_keys_are_split_even_against_an_aggregated_directory(spark, conf):
         assert "isFinalPlan=true" in plan and "skew=true" in plan, plan
 
 
+def test_null_keys_are_spread_and_match_nothing(spark, conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__coalescePartitions__enabled="false",
+         spark__sql__shuffle__partitions="8")
+    users = spark.range(4000).select("id", F.when(F.col("id") % 5 == 0, F.lit("a")).alias("k"))
+    names = spark.createDataFrame([("a", "x"), (None, "y")], "k string, name string")
+    joined = keyed_join(users, names, ["k"])
+    assert joined.where("name = 'x'").count() == 800 and joined.where("name IS NULL").count() == 3200
+    sizes = [n for (n,) in rows(joined.groupBy(F.spark_partition_id()).count(), "count")]
+    assert len(sizes) == 8 and max(sizes) < 1600
+
+
 def test_first_row_per_key_breaks_ties_by_value(spark):
     df = spark.createDataFrame([("a", 1, "z"), ("a", 1, "y"), ("b", 2, "x"), ("b", 1, "w")], "key string, seq int, v string")
     for parts in (1, 3):

@@ -37,16 +37,16 @@ def test_reference_types_by_priority(spark):
 def test_capture(spark):
     tasks = spark.createDataFrame(
         [(1, 0, "a", "pipeline", "p1"), (1, 1, "b", "notebook_warehouse", "w1"), (1, 2, "c", None, None),
-         (1, 3, "d", "job", "9"), (1, 4, "e", "job", "5")],
+         (1, 3, "d", "job", "9"), (1, 4, "e", "job", "5"), (1, 5, "f", "notebook_compute", "n"), (1, 6, "g", "notebook_compute", "x")],
         "job_id int, pos int, task_key string, ref_type string, ref_id string",
     )
     directory = spark.createDataFrame(
-        [("pipeline", "Pipe", "p1"), ("notebook_warehouse", "Ware", "w1"), ("job", "", "5")], DIRECTORY
+        [("pipeline", "Pipe", "p1"), ("notebook_warehouse", "Ware", "w1"), ("job", "", "5"), ("notebook_compute", None, "n")], DIRECTORY
     )
     got = w.capture_references(tasks, directory)
     assert rows(got, "task_key", "referenced_name", "cluster_name", "error") == [
         ("a", "Pipe", None, None), ("b", None, "Ware", None), ("d", None, None, "JOB_WITHOUT_NAME"),
-        ("e", "", None, "JOB_WITHOUT_NAME"),
+        ("e", "", None, "JOB_WITHOUT_NAME"), ("f", None, None, None), ("g", None, None, "NAME_NOT_FOUND"),
     ]
 
 
@@ -64,6 +64,18 @@ def test_rewrite_keeps_order_and_unlisted_tasks(spark):
     assert nested["errors"] == []
 
 
+def test_first_listed_counts_and_jobs_without_tasks_stay(spark):
+    target = spark.createDataFrame(
+        [("notebook_warehouse", "w", "z", 1), ("notebook_warehouse", "w", "a", 2)], DIRECTORY + ", place int"
+    )
+    df = jobs(spark, ("t", None, None, ("old",), None))
+    empty = df.withColumn("tasks", F.slice("tasks", 1, 0)).withColumn("job_id", F.col("job_id") + 1)
+    infos = spark.createDataFrame([(1, "t", 0, "notebook_warehouse", "w")], INFO)
+    got = w.rewrite_references(w.explode_tasks(df.union(empty)).drop("task"), infos, target, order=["place"])
+    nested = {r["job_id"]: [tuple(t) for t in r["tasks"]] for r in w.nest_tasks(got, "task_key", "new_ref_id").collect()}
+    assert nested == {1: [("t", "z")], 2: []}
+
+
 @pytest.mark.parametrize(
     "infos, directory, expected",
     [
@@ -72,6 +84,7 @@ def test_rewrite_keeps_order_and_unlisted_tasks(spark):
         ([(1, "t", 0, "pipeline", "a")], [("pipeline", "a", "A"), ("pipeline", "a", "B")], (None, "NAME_NOT_UNIQUE")),
         ([(1, "t", 0, "pipeline", "a")], [("pipeline", "A", "A")], (None, "NAME_NOT_FOUND")),
         ([(1, "t", 0, "pipeline", "a")], [("pipeline", "a", None)], (None, "EMPTY_ID")),
+        ([(1, "t", 0, "job", "a")], [("job", "a", None)], (None, "EMPTY_ID")),
         ([(1, "t", 0, "pipeline", "")], [], (None, "EMPTY_NAME")),
         ([(1, "t", 0, "notebook_warehouse", "wH")], [("notebook_warehouse", "Wh", "1"), ("notebook_warehouse", "wh", "2")], ("1", None)),
         ([(1, "t", 0, None, "x")], [], ("old", None)),
