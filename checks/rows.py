@@ -124,10 +124,12 @@ def profile(spark, sf_dir):
        UNION ALL SELECT 'c_nationkey', count(*), count(*) - count(c_nationkey), count(DISTINCT c_nationkey),
               CAST(min(c_nationkey) AS VARCHAR), CAST(max(c_nationkey) AS VARCHAR) FROM customer
        UNION ALL SELECT 'c_mktsegment', count(*), count(*) - count(c_mktsegment), count(DISTINCT c_mktsegment),
-              min(c_mktsegment), max(c_mktsegment) FROM customer""",
+              min(c_mktsegment), max(c_mktsegment) FROM customer
+       UNION ALL SELECT 'c_acctbal', count(*), count(*) - count(c_acctbal), count(DISTINCT c_acctbal),
+              CAST(min(c_acctbal) AS VARCHAR), CAST(max(c_acctbal) AS VARCHAR) FROM customer""",
 )
 def profile_with_bounds(spark, sf_dir):
-    return r.profile(table(spark, sf_dir, "customer").drop("c_acctbal"))
+    return r.profile(table(spark, sf_dir, "customer"))
 
 
 @query(

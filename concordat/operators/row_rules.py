@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from decimal import Decimal
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,79 +124,74 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return complete.groupBy(*named).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
-_LANES = {"long": "bigint", "double": "double", "text": "string", "time": "timestamp_ntz"}
+_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+_TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
-def _lane(dtype: T.DataType) -> str | None:
-    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
-        return "long"
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return "double"
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return "time"
-    if isinstance(dtype, (T.StringType, T.DecimalType)):
-        return "text"
+def _ordered(value: Column, dtype: T.DataType) -> Column | None:
+    """The value as it is compared for bounds; None for types without bounds."""
+    if isinstance(dtype, _TIMES):
+        return value.cast("timestamp_ntz")
+    if isinstance(dtype, (*_NUMBERS, T.StringType, T.BooleanType)):
+        return value
     return None
 
 
 def profile(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Rows, nulls, distinct values, smallest and largest value of each simple column.
+    """Rows, nulls, distinct values, smallest and largest value of every column.
 
-    The exact form counts each (column, value) once before anything else, so a
-    frequent value shrinks to one row per task ahead of the shuffle and the second
-    aggregate only sees distinct values.  Columns of one family of types go
-    together, each family reading only its own columns.  The other form estimates
-    the distinct values in a single pass.  Decimals are compared as text.
+    Rows, nulls and bounds come from one aggregate over one scan; numbers are compared as
+    numbers.  Arrays, structs, binaries and the like have no bounds, maps no distinct values
+    either.  The exact form counts distinct values by 128 bits of hash of each value, so long
+    texts never travel and a frequent value is one row per task ahead of the shuffle.  The
+    other form estimates them in the same scan.  A table without rows has 0 rows and no bounds.
     """
-    if not exact:
-        return _estimated_profile(df)
-    families: dict[str, list[str]] = {}
-    for field in df.schema.fields:
-        lane = _lane(field.dataType)
-        if lane:
-            families.setdefault(lane, []).append(field.name)
-    if not families:
-        raise ValueError("no column of a simple type")
-    profiles = [_family_profile(df, names, _LANES[lane]) for lane, names in families.items()]
-    return reduce(DataFrame.unionByName, profiles)
-
-
-def _family_profile(df: DataFrame, names: Sequence[str], dtype: str) -> DataFrame:
-    quoted = [F.col(quote_identifier(n)) for n in names]
-    cells = df.select(*[c.cast(dtype).alias(n) for c, n in zip(quoted, names)]).unpivot(
-        [], quoted, "column_name", "value"
-    )
-    values = cells.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    return values.groupBy("column_name").agg(
-        F.sum("n").alias("rows"),
-        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
-        F.count("value").alias("distinct_values"),
-        F.min("value").cast("string").alias("min_value"),
-        F.max("value").cast("string").alias("max_value"),
-    )
-
-
-def _estimated_profile(df: DataFrame) -> DataFrame:
-    """The profile in one global aggregate, with estimated numbers of distinct values."""
-    names = [f.name for f in df.schema.fields if _lane(f.dataType)]
+    fields = df.schema.fields
+    if not fields:
+        raise ValueError("no columns")
     aggregates = [F.count(F.lit(1)).alias("rows")]
-    for i, name in enumerate(names):
-        value = F.col(quote_identifier(name))
+    for i, field in enumerate(fields):
+        value = F.col(quote_identifier(field.name))
+        bound = _ordered(value, field.dataType)
+        nothing = F.lit(None).cast("string")
+        countable = not exact and _hashable(field.dataType)
         aggregates.append(
             F.struct(
-                F.lit(name).alias("column_name"),
+                F.lit(field.name).alias("column_name"),
                 F.count_if(value.isNull()).alias("nulls"),
-                F.approx_count_distinct(value).alias("distinct_values"),
-                F.min(value).cast("string").alias("min_value"),
-                F.max(value).cast("string").alias("max_value"),
+                (F.approx_count_distinct(F.when(value.isNotNull(), F.xxhash64(value))) if countable else F.lit(None).cast("long")).alias("estimate"),
+                (nothing if bound is None else F.min(bound).cast("string")).alias("min_value"),
+                (nothing if bound is None else F.max(bound).cast("string")).alias("max_value"),
             ).alias(f"c{i}")
         )
-    lines = F.array(*[F.col(f"c{i}") for i in range(len(names))])
-    return df.agg(*aggregates).select("rows", F.explode(lines).alias("c")).select(
-        "c.column_name", "rows", "c.nulls", "c.distinct_values", "c.min_value", "c.max_value"
+    lines = df.agg(*aggregates).select(
+        "rows", F.explode(F.array(*[F.col(f"c{i}") for i in range(len(fields))])).alias("c")
+    ).select("c.column_name", "rows", "c.nulls", "c.estimate", "c.min_value", "c.max_value")
+    if not exact:
+        return lines.withColumnRenamed("estimate", "distinct_values")
+    hashable = [f.name for f in fields if _hashable(f.dataType)]
+    found = _distinct_values(df, hashable)
+    known = F.when(F.col("column_name").isin(hashable), F.coalesce("distinct_values", F.lit(0)))
+    return lines.join(found, "column_name", "left").select(
+        "column_name", "rows", "nulls", known.alias("distinct_values"), "min_value", "max_value"
     )
 
 
+def _hashable(dtype: T.DataType) -> bool:
+    return "map<" not in dtype.simpleString() and not isinstance(dtype, (T.NullType, T.VariantType))
+
+
+def _distinct_values(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Exact numbers of distinct values, nulls not counted."""
+    cells = []
+    for name in names:
+        value = F.col(quote_identifier(name))
+        cell = F.struct(F.lit(name).alias("column_name"), F.xxhash64(value).alias("h"), F.xxhash64(F.lit(1), value).alias("g"))
+        cells.append(F.when(value.isNotNull(), cell))
+    each = df.select(F.explode(F.array(*cells)).alias("c")).where("c IS NOT NULL").select("c.*")
+    return each.groupBy("column_name", "h", "g").count().groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values"))
+
+
 def freshness(df: DataFrame, ts: str, as_of: str | Column, limit: str) -> DataFrame:
     """Newest timestamp of a table and whether it is within ``limit`` of ``as_of``."""
     now = F.lit(as_of).cast("timestamp_ntz") if isinstance(as_of, str) else as_of

@@ -74,3 +74,17 @@ def test_cheap_conditions_equal_casts(spark):
         plain = f"x IS NOT NULL AND try_cast(x AS {spark_type}) IS NULL"
         got = r.count_violations(df, [ColumnRule("x", name)]).first()["violations"]
         assert got == df.where(plain).count(), name
+
+
+def test_profile_covers_every_column(spark):
+    df = spark.sql(
+        "SELECT * FROM VALUES (CAST(9 AS DECIMAL(6,2)), array(1), map(1, 2), true, 'b', DATE'2024-01-02'), "
+        "(10, array(1), null, false, null, null), (100.5, null, null, true, 'a', DATE'2024-01-01') AS t(d, a, m, b, s, t)"
+    )
+    expected = [
+        ("a", 3, 1, 1, None, None), ("b", 3, 0, 2, "false", "true"), ("d", 3, 0, 3, "9.00", "100.50"), ("m", 3, 2, None, None, None),
+        ("s", 3, 1, 2, "a", "b"), ("t", 3, 1, 2, "2024-01-01 00:00:00", "2024-01-02 00:00:00"),
+    ]
+    names = ["column_name", "rows", "nulls", "distinct_values", "min_value", "max_value"]
+    assert rows(r.profile(df), *names) == expected == rows(r.profile(df, exact=False), *names)
+    assert {x["distinct_values"] for x in r.profile(df.limit(0)).collect()} == {0, None}
