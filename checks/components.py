@@ -8,6 +8,7 @@ from checks.inputs import derived, table
 from checks.registry import query
 from concordat.functions.names import template_base_id
 from concordat.operators import components as c
+from concordat.operators.component_rules import component_problems
 from concordat.sources.descriptors import parse_descriptors
 
 ROUTES = {
@@ -307,3 +308,95 @@ def tagged_columns(spark, sf_dir):
         ),
     )
     return c.tagged_columns(contract, "PII.Sensitive").select("target_view", "name")
+
+
+_TAG = {"tagFQN": "Tier.Gold", "source": "glossary", "labelType": "DERIVED", "state": "suggested"}
+_COLUMN = {"name": "amount", "dataType": "decimal", "dataLength": "12", "precision": 10, "scale": 2.0, "tags": [_TAG]}
+_COMMON = {
+    "id": "cmp-@", "name": "Component @", "description": "text", "useCaseTemplateId": "urn:t:1",
+    "infrastructureTemplateId": "urn:i:1", "specific": None,
+}
+_VALID = {
+    "outputport": {
+        **_COMMON, "version": "1", "dependsOn": ["cmp-1"], "outputPortType": "SQL", "tags": [_TAG],
+        "creationDate": "2024-05-01T10:00:00Z", "dataContract": {"schema": [_COLUMN, {"name": "n", "dataType": "STRING"}]},
+        "dataSharingAgreement": {"purpose": "reports"}, "semanticLinking": [{"of": "amount"}],
+    },
+    "workload": {
+        **_COMMON, "version": "1", "dependsOn": [], "connectionType": "housekeeping", "tags": [], "readsFrom": ["x"],
+    },
+    "storage": {**_COMMON, "dependsOn": [], "tags": [_TAG], "storageType": "files"},
+    "observability": {
+        **_COMMON, "endpoint": "https://look.example.com/@", "completeness": {}, "dataProfiling": {"rows": 1},
+        "freshness": {}, "availability": {}, "dataQuality": {},
+    },
+}
+_ABSENT = object()
+
+
+def _schema(**changes):
+    return {"dataContract": {"schema": [_COLUMN, {**_COLUMN, **changes}]}}
+
+
+# Kind, what differs from the valid document, and the problems that makes.
+_BREAKS = [
+    *[(kind, {}, "") for kind in _VALID],
+    ("outputport", {"version": 1}, "wrong type of version"),
+    ("outputport", {"version": None}, "missing version"),
+    ("outputport", {"specific": _ABSENT, "dependsOn": "cmp-1"}, "missing specific;wrong type of dependsOn"),
+    ("outputport", {"dependsOn": ["a", None, 3]}, "wrong type of dependsOn[1];wrong type of dependsOn[2]"),
+    ("outputport", {"outputPortType": _ABSENT}, "missing outputPortType"),
+    ("outputport", {"creationDate": "soon", "startDate": 1714557600}, "wrong type of creationDate"),
+    ("outputport", {"dataContract": _ABSENT}, "missing dataContract"),
+    ("outputport", {"dataContract": {}}, ""),
+    ("outputport", {"dataContract": {"schema": {"name": "a"}}}, "wrong type of dataContract.schema"),
+    ("outputport", {"dataContract": {"schema": ["a"]}}, "wrong type of dataContract.schema[0]"),
+    ("outputport", _schema(dataType="NUMBERS"), "invalid dataContract.schema[1].dataType"),
+    ("outputport", _schema(name=None, scale=2.5), "missing dataContract.schema[1].name;wrong type of dataContract.schema[1].scale"),
+    ("outputport", _schema(dataLength="abc", precision=True),
+     "wrong type of dataContract.schema[1].dataLength;wrong type of dataContract.schema[1].precision"),
+    ("outputport", _schema(tags=[{}]), "missing dataContract.schema[1].tags[0].tagFQN"),
+    ("outputport", _schema(tags=[_TAG, {**_TAG, "source": "Nope"}]), "invalid dataContract.schema[1].tags[1].source"),
+    ("outputport", _schema(tags=[{**_TAG, "labelType": None}]), "wrong type of dataContract.schema[1].tags[0].labelType"),
+    ("outputport", {"dataSharingAgreement": {"billing": 3}}, "wrong type of dataSharingAgreement.billing"),
+    ("outputport", {"sampleData": [], "semanticLinking": ["x"]}, "wrong type of sampleData;wrong type of semanticLinking[0]"),
+    ("workload", {"connectionType": "rope"}, "invalid connectionType"),
+    ("workload", {"connectionType": _ABSENT}, "missing connectionType"),
+    ("workload", {"readsFrom": [1], "tags": [{"tagFQN": 5, "state": "late"}]},
+     "wrong type of tags[0].tagFQN;invalid tags[0].state;wrong type of readsFrom[0]"),
+    ("storage", {"tags": None, "storageType": {}}, "wrong type of storageType;missing tags"),
+    ("storage", {"description": _ABSENT, "fullyQualifiedName": False}, "missing description;wrong type of fullyQualifiedName"),
+    ("observability", {"endpoint": "look"}, "invalid endpoint"),
+    ("observability", {"endpoint": 3, "freshness": "daily"}, "wrong type of endpoint;wrong type of freshness"),
+    ("observability", {"availability": _ABSENT, "dataQuality": None}, "missing availability;missing dataQuality"),
+    ("daemon", {}, "unknown kind daemon"),
+]
+
+
+def _by_case(texts):
+    whens = " ".join(f"WHEN {i} THEN '{text}'" for i, text in enumerate(texts))
+    return f"CASE p_partkey % {len(texts)} {whens} END"
+
+
+def _documents():
+    import json
+
+    for kind, changes, _ in _BREAKS:
+        whole = {"kind": kind, **_VALID.get(kind, _COMMON), **changes}
+        yield json.dumps({name: value for name, value in whole.items() if value is not _ABSENT})
+
+
+@query(
+    "v1_component_documents",
+    f"""SELECT p_partkey, concat('cmp-', CAST(p_partkey AS VARCHAR)) AS id,
+               {_by_case([problems for _, _, problems in _BREAKS])} AS problems FROM part""",
+)
+def component_documents(spark, sf_dir):
+    """Components as JSON, each kind valid and with every kind of fault, checked down to their tags."""
+    text = F.replace(F.expr(_by_case(list(_documents()))), F.lit("@"), F.col("p_partkey").cast("string"))
+    read = table(spark, sf_dir, "part").select("p_partkey", F.parse_json(text).alias("component"))
+    return read.select(
+        "p_partkey",
+        F.expr("try_variant_get(component, '$.id', 'string')").alias("id"),
+        F.array_join(F.expr(component_problems("component")), ";").alias("problems"),
+    )

@@ -1,24 +1,22 @@
 """YAML descriptors as typed rows.
 
-Only the YAML to JSON step runs in Python, batch by batch; typing, required
-fields and everything later are native.  Text that cannot be read gives a row
-with errors.
+Only the YAML to JSON step runs in Python, on the text column alone; typing, rules and
+everything later are native.  Text that cannot be read gives a row with errors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordat.operators.components import component_errors
-from concordat.schemas import COMPONENT, DESCRIPTOR
+from concordat.functions.names import canonical_member
+from concordat.operators.component_rules import component_problems, product_problems, with_tag_defaults
+from concordat.operators.components import CONNECTION_TYPES
+from concordat.schemas import DESCRIPTOR
 
-# Fields a data product must have, and its kind.
-PRODUCT_FIELDS = [
-    "id", "name", "description", "kind", "domain", "version", "environment",
-    "dataProductOwner", "ownerGroup", "devGroup", "tags", "specific", "components",
-]
+# The kinds of a product and of a request's descriptor.
 PRODUCT_KIND = "dataproduct"
 DESCRIPTOR_KIND = "COMPONENT_DESCRIPTOR"
 
@@ -30,14 +28,13 @@ def read_descriptors(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _batch_reader(text: str):
-    """A function for ``mapInPandas``; it carries all it needs, so workers import nothing of ours."""
+def _reader():
+    """A pandas UDF from YAML to JSON; it carries all it needs, so workers import nothing of ours."""
 
-    def convert(batches):
+    def convert(texts: pd.Series) -> pd.DataFrame:
         import datetime
         import json
 
-        import pandas as pd
         import yaml
 
         loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
@@ -52,27 +49,79 @@ def _batch_reader(text: str):
                 document = yaml.load(value or "", Loader=loader)
                 if not isinstance(document, dict):
                     return None, "descriptor is not a mapping"
-                return json.dumps(document, default=plain), None
+                return json.dumps(document, default=plain, allow_nan=False), None
             except yaml.YAMLError as problem:
                 return None, "unreadable YAML: " + " ".join(str(problem).split())
             except (TypeError, ValueError, RecursionError) as problem:
                 return None, f"descriptor has no JSON form: {problem}"
 
-        for batch in batches:
-            pairs = [read(value) for value in batch[text]]
-            out = batch.drop(columns=[text])
-            for i, name in enumerate(("document", "parse_error")):
-                out[name] = pd.Series([p[i] for p in pairs], index=batch.index, dtype=object)
-            yield out
+        return pd.DataFrame([read(value) for value in texts], columns=["document", "parse_error"], dtype=object)
 
-    return convert
+    return F.pandas_udf(convert, "document string, parse_error string")
 
 
 def to_json(texts: DataFrame, text: str = "descriptor") -> DataFrame:
-    """Replaces the YAML column by ``document`` (JSON) and ``parse_error``."""
-    kept = [f for f in texts.schema.fields if f.name != text]
-    added = [T.StructField(name, T.StringType()) for name in ("document", "parse_error")]
-    return texts.mapInPandas(_batch_reader(text), T.StructType(kept + added))
+    """Replaces the YAML column by ``document`` (JSON) and ``parse_error``; no other column leaves the JVM."""
+    kept = [F.col(f"`{c}`") for c in texts.columns if c != text]
+    read = texts.withColumn("__read", _reader()(F.col(text)))
+    return read.select(*kept, F.col("__read.document").alias("document"), F.col("__read.parse_error").alias("parse_error"))
+
+
+def _with_numbers_as(dtype: T.DataType, number: T.DataType) -> T.DataType:
+    """The type with every integer in it replaced."""
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, _with_numbers_as(f.dataType, number)) for f in dtype.fields])
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(_with_numbers_as(dtype.elementType, number))
+    return number if isinstance(dtype, T.IntegerType) else dtype
+
+
+def _typed(document: Column) -> Column:
+    """The document in its schema; numbers may be written as texts, as in ``dataLength: '10'``."""
+    read = F.from_json(document, _with_numbers_as(DESCRIPTOR, T.StringType()))
+    return read.try_cast(_with_numbers_as(DESCRIPTOR, T.DoubleType())).try_cast(DESCRIPTOR)
+
+
+def _with_defaults(product: Column) -> Column:
+    """Tags and connection types as the model has them: canonical case, defaults filled in."""
+
+    def of_column(column: Column) -> Column:
+        return column.withField("tags", with_tag_defaults(column["tags"]))
+
+    def of_component(component: Column) -> Column:
+        contract = component["dataContract"]
+        filled = contract.withField("schema", F.transform(contract["schema"], of_column))
+        return (
+            component.withField("tags", with_tag_defaults(component["tags"]))
+            .withField("connectionType", canonical_member(component["connectionType"], CONNECTION_TYPES))
+            .withField("dataContract", F.when(contract.isNotNull(), filled))
+        )
+
+    return product.withField("tags", with_tag_defaults(product["tags"])).withField(
+        "components", F.transform(product["components"], of_component)
+    )
+
+
+def _document_problems(document: str) -> Column:
+    """Problems of a readable document: of the product, of the wanted component, of each component with its place."""
+    product = f"try_variant_get({document}, '$.dataProduct', 'variant')"
+    components = f"try_variant_get({document}, '$.dataProduct.components', 'array<variant>')"
+    kind = f"try_variant_get({document}, '$.dataProduct.kind', 'string')"
+    wanted = f"try_variant_get({document}, '$.componentIdToProvision', 'string')"
+    listed = f"exists({components}, one -> coalesce(try_variant_get(one, '$.id', 'string') = {wanted}, false))"
+    return F.expr(f"""CASE WHEN {product} IS NULL OR is_variant_null({product}) THEN array('missing dataProduct')
+        WHEN try_variant_get({product}, '$', 'map<string,variant>') IS NULL THEN array('wrong type of dataProduct')
+        ELSE concat(
+            {product_problems(product)},
+            array_compact(array(
+                CASE WHEN {kind} <> '{PRODUCT_KIND}' THEN 'product kind is not dataproduct' END,
+                CASE WHEN {wanted} IS NULL THEN 'missing componentIdToProvision'
+                     WHEN NOT coalesce({listed}, false)
+                     THEN 'componentIdToProvision is not a component of the product' END)),
+            coalesce(flatten(transform({components}, (component, place) ->
+                transform({component_problems("component")},
+                          problem -> concat('component ', place, ': ', problem)))),
+                CAST(array() AS array<string>))) END""")
 
 
 def parse_descriptors(
@@ -86,47 +135,29 @@ def parse_descriptors(
     few partitions over so many tasks.
     """
     spread = texts.repartition(partitions) if partitions else texts
+    kept = [F.col(f"`{c}`") for c in texts.columns if c != text]
     # Generated columns are computed once: a filter on the result would otherwise
     # repeat the JSON parsing for every field it looks at.
-    kept = [c for c in texts.columns if c != text]
     parsed = to_json(spread, text).select(
-        *kept, "parse_error", F.explode(F.array(F.from_json("document", DESCRIPTOR))).alias("d")
+        *kept, "parse_error",
+        F.explode(F.array(F.struct(
+            _typed(F.col("document")).alias("d"), F.try_parse_json("document").alias("v")
+        ))).alias("read"),
     )
-    product = F.col("d.dataProduct")
-    readable = F.col("parse_error").isNull()
-    checks = [F.col("parse_error")]
+    unreadable = F.coalesce("parse_error", F.when(F.col("read.v").isNull(), "descriptor has no JSON form"))
+    of_request = []
     if "descriptor_kind" in texts.columns:
-        checks.append(
-            F.when(
-                ~F.coalesce(F.col("descriptor_kind") == DESCRIPTOR_KIND, F.lit(False)),
-                F.concat(F.lit("unexpected descriptor kind "), F.coalesce("descriptor_kind", F.lit("none"))),
-            )
-        )
-    checks.append(F.when(readable & product.isNull(), "missing dataProduct"))
-    has_product = readable & product.isNotNull()
-    checks += [
-        F.when(has_product & product[field].isNull(), F.lit(f"missing {field}"))
-        for field in PRODUCT_FIELDS
-    ]
-    checks.append(
-        F.when(has_product & (product["kind"] != PRODUCT_KIND), F.lit("product kind is not dataproduct"))
+        fits = F.coalesce(F.col("descriptor_kind") == DESCRIPTOR_KIND, F.lit(False))
+        named = F.concat(F.lit("unexpected descriptor kind "), F.coalesce("descriptor_kind", F.lit("none")))
+        of_request.append(F.when(~fits, named))
+    errors = F.concat(
+        F.array_compact(F.array(unreadable, *of_request)),
+        F.when(unreadable.isNull(), _document_problems("read.v")).otherwise(F.array().cast("array<string>")),
     )
-    own = F.array_compact(F.array(*checks))
-    errors = F.concat(own, F.coalesce(_component_problems(), F.array().cast("array<string>")))
-    return parsed.withColumn("errors", errors).select(
+    judged = parsed.select(*kept, "read.d", F.explode(F.array(errors)).alias("errors"))
+    return judged.select(
         *kept,
-        F.when(F.size("errors") == 0, product).alias("product"),
+        F.when(F.size("errors") == 0, _with_defaults(F.col("d.dataProduct"))).alias("product"),
         F.col("d.componentIdToProvision").alias("component_id"),
         "errors",
     )
-
-
-def _component_problems():
-    """Problems of all components of a product, each with the component's place in it."""
-
-    def of_one(component, place):
-        problems = component_errors([f.name for f in COMPONENT.fields], component)
-        label = F.concat(F.lit("component "), place.cast("string"), F.lit(": "))
-        return F.transform(problems, lambda p: F.concat(label, p))
-
-    return F.flatten(F.transform("d.dataProduct.components", of_one))

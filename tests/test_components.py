@@ -219,3 +219,35 @@ def test_canonical_member(spark):
     df = spark.createDataFrame([("MANUAL",), ("derived",), ("x",), (None,)], "v string")
     got = [r[0] for r in df.select(names.canonical_member("v", ["Manual", "Derived"])).collect()]
     assert got == ["Manual", "Derived", None, None]
+
+
+def test_other_columns_do_not_pass_through_python(spark):
+    df = spark.createDataFrame([(9007199254740993, ALL_KINDS), (None, ALL_KINDS)], "key bigint, descriptor string")
+    assert rows(parse_descriptors(df), "key") == sorted([(9007199254740993,), (None,)], key=repr)
+
+
+@pytest.mark.parametrize(
+    "old, new, expected",
+    [
+        ("componentIdToProvision: port2\n", "", "missing componentIdToProvision"),
+        ("Provision: port2", "Provision: port9", "componentIdToProvision is not a component of the product"),
+        ("constraint: PRIMARY_KEY", "dataLength: abc", "component 0: wrong type of dataContract.schema[0].dataLength"),
+        ("dataType: DATE", "dataType: NUMBERS", "component 0: invalid dataContract.schema[0].dataType"),
+        ("tags: [{tagFQN: Gold}]", "tags: [{}]", "component 0: missing tags[0].tagFQN"),
+        ("  domain: health", "  domain: 5", "wrong type of domain"),
+    ],
+)
+def test_nested_rules(spark, old, new, expected):
+    errors = parsed(spark, ALL_KINDS.replace(old, new)).first()["errors"]
+    # The port comes twice in the text, so its faults do as well.
+    assert errors == [expected, *([expected.replace("component 0", "component 1")] if "component 0" in expected else [])]
+
+
+def test_defaults_and_numbers_of_the_model(spark):
+    text = ALL_KINDS.replace("constraint: PRIMARY_KEY", "dataLength: '10', precision: 5.0")
+    product = parsed(spark, text).first()["product"]
+    column = product["components"][0]["dataContract"]["schema"][0]
+    assert (column["dataLength"], column["precision"]) == (10, 5)
+    tag = product["components"][0]["tags"][0]
+    assert (tag["source"], tag["labelType"], tag["state"]) == ("Classification", "Manual", "Confirmed")
+    assert product["components"][2]["connectionType"] == "DATAPIPELINE"
