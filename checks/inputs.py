@@ -56,6 +56,22 @@ INPUTS: dict[str, str] = {
         FROM {orders}""",
     "table_constraints": """
         SELECT table_name, constraint_name, split(key_list, ',') AS child_columns FROM {key_lists}""",
+    "catalog_columns": """
+        SELECT split_part(table_name, '.', 1) AS table_catalog, split_part(table_name, '.', 2) AS table_schema,
+               split_part(table_name, '.', 3) AS table_name, column_name, pos + 1 AS ordinal_position,
+               type_text AS full_data_type, type_precision AS numeric_precision, type_scale AS numeric_scale,
+               CASE WHEN nullable THEN 'YES' WHEN NOT nullable THEN 'NO' END AS is_nullable, comment
+        FROM {columns_inv}""",
+    "catalog_keys": """
+        SELECT 'cat' AS table_catalog, 'sales' AS table_schema, split_part(table_name, '.', 3) AS table_name,
+               constraint_name, 'PRIMARY KEY' AS constraint_type, split_part(key_list, ',', 2) AS column_name,
+               2 AS ordinal_position FROM {key_lists}
+        UNION ALL
+        SELECT 'cat', 'sales', split_part(table_name, '.', 3), constraint_name, 'PRIMARY KEY',
+               split_part(key_list, ',', 1), 1 FROM {key_lists}
+        UNION ALL
+        SELECT 'cat', 'sales', split_part(table_name, '.', 3), 'fk', 'FOREIGN KEY',
+               split_part(key_list, ',', 1), 1 FROM {key_lists}""",
     "contract_columns": """
         SELECT concat('cat.pub.v', CAST(l_orderkey AS STRING)) AS target_view,
                concat('cat.sales.t', CAST(l_orderkey AS STRING)) AS source_table,
@@ -133,12 +149,11 @@ INPUTS: dict[str, str] = {
         FROM {{customer}} GROUP BY c_mktsegment""",
     "access_requests": """
         SELECT concat('cat.', lower(c_mktsegment), '.n', CAST(c_nationkey AS STRING)) AS securable,
-               CASE WHEN o_orderkey % 997 = 0 THEN concat('invalid:', c_name)
+               CASE WHEN c_nationkey % 6 = 5 AND o_orderkey % 10 = 0 THEN concat('invalid:', c_name)
                     WHEN o_orderkey % 5 = 0
                     THEN concat('group:nation_', CAST(c_nationkey - c_nationkey % 5 + 2 AS STRING))
                     ELSE concat('user:', replace(lower(c_name), '#', '.'), '_example.com') END AS ref
-        FROM {orders} JOIN {customer} ON o_custkey = c_custkey
-        WHERE o_orderstatus <> 'P'""",
+        FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
     "access_securables": """
         SELECT concat('cat.', lower(c_mktsegment), '.n', CAST(c_nationkey AS STRING)) AS securable,
                CASE WHEN c_mktsegment < 'G' THEN 'DEVELOPMENT' ELSE 'production' END AS environment,
@@ -147,7 +162,7 @@ INPUTS: dict[str, str] = {
         FROM {customer} GROUP BY c_mktsegment, c_nationkey""",
     "access_grants": f"""
         SELECT concat('cat.', lower(c_mktsegment), '.n', CAST(c_nationkey AS STRING)) AS securable,
-               CASE WHEN c_custkey % 311 = 0 THEN '' ELSE {_MAIL} END AS principal,
+               CASE WHEN c_nationkey % 7 = 3 AND c_custkey % 10 = 1 THEN '' ELSE {_MAIL} END AS principal,
                'SELECT' AS privilege
         FROM {{customer}} WHERE c_custkey % 3 <> 0""",
     "role_assignments": """
@@ -184,6 +199,8 @@ INPUTS: dict[str, str] = {
         SELECT concat(' ', name, ' ') AS name, id, seq FROM {name_directory}""",
     "unique_requests": """
         SELECT l_orderkey AS request_id, concat('job_', CAST(l_partkey AS STRING)) AS name FROM {lineitem}""",
+    "delete_requests": """
+        SELECT concat('job_', CAST(l_suppkey AS STRING)) AS name FROM {lineitem}""",
     "unique_existing": """
         SELECT concat('job_', CAST(p_partkey - CASE WHEN p_partkey % 5 = 1 THEN 1 ELSE 0 END AS STRING)) AS name,
                CASE WHEN p_partkey % 11 <> 0 THEN p_partkey END AS id,
@@ -238,6 +255,16 @@ INPUTS: dict[str, str] = {
                     WHEN 3 THEN 'notebook_compute' ELSE 'none' END,
                concat('Object_', CAST(p_partkey AS STRING)), concat('more-', CAST(p_partkey AS STRING))
         FROM {part} WHERE p_partkey % 31 = 0""",
+    "rebuild_targets": """
+        SELECT ref_type, name, CASE WHEN ref_type = 'job' AND id NOT LIKE 'new-%7'
+                                    THEN replace(replace(id, 'new-', ''), 'more-', '') ELSE id END AS id
+        FROM {target_directory}""",
+    "rebuild_infos": """
+        SELECT o_orderkey AS job_id, 'main' AS task_key, 1 AS seq,
+               CASE o_custkey % 5 WHEN 0 THEN 'pipeline' WHEN 1 THEN 'job' WHEN 2 THEN 'notebook_warehouse'
+                    WHEN 3 THEN 'notebook_compute' END AS ref_type,
+               concat('Object_', CAST(o_custkey AS STRING)) AS name
+        FROM {orders} WHERE o_orderkey % 6 <> 5""",
     "run_as_definitions": """
         SELECT o_orderkey AS job_id,
                CASE WHEN o_orderkey % 11 = 0 THEN ' '

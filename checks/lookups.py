@@ -143,11 +143,11 @@ def upsert_plan(spark, sf_dir):
 @query(
     "a4_delete_plan",
     """SELECT name, id, 'DELETE' AS action FROM {unique_existing}
-       WHERE name IN (SELECT name FROM {unique_requests} WHERE request_id % 3 = 0)""",
+       WHERE name IN (SELECT name FROM {delete_requests})""",
 )
 def delete_plan(spark, sf_dir):
     return lookup.delete_plan(
-        derived(spark, sf_dir, "unique_requests").where("request_id % 3 = 0"),
+        derived(spark, sf_dir, "delete_requests"),
         derived(spark, sf_dir, "unique_existing").select("name", "id"),
     )
 

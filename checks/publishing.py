@@ -6,13 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from checks.inputs import TABLES, table
+from checks.inputs import TABLES, derived, table
 from checks.registry import query
 from concordat.operators.contract import contract_projection, missing_columns
 from concordat.operators.row_rules import ColumnRule, count_violations
 from concordat.session import shared_folder
-from concordat.sources.catalog import column_inventory, scan_files
-from concordat.sources.views import ViewColumn, described_columns, publish_view
+from concordat.sources.catalog import column_inventory, inventory_from_catalog, keys_from_catalog, scan_files
+from concordat.sources.views import ViewColumn, described_columns, publish_view, unpublish_view
 from concordat.streaming.projection import publish_stream
 
 
@@ -88,6 +88,51 @@ def described_view(spark, sf_dir):
     return described.join(filled, ["column_name"])
 
 
+@query(
+    "s4_unpublished_views",
+    """SELECT 's4_kept' AS view_name, false AS dropped, false AS dropped_again, count(*) AS rows_left FROM orders
+       UNION ALL SELECT 's4_taken_back', true, false, NULL""",
+)
+def unpublished_views(spark, sf_dir):
+    """Two views of orders are published and one is taken back, twice; rows are read through what is left."""
+    views = ["s4_kept", "s4_taken_back"]
+    for view in views:
+        publish_view(spark, f"parquet.`{sf_dir}/orders.parquet`", [view], temporary=True)
+    dropped = {"s4_taken_back": unpublish_view(spark, ["s4_taken_back"])}
+    again = {"s4_taken_back": unpublish_view(spark, ["s4_taken_back"])}
+    found = None
+    for view in views:
+        is_left = spark.catalog.tableExists(view)
+        counted = (spark.table(view) if is_left else table(spark, sf_dir, "orders")).agg(
+            F.lit(view).alias("view_name"),
+            F.lit(dropped.get(view, False)).alias("dropped"),
+            F.lit(again.get(view, False)).alias("dropped_again"),
+            (F.count(F.lit(1)) if is_left else F.max(F.lit(None).cast("bigint"))).alias("rows_left"),
+        )
+        found = counted if found is None else found.unionByName(counted)
+    return found
+
+
+@query(
+    "s5_inventory_from_catalog",
+    """SELECT concat('cat.sales.', split_part(table_name, '.', 3)) AS table_name, pos, column_name, type_name, type_text,
+              type_precision, type_scale, nullable, comment FROM {columns_inv}""",
+)
+def inventory_of_catalog(spark, sf_dir):
+    """The inventory of an estate of one table per order, from rows as a catalog lists its columns."""
+    return inventory_from_catalog(derived(spark, sf_dir, "catalog_columns"))
+
+
+@query(
+    "s5_keys_from_catalog",
+    """SELECT table_name, constraint_name, key_list FROM {key_lists}""",
+)
+def keys_of_catalog(spark, sf_dir):
+    """Primary keys from rows as a catalog lists the columns of its constraints."""
+    keys = keys_from_catalog(derived(spark, sf_dir, "catalog_keys"))
+    return keys.select("table_name", "constraint_name", F.array_join("child_columns", ",").alias("key_list"))
+
+
 # Column types of the given tables as the inventory names them.
 _COLUMN_TYPES = {
     "region": {"r_regionkey": "INT", "r_name": "STRING"},

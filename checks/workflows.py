@@ -98,3 +98,70 @@ def nested_rewrite(spark, sf_dir):
     return nested.select(
         "job_id", F.array_join(shown, " ").alias("tasks"), F.array_join("errors.error", ",").alias("errors")
     )
+
+
+_OLD = "'old-' || CAST(o_custkey AS VARCHAR)"
+
+
+@query(
+    "j9_rebuilt_jobs",
+    f"""AS_WITH ids AS (SELECT ref_type, CASE WHEN ref_type IN ('pipeline', 'job') THEN name ELSE lower(name) END AS k,
+                           count(*) AS n, min(id) AS id
+              FROM {{rebuild_targets}} WHERE ref_type IN ('pipeline', 'job') OR id IS NOT NULL GROUP BY ALL),
+      found AS (SELECT o.*, i.job_id IS NOT NULL AS listed, i.ref_type, n, id,
+                       o_orderkey % 13 = 0 AS has_none, o_orderkey % 10 = 9 AS is_plain
+                FROM orders o LEFT JOIN {{rebuild_infos}} i ON o_orderkey = i.job_id
+                LEFT JOIN ids ON ids.ref_type = i.ref_type AND k =
+                  CASE WHEN i.ref_type IN ('pipeline', 'job') THEN i.name ELSE lower(i.name) END),
+      judged AS (SELECT *, CASE WHEN has_none OR NOT listed OR ref_type IS NULL THEN ''
+                     WHEN n IS NULL THEN 'main NAME_NOT_FOUND'
+                     WHEN ref_type IN ('pipeline', 'job') AND n > 1 THEN 'main NAME_NOT_UNIQUE'
+                     WHEN id IS NULL THEN 'main EMPTY_ID'
+                     WHEN is_plain AND ref_type <> 'notebook_compute' THEN 'main TASK_OF_ANOTHER_TYPE'
+                     WHEN ref_type = 'job' AND TRY_CAST(id AS BIGINT) IS NULL THEN 'main JOB_ID_NOT_A_NUMBER'
+                     ELSE '' END AS errors,
+                 CASE WHEN listed AND ref_type IS NOT NULL THEN id END AS new_id FROM found)
+      SELECT o_orderkey AS job_id, o_orderpriority AS job_name, errors,
+             CASE WHEN has_none THEN CASE WHEN o_orderkey % 2 = 0 THEN '[]' END
+                  WHEN errors = '' THEN '[{{"task_key":"main"' || CASE WHEN is_plain THEN
+                        CASE WHEN new_id IS NOT NULL THEN ',"existing_cluster_id":"' || new_id || '"' ELSE '' END
+                     ELSE CASE o_custkey % 5
+                        WHEN 0 THEN ',"pipeline_task":{{"pipeline_id":"' || coalesce(new_id, {_OLD}) || '"}}'
+                        WHEN 1 THEN ',"run_job_task":{{"job_id":' || coalesce(new_id, CAST(o_custkey AS VARCHAR)) || '}}'
+                        WHEN 2 THEN ',"notebook_task":{{"warehouse_id":"' || coalesce(new_id, {_OLD}) || '"}}'
+                        ELSE ',"notebook_task":{{}},"existing_cluster_id":"' || coalesce(new_id, {_OLD}) || '"' END
+                     END || '}},{{"task_key":"last","notebook_task":{{"warehouse_id":"kept"}}}}]' END AS tasks
+      FROM judged""",
+)
+def rebuilt_jobs(spark, sf_dir):
+    """Whole nested jobs, compared as JSON: all types, jobs without tasks, tasks of another type."""
+    kind, key, order = F.col("o_custkey") % 5, F.col("o_custkey"), F.col("o_orderkey")
+    old = F.concat(F.lit("old-"), key.cast("string"))
+    is_plain = order % 10 == 9
+    none = F.lit(None).cast("string")
+    main = F.struct(
+        F.lit("main").alias("task_key"),
+        F.when(~is_plain & (kind == 0), F.struct(old.alias("pipeline_id"))).alias("pipeline_task"),
+        F.when(~is_plain & (kind == 1), F.struct(key.alias("job_id"))).alias("run_job_task"),
+        F.when(~is_plain & (kind > 1), F.struct(F.when(kind == 2, old).alias("warehouse_id"))).alias("notebook_task"),
+        F.when(~is_plain & (kind > 2), old).alias("existing_cluster_id"),
+    )
+    last = F.struct(
+        F.lit("last").alias("task_key"),
+        F.lit(None).cast("struct<pipeline_id:string>").alias("pipeline_task"),
+        F.lit(None).cast("struct<job_id:bigint>").alias("run_job_task"),
+        F.struct(F.lit("kept").alias("warehouse_id")).alias("notebook_task"),
+        none.alias("existing_cluster_id"),
+    )
+    tasks = F.array(main, last)
+    empty = F.filter(tasks, lambda task: F.lit(False))
+    jobs = table(spark, sf_dir, "orders").select(
+        order.alias("job_id"),
+        F.col("o_orderpriority").alias("job_name"),
+        F.when(order % 13 != 0, tasks).when(order % 2 == 0, empty).alias("tasks"),
+    )
+    rebuilt = w.rebuild_jobs(jobs, derived(spark, sf_dir, "rebuild_infos"), derived(spark, sf_dir, "rebuild_targets"))
+    listed = F.transform("errors", lambda e: F.concat_ws(" ", e["task_key"], e["error"]))
+    return rebuilt.select(
+        "job_id", "job_name", F.to_json("tasks").alias("tasks"), F.array_join(listed, ",").alias("errors")
+    )

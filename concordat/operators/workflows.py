@@ -101,7 +101,8 @@ def _target_ids(directory: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def rewrite_references(
-    tasks: DataFrame, infos: DataFrame, target: DataFrame, salts: int = 1, order: Sequence[str] = ("id",)
+    tasks: DataFrame, infos: DataFrame, target: DataFrame, salts: int = 1, order: Sequence[str] = ("id",),
+    with_type: bool = False,
 ) -> DataFrame:
     """Each task with the id its reference has in the target estate.
 
@@ -109,7 +110,8 @@ def rewrite_references(
     ``ref_type``, ``name``); of several for one task the last counts, and tasks
     without one keep their reference.  Rows keep ``pos`` for the original order.
     Of several warehouses or clusters with one name the first in ``order`` counts, columns
-    of ``target``.  A target without an id is an error for every type.
+    of ``target``.  A target without an id is an error for every type.  ``with_type`` adds
+    ``new_ref_type``, the type under which a changed reference is listed.
     """
     last = F.max(F.struct("seq", F.col("ref_type").alias("t"), F.col("name").alias("n")))
     latest = (
@@ -141,11 +143,55 @@ def rewrite_references(
     )
     new_id = F.when(changes, F.when(error.isNull(), F.col("__new_id"))).otherwise(F.col("ref_id"))
     carried = [c for c in tasks.columns if c != "ref_id"]
+    written = [F.when(changes, F.col("__type")).alias("new_ref_type")] if with_type else []
     return joined.select(
-        *carried, F.col("ref_id"), new_id.alias("new_ref_id"), error.alias("error")
+        *carried, F.col("ref_id"), new_id.alias("new_ref_id"), *written, error.alias("error")
     )
 
 
+def rebuild_jobs(
+    jobs: DataFrame, infos: DataFrame, target: DataFrame, salts: int = 1, order: Sequence[str] = ("id",)
+) -> DataFrame:
+    """The nested jobs with every listed reference replaced by the id of the target estate.
+
+    ``jobs`` has one row per ``job_id`` with an array ``tasks`` of nested definitions; its other
+    columns are kept.  ``errors`` lists, in the order of the tasks, what stands in the way of a
+    job; such a job has null ``tasks``.  Beside the errors of ``rewrite_references`` a task may
+    lack the definition its reference is written into, and a job's id may be no number.
+    A job without tasks is returned as it is.
+    """
+    rewritten = rewrite_references(explode_tasks(jobs), infos, target, salts, order, with_type=True)
+    task, kind, new_id = F.col("task"), F.col("new_ref_type"), F.col("new_ref_id").cast("string")
+    number = new_id.try_cast("bigint")
+    lacks = {
+        "pipeline": task["pipeline_task"].isNull(),
+        "job": task["run_job_task"].isNull(),
+        "notebook_warehouse": task["notebook_task"].isNull(),
+    }
+    no_place = F.lit(False)
+    for name, absent in lacks.items():
+        no_place = no_place | ((kind == name) & absent)
+    error = (
+        F.when(F.col("error").isNotNull(), F.col("error"))
+        .when(no_place, "TASK_OF_ANOTHER_TYPE")
+        .when((kind == "job") & number.isNull(), "JOB_ID_NOT_A_NUMBER")
+    )
+    changed = (
+        F.when(kind == "pipeline", task.withField("pipeline_task.pipeline_id", new_id))
+        .when(kind == "job", task.withField("run_job_task.job_id", number))
+        .when(kind == "notebook_warehouse", task.withField("notebook_task.warehouse_id", new_id))
+        .when(kind == "notebook_compute", task.withField("existing_cluster_id", new_id))
+        .otherwise(task)
+    )
+    nested = nest_tasks(rewritten.withColumns({"task": changed, "error": error}), "task").withColumns(
+        {"__tasks": F.col("tasks.task")}
+    )
+    whole = keyed_join(jobs, nested.drop("tasks"), ["job_id"], "left", unique_facts=True)
+    failed = F.size("errors") > 0
+    rebuilt = F.when(F.coalesce(F.size("tasks"), F.lit(0)) <= 0, F.col("tasks")).when(~failed, F.col("__tasks"))
+    return whole.select(*[c for c in jobs.columns if c != "tasks"], rebuilt.alias("tasks"), "errors")
+
+
 def nest_tasks(rows: DataFrame, *fields: str) -> DataFrame:
     """Task rows as one ordered array per job, for tasks that came from nested definitions.
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concordat.functions.names import quote_identifier
@@ -55,6 +56,47 @@ def column_inventory(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Da
     return spark.createDataFrame(rows, COLUMN_INVENTORY)
 
 
+def _full_name() -> Column:
+    return F.concat_ws(".", "table_catalog", "table_schema", "table_name")
+
+
+def inventory_from_catalog(columns: DataFrame) -> DataFrame:
+    """The inventory of a whole estate from its catalog's own table of columns.
+
+    ``columns`` is laid out as ``information_schema.columns``: the three parts of the table's
+    name, ``column_name``, ``ordinal_position`` (from 1), ``full_data_type``,
+    ``numeric_precision``, ``numeric_scale``, ``is_nullable`` (YES, NO or null) and ``comment``.
+    Nothing is listed by the driver and no table is opened.
+    """
+    return columns.select(
+        _full_name().alias("table_name"),
+        (F.col("ordinal_position") - 1).cast("int").alias("pos"),
+        "column_name",
+        F.upper("full_data_type").alias("type_name"),
+        F.col("full_data_type").alias("type_text"),
+        F.col("numeric_precision").cast("int").alias("type_precision"),
+        F.col("numeric_scale").cast("int").alias("type_scale"),
+        (F.upper("is_nullable") == "YES").alias("nullable"),
+        "comment",
+    )
+
+
+def keys_from_catalog(usage: DataFrame, constraint_type: str = "PRIMARY KEY") -> DataFrame:
+    """Key constraints (``table_name``, ``constraint_name``, ``child_columns``) in key order.
+
+    ``usage`` has a row per column of a constraint, as the catalog's key columns joined with
+    its constraints: the table's name in parts, ``constraint_name``, ``constraint_type``,
+    ``column_name`` and ``ordinal_position``.  A key has no more columns than its table.
+    """
+    placed = F.array_sort(F.collect_list(F.struct("ordinal_position", "column_name")))
+    return (
+        usage.where(F.col("constraint_type") == constraint_type)
+        .groupBy(_full_name().alias("table_name"), "constraint_name")
+        .agg(placed.alias("placed"))
+        .select("table_name", "constraint_name", F.col("placed.column_name").alias("child_columns"))
+    )
+
+
 def database_inventory(spark: SparkSession, database: str) -> DataFrame:
     """The columns of every table and view of a database."""
     names = [t.name for t in spark.catalog.listTables(database) if not t.isTemporary]

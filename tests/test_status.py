@@ -7,7 +7,7 @@ from concordat.operators.status import fold_status, orphan_updates
 from concordat.schemas import STATUS_EVENT
 from concordat.session import STREAMING_SETTINGS
 from concordat.streaming.projection import publish_stream
-from concordat.streaming.status import fold_status_stream, latest_status, stream_creations
+from concordat.streaming.status import fold_status_stream, latest_status, stream_creations, versions_to_read
 
 
 def log(spark, *events):
@@ -86,13 +86,18 @@ def test_stream_equals_batch_over_several_batches_and_runs(spark, conf, tmp_path
         seen += chunk
         log(spark, *chunk).write.mode("append").parquet(source)
         stream = spark.readStream.schema(STATUS_EVENT).option("maxFilesPerTrigger", 2).parquet(source)
-        fold_status_stream(stream, target, checkpoint).awaitTermination()
+        fold_status_stream(stream, target, checkpoint, compact_every=2).awaitTermination()
         expected, orphans = replay(seen)
         assert rows(latest_status(spark, target)) == sorted(expected, key=repr)
     late = orphan_updates(log(spark, *seen), stream_creations(spark, target))
     assert rows(late, "task_id", "seq") == sorted(orphans, key=repr)
-    versions = {r["version"] for r in spark.read.parquet(target).select("version").distinct().collect()}
-    assert len(versions) > 3
+    versions = {r["version"] for r in spark.read.parquet(f"{target}/versions").select("version").distinct().collect()}
+    last_mark = spark.read.parquet(f"{target}/marks").agg({"mark": "max"}).first()[0]
+    assert len(versions) > 3 and last_mark > 1
+    read = versions_to_read(spark, target)
+    assert read.agg({"version": "min"}).first()[0] == last_mark
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(version" in plan  # older folders are pruned, not read
 
 
 def test_streamed_projection_continues_where_it_stopped(spark, tmp_path):

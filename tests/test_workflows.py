@@ -170,3 +170,28 @@ def test_last_wins(spark):
         [(1, [("a", "1"), ("b", "2"), ("a", "3")]), (2, None), (3, [])], "id int, e array<struct<name:string,value:string>>"
     )
     assert {r[0]: r[1] for r in lists.select("id", last_wins_map("e")).collect()} == {1: {"a": "3", "b": "2"}, 2: {}, 3: {}}
+
+
+def test_rebuilt_jobs(spark):
+    shape = ("job_id bigint, name string, tasks array<struct<task_key: string, pipeline_task: struct<pipeline_id: string>,"
+             " run_job_task: struct<job_id: bigint>, notebook_task: struct<warehouse_id: string>, existing_cluster_id: string>>")
+    task = lambda key, pipeline=None, job=None, warehouse=None, cluster=None: (
+        key, pipeline and (pipeline,), job and (job,), warehouse and (warehouse,), cluster)
+    jobs = spark.createDataFrame([
+        (1, "a", [task("p", pipeline="old"), task("plain", warehouse="w"), task("j", job=5)]),
+        (2, "b", None), (3, "c", []),
+        (4, "d", [task("p", warehouse="w"), task("j", job=6)]),
+    ], shape)
+    infos = spark.createDataFrame([
+        (1, "p", 1, "pipeline", "P"), (1, "j", 1, "job", "J"), (4, "p", 1, "pipeline", "P"), (4, "j", 1, "job", "text"),
+    ], "job_id bigint, task_key string, seq int, ref_type string, name string")
+    target = spark.createDataFrame([("pipeline", "P", "new"), ("job", "J", "77"), ("job", "text", "x1")],
+                                   "ref_type string, name string, id string")
+    found = {r["job_id"]: r for r in w.rebuild_jobs(jobs, infos, target).collect()}
+    first = found[1]["tasks"]
+    assert [t["task_key"] for t in first] == ["p", "plain", "j"]
+    assert first[0]["pipeline_task"]["pipeline_id"] == "new" and first[2]["run_job_task"]["job_id"] == 77
+    assert first[1]["notebook_task"]["warehouse_id"] == "w"
+    assert found[2]["tasks"] is None and found[3]["tasks"] == [] and found[3]["errors"] == []
+    assert found[4]["tasks"] is None and [e["error"] for e in found[4]["errors"]] == ["TASK_OF_ANOTHER_TYPE", "JOB_ID_NOT_A_NUMBER"]
+    assert [found[i]["name"] for i in (1, 2, 3, 4)] == ["a", "b", "c", "d"]
