@@ -279,6 +279,16 @@ INPUTS: dict[str, str] = {
                CASE WHEN c_custkey % 17 <> 0 THEN concat('Principal ', CAST(c_custkey AS STRING)) END AS display_name,
                c_custkey AS seq
         FROM {customer}""",
+    # ---- provisioning: a product per customer
+    "product_inventory": """
+        SELECT concat('cat.raw.c', CAST(c_custkey AS STRING)) AS table_name, 0 AS pos, 'key' AS column_name
+        FROM {customer} WHERE c_custkey % 9 <> 0
+        UNION ALL
+        SELECT concat('cat.raw.c', CAST(c_custkey AS STRING)), 1, 'note' FROM {customer}
+        WHERE c_custkey % 9 <> 0 AND c_custkey % 5 <> 0""",
+    "product_workspaces": """
+        SELECT concat('ws_', CAST(c_custkey AS STRING)) AS name, c_custkey % 8 <> 0 AS metastore_attached
+        FROM {customer} WHERE c_custkey % 10 <> 3""",
     # ---- status log
     "status_log": """
         SELECT user_id AS task_id, event_id AS seq,

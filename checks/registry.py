@@ -16,7 +16,7 @@ _ORACLES: dict[str, str] = {}
 
 _MODULES = [
     "publishing", "contracts", "lookups", "principals", "access", "workflows",
-    "components", "status", "scalars", "rows", "plans",
+    "components", "status", "scalars", "rows", "plans", "provisioning",
 ]
 
 

@@ -52,9 +52,9 @@ def revoke_set(
     )
 
 
-def usage_rows(privilege: Column) -> Column:
-    """A grant on a view as an array: itself and the usage grants on its catalog and schema."""
-    view = F.col("securable")
+def usage_rows(privilege: Column, view: Column | None = None) -> Column:
+    """A grant on a view (``securable``) as an array: itself and the usage grants on its catalog and schema."""
+    view = F.col("securable") if view is None else view
 
     def grant(object_type: str, name: Column, given: Column) -> Column:
         return record(
@@ -154,6 +154,11 @@ def configured_grants(
     )
 
 
+def configured_privilege(principal: str, privilege: str, development: str = DEVELOPMENT) -> Column:
+    """The configured privilege of a principal on a new view, null outside development or without principal."""
+    return F.when(_in_development(development) & ~is_empty(principal), privilege)
+
+
 def configured_levels(
     objects: DataFrame, owner_level: str, developer_level: str, object_id: str = "object_id"
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from concordat.functions.names import is_empty, record
 from concordat.functions.principals import group_reference
 from concordat.operators.access import DEVELOPMENT, READ, plan_rows, usage_rows
 from concordat.operators.joins import keyed_join
-from concordat.operators.principals import distinct_references, map_to_names
+from concordat.operators.principals import map_to_names
 
 
 def mapped_requests(
@@ -17,7 +17,7 @@ def mapped_requests(
 ) -> DataFrame:
     """Every reference a view needs (``role`` access, owner or dev_group) with its mapping.
 
-    Each distinct reference is mapped once, then joined back to its uses.
+    A user is mapped by an expression, so only references to groups meet the directory.
     """
     roles = F.array(
         record(role=F.lit("owner"), ref=F.col("owner")),
@@ -35,8 +35,7 @@ def mapped_requests(
     uses = uses.withColumn("ref", F.coalesce("ref", F.lit(""))).where(
         F.col("securable").isNotNull()
     )
-    mapping = map_to_names(distinct_references(uses), groups, salts)
-    return keyed_join(uses, mapping, ["ref"], "left", salts)
+    return map_to_names(uses, groups, salts)
 
 
 # What is known of a view and a principal, as bits of one number.

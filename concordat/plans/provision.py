@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.functions.names import WORKSPACE_URL, workspace_reference
-from concordat.operators.access import DEVELOPMENT
+from concordat.functions.names import WORKSPACE_URL, record, workspace_reference
+from concordat.operators.access import DEVELOPMENT, READ, configured_privilege, usage_rows
 from concordat.operators.existence import table_exists
 from concordat.operators.joins import keyed_join
+from concordat.operators.principals import map_to_names
+from concordat.sources.product_tables import contract_columns
 
 
 def find_workspaces(
@@ -104,3 +106,100 @@ def publish_verdicts(
         reason.alias("reason"),
         verdict.alias("verdict"),
     )
+
+
+def port_verdicts(
+    ports: DataFrame,
+    inventory: DataFrame,
+    workspaces: DataFrame,
+    groups: DataFrame,
+    development: str = DEVELOPMENT,
+    salts: int = 1,
+) -> DataFrame:
+    """Verdict and reason per requested port, with the principals its owner and developers map to.
+
+    ``ports`` are rows of ``requested_ports``, one per view; ``workspaces`` has one row per
+    ``name`` with ``metastore_attached``.  Faults of the port's own part come first, then those
+    of ``publish_verdicts``, then references that cannot be mapped, which matter in development only.
+    """
+    attached = workspaces.select(F.col("name").alias("workspace"), "metastore_attached")
+    known = find_workspaces(keyed_join(ports, attached, ["workspace"], "left", salts), workspaces, salts=salts)
+    contract = contract_columns(ports.where("target_view IS NOT NULL"))
+    mapped = publish_verdicts(known.drop("schema"), contract, inventory, development, salts=salts)
+    for role in ("owner", "dev_group"):
+        mapped = map_to_names(mapped.withColumn("ref", F.col(role)), groups, salts).withColumnsRenamed(
+            {"mapped": f"{role}_name", "error": f"{role}_error"}
+        ).drop("ref")
+    in_development = F.coalesce(F.lower("environment") == development.lower(), F.lit(False))
+    unmapped = in_development & (F.col("owner_error").isNotNull() | F.col("dev_group_error").isNotNull())
+    own = F.when(F.size("errors") > 0, "INVALID_FIELDS").when(
+        unmapped & (F.col("verdict") != "ERROR"), "PRINCIPAL_UNKNOWN"
+    )
+    return mapped.select(
+        "product_id", "component_id", "target_view", "source_table", "environment", "workspace", "errors",
+        F.coalesce(own, "reason").alias("reason"),
+        F.when(own.isNotNull(), "ERROR").otherwise(F.col("verdict")).alias("verdict"),
+        "owner_name", "dev_group_name",
+    )
+
+
+def provision_plan(
+    verdicts: DataFrame, owner_privilege: str = READ, developer_privilege: str = READ, development: str = DEVELOPMENT
+) -> DataFrame:
+    """The steps that publish every port without an error, in the order of ``step``.
+
+    A workspace or metastore that is not there yet comes first, then catalog, schema and view;
+    grants to owner and developers follow in development.  Each row names an ``action`` on an
+    object of the port; grants have a ``principal`` and a ``privilege``.
+    """
+    view, none = F.col("target_view"), F.lit(None).cast("string")
+
+    def step(number: int, action: str, kind: str, name: Column, principal: Column = none, privilege: Column = none) -> Column:
+        return record(step=F.lit(number), action=F.lit(action), object_type=F.lit(kind), object_name=name,
+                      principal=principal, privilege=privilege)
+
+    def grants(principal: str, privilege: str) -> Column:
+        given = configured_privilege(principal, privilege, development)
+        return F.transform(
+            F.when(given.isNotNull(), usage_rows(given, view)),
+            lambda g: record(step=F.lit(5), action=g["action"], object_type=g["object_type"],
+                             object_name=g["object_name"], principal=F.col(principal), privilege=g["privilege"]),
+        )
+
+    before = F.when(F.col("reason") == "WORKSPACE_UNKNOWN", step(1, "CREATE", "WORKSPACE", F.col("workspace"))).when(
+        F.col("reason") == "METASTORE_NOT_ATTACHED_YET", step(1, "ATTACH_METASTORE", "WORKSPACE", F.col("workspace"))
+    )
+    steps = F.array(
+        before,
+        step(2, "CREATE_IF_ABSENT", "CATALOG", F.substring_index(view, ".", 1)),
+        step(3, "CREATE_IF_ABSENT", "SCHEMA", F.substring_index(view, ".", 2)),
+        step(4, "PUBLISH", "VIEW", view),
+    )
+    given = [F.coalesce(grants(*pair), F.filter(steps, lambda one: F.lit(False))) for pair in (
+        ("owner_name", owner_privilege), ("dev_group_name", developer_privilege))]
+    every = F.array_distinct(F.array_compact(F.concat(steps, *given)))
+    return (
+        verdicts.where(F.col("verdict") != "ERROR")
+        .select("target_view", F.explode(every).alias("s"))
+        .select("target_view", "s.*")
+    )
+
+
+def provision_statuses(products: DataFrame, verdicts: DataFrame, salts: int = 1) -> DataFrame:
+    """How each request ends: ``COMPLETED``, or ``FAILED`` with its problems.
+
+    ``products`` is what ``parse_descriptors`` gives; a request for a port is known by product and component.
+    """
+    key = ["product_id", "component_id"]
+    found = verdicts.select(*key, "verdict", "reason", F.col("errors").alias("__fields"))
+    requests = products.withColumn("product_id", F.col("product.id")).drop("product")
+    joined = keyed_join(requests, found, key, "left", salts)
+    reasons = F.when(F.col("verdict") == "ERROR", F.concat(F.array("reason"), F.col("__fields"))).when(
+        F.col("verdict").isNull() & (F.size("errors") == 0), F.array(F.lit("NOT_AN_OUTPUT_PORT"))
+    )
+    problems = F.concat("errors", F.coalesce(reasons, F.array().cast("array<string>")))
+    return joined.select(
+        *[c for c in requests.columns if c not in ("errors", *key)], *key,
+        F.when(F.size(problems) > 0, "FAILED").otherwise("COMPLETED").alias("status"),
+        problems.alias("problems"),
+    )
