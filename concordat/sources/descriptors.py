@@ -155,9 +155,6 @@ def parse_descriptors(
         F.when(unreadable.isNull(), _document_problems("read.v")).otherwise(F.array().cast("array<string>")),
     )
     judged = parsed.select(*kept, "read.d", F.explode(F.array(errors)).alias("errors"))
-    return judged.select(
-        *kept,
-        F.when(F.size("errors") == 0, _with_defaults(F.col("d.dataProduct"))).alias("product"),
-        F.col("d.componentIdToProvision").alias("component_id"),
-        "errors",
-    )
+    product = F.when(F.size("errors") == 0, _with_defaults(F.col("d.dataProduct")))
+    typed = F.struct(product.alias("product"), F.col("d.componentIdToProvision").alias("component_id"), "errors")
+    return judged.select(*kept, F.explode(F.array(typed)).alias("typed")).select(*kept, "typed.*")
