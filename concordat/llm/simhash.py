@@ -20,7 +20,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.llm.common import batch, give_back, holding, partitions, pieces, work_folder, written
@@ -53,19 +53,34 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(_WEIGHTS[((counts @ _BYTE_BITS).ravel() * 2 > len(hashes))].sum(dtype=np.uint64))
 
 
-def with_fingerprint(documents: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fingerprint bigint) of every row; the 64 bits are kept as a signed number."""
-    out = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())])
+def with_fingerprint(documents: DataFrame, shingle: int = 4, hashes: bool = False) -> DataFrame:
+    """(doc_id, fingerprint bigint) of every row; the 64 bits are kept as a signed number.
+
+    ``hashes`` adds the two hashes of the row's text that ``row_key`` has.
+    """
+    more = ["text_one", "text_two"] if hashes else []
+    names = ["doc_id", "fingerprint", *more]
+    out = pa.schema([(n, pa.int64()) for n in names])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holding("shingles", give_back)
         for b in pieces(batches):
             found = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
-            yield batch(out, b.column(0), found.view(np.int64))
+            yield batch(out, b.column(0), found.view(np.int64), *b.columns[2:])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        work, "doc_id long, fingerprint long"
-    )
+    keys = row_key()
+    return documents.select(
+        F.col("doc_id").cast("long"), F.col("text").cast("string"), *[keys[n].alias(n) for n in more]
+    ).mapInArrow(work, ", ".join(f"{n} long" for n in names))
+
+
+def row_key() -> dict[str, Column]:
+    """Columns, never null, that are equal for rows of the same doc_id and text; their order puts null ids last."""
+    number, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return {
+        "no_id": number.isNull(), "id": F.coalesce(number, F.lit(0)),
+        "text_one": F.xxhash64(text), "text_two": F.xxhash64(F.lit(1), text),
+    }
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -212,6 +227,29 @@ def links(prints: DataFrame, max_bits: int = 4, tile: int = 4096) -> DataFrame:
     )
 
 
+def _placed(first: DataFrame, value: str, folder: str, max_bits: int, tile: int) -> DataFrame:
+    """(fingerprint, value, root) of ``first``, a row per fingerprint; the root of a component is a fingerprint."""
+    found = written(links(first.select("fingerprint"), max_bits, tile), folder, "links")
+    roots = components(found, folder)
+    return first.join(roots, first["fingerprint"] == roots["node"], "left").select(
+        "fingerprint", value, F.coalesce("root", "fingerprint").alias("root")
+    )
+
+
+def survivors(documents: DataFrame, shingle: int = 4, max_bits: int = 4, tile: int = 4096) -> DataFrame:
+    """The ``row_key`` of one row of each component of ``documents``: the least by (doc_id, text hash), null ids last.
+
+    Components are those of ``near_duplicates``.  Minima are combined before each shuffle, so
+    a large component is never gathered.
+    """
+    folder = work_folder(documents.sparkSession)
+    least = F.struct(*[c.alias(n) for n, c in row_key().items() if n in ("no_id", "id")], "text_one", "text_two")
+    prints = with_fingerprint(documents, shingle, hashes=True)
+    first = written(prints.groupBy("fingerprint").agg(F.min(least).alias("first")), folder, "distinct")
+    placed = _placed(first, "first", folder, max_bits, tile)
+    return placed.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 4, max_bits: int = 4, tile: int = 4096) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``documents`` (doc_id, text, ...).
 
@@ -224,11 +262,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, max_bits: int = 4, t
     folder = work_folder(spark)
     prints = written(with_fingerprint(documents, shingle), folder, "fingerprints")
     first = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), folder, "distinct")
-    found = written(links(first.select("fingerprint"), max_bits, tile), folder, "links")
-    roots = components(found, folder)
-    placed = first.join(roots, first["fingerprint"] == roots["node"], "left").select(
-        "fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")
-    )
+    placed = _placed(first, "first_id", folder, max_bits, tile)
     names = keyed_join(
         placed, placed.groupBy("root").agg(F.min("first_id").alias("component_id")), ["root"]
     ).select("fingerprint", "component_id")

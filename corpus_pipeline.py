@@ -24,16 +24,17 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates.
+    """One row of each group of near duplicates, the one with the smallest id.
 
-    Rows that share an id are taken as one document; the one with the smallest hash of its
-    text stays.  Documents without an id stay.
+    Null ids come last, and of rows that share an id the text with the smallest hash counts.
+    Rows of the same id and text are near duplicates; the least by its other columns stays.
+    They are reduced before the shuffle, so many copies of a row never meet in one task.
     """
-    groups = simhash.near_duplicates(docs, shingle=4, max_bits=4)
-    leaders = groups.where("doc_id = component_id").select("doc_id").distinct()
-    one = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.select(*COLUMNS).join(leaders, "doc_id", "left_semi").withColumn("nth", F.row_number().over(one))
-    return named.where("nth = 1").select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    key = simhash.row_key()
+    one = W.partitionBy(*key).orderBy("lang", "source", "n_chars")
+    rows = docs.select(*COLUMNS, *[c.alias(n) for n, c in key.items()]).withColumn("nth", F.row_number().over(one))
+    kept = simhash.survivors(docs, shingle=4, max_bits=4)
+    return rows.where("nth = 1").join(kept, list(key), "left_semi").select(*COLUMNS)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

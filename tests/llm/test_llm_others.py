@@ -214,6 +214,17 @@ def test_pipeline_stages_on_odd_documents(spark, corpus):
     assert all(stage(spark, docs.limit(0), SF_DIR).count() == 0 for _, stage in corpus_pipeline.STAGES)
 
 
+def test_one_row_of_each_group_of_near_duplicates_stays(spark, corpus):
+    x, y, z = (" ".join(f"{w}{i}" for i in range(40)) for w in "xyz")
+    rows = [(1, x), (1, y), (2, y), (None, z), (None, z), (None, x), (7, "alone"), (7, "other words"), (None, "lost"), (9, None), (9, None)]
+    parts = [corpus(*rows), corpus((8, z.upper()), *[(None, "many copies")] * 50), corpus((9, None)).withColumn("lang", F.lit("de"))]
+    kept = corpus_pipeline.without_near_duplicates(spark, parts[0].union(parts[1]).union(parts[2]), SF_DIR).collect()
+    # (1, x) and (1, y) are of two groups; z has the row with an id; null texts are one group
+    expected = [(1, x), (1, y), (7, "alone"), (7, "other words"), (8, z.upper()), (9, None), (None, "lost"), (None, "many copies")]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(str, expected))
+    assert [r["lang"] for r in kept if r["doc_id"] == 9] == ["de"]
+
+
 def test_pipeline_runs_whole(spark):
     rows = corpus_pipeline.run(spark, SF_DIR).collect()
     documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
