@@ -116,6 +116,15 @@ def plain_text(page: str) -> str:
     return "\n".join(line for line in lines if line)
 
 
+def by_name(fields: list[tuple[str, str]]) -> dict[str, str | list[str]]:
+    """The values by name, in order; a name that comes several times, in any case of letters, has a list."""
+    out: dict[str, list[str]] = {}
+    first: dict[str, str] = {}
+    for k, v in fields:
+        out.setdefault(first.setdefault(k.lower(), k), []).append(v)
+    return {k: v[0] if len(v) == 1 else v for k, v in out.items()}
+
+
 def derivatives(source: Record) -> tuple[Record, Record]:
     """The metadata and conversion records of a response."""
     status, headers, payload = payload_of(source.block)
@@ -125,10 +134,10 @@ def derivatives(source: Record) -> tuple[Record, Record]:
     origin = source.get("WARC-Record-ID") or ""
     about = {
         "Envelope": {
-            "WARC-Header-Metadata": dict(source.fields),
+            "WARC-Header-Metadata": by_name(source.fields),
             "Payload-Metadata": {
                 "HTTP-Response-Metadata": {
-                    "Response-Message": status, "Headers": dict(headers), "Entity-Length": len(payload),
+                    "Response-Message": status, "Headers": by_name(headers), "Entity-Length": len(payload),
                     "Entity-Digest": digest(payload),
                     "HTML-Metadata": {
                         "Title": " ".join(html_lib.unescape(title[1]).split()) if title else None,
@@ -190,12 +199,16 @@ def derived(sources: DataFrame) -> DataFrame:
 
 
 def linked(derivs: DataFrame) -> DataFrame:
-    """The identifiers, links and digests of ``derived`` records, read from the records themselves."""
+    """The identifiers, links and digests of ``derived`` records, read from the records themselves.
+
+    ``record_headers``, ``http_headers`` and ``links`` are JSON texts of what the metadata record has.
+    """
     names = [
         "page_id", "target_uri", "source_id", "metadata_id", "conversion_id", "metadata_refers_to", "conversion_refers_to",
         "payload_digest", "metadata_payload_digest", "conversion_payload_digest", "title", "n_links", "text", "text_digest",
+        "record_headers", "http_headers", "links",
     ]
-    kinds = ["page_id long", *[f"{n} string" for n in names[1:11]], "n_links long", "text string", "text_digest string"]
+    kinds = ["page_id long", *[f"{n} string" for n in names[1:11]], "n_links long", *[f"{n} string" for n in names[12:]]]
     out = pa.schema([(n, pa.int64() if n in ("page_id", "n_links") else pa.string()) for n in names])
 
     def work(batches):
@@ -203,12 +216,16 @@ def linked(derivs: DataFrame) -> DataFrame:
             rows = []
             for page_id, *three in zip(*(b.column(i).to_pylist() for i in range(4))):
                 s, m, c = (next(records(x)) for x in three)
-                about = json.loads(m.block)["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["HTML-Metadata"]
+                envelope = json.loads(m.block)["Envelope"]
+                http = envelope["Payload-Metadata"]["HTTP-Response-Metadata"]
+                about = http["HTML-Metadata"]
+                found = (envelope["WARC-Header-Metadata"], http["Headers"], about["Links"])
                 rows.append((
                     page_id, c.get("WARC-Target-URI"), s.get("WARC-Record-ID"), m.get("WARC-Record-ID"), c.get("WARC-Record-ID"),
                     m.get("WARC-Refers-To"), c.get("WARC-Refers-To"), s.get("WARC-Payload-Digest"),
                     m.get("WARC-Refers-To-Payload-Digest"), c.get("WARC-Refers-To-Payload-Digest"), about["Title"],
                     len(about["Links"]), c.block.decode(), c.get("WARC-Block-Digest"),
+                    *(json.dumps(x, ensure_ascii=False) for x in found),
                 ))
             if rows:
                 yield batch(out, *(list(c) for c in zip(*rows)))

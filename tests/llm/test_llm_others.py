@@ -141,6 +141,19 @@ def test_archive_records_round_trip_and_link(spark):
     assert warc.linked(warc.derived(warc.responses(pages.limit(0)))).count() == 0
 
 
+def test_repeated_headers_are_preserved(spark):
+    page = warc.response(1, "http://a/", '<a href="/x">x</a><a href="/y">y</a>')
+    fields = [*page.fields, ("WARC-Concurrent-To", "<urn:b>"), ("WARC-Concurrent-To", "<urn:c>")]
+    block = page.block.replace(b"\r\n\r\n", b"\r\nSet-Cookie: a=1\r\nLink: </l>\r\nset-cookie: b=2\r\n\r\n", 1)
+    data = warc.to_bytes(warc.Record(fields, block))
+    sources = spark.createDataFrame([(1, bytearray(data))], "page_id long, warc binary")
+    (row,) = warc.linked(warc.derived(sources)).collect()
+    record, http = json.loads(row["record_headers"]), json.loads(row["http_headers"])
+    assert record["WARC-Concurrent-To"] == ["<urn:b>", "<urn:c>"] and record["WARC-Target-URI"] == "http://a/"
+    assert http["Set-Cookie"] == ["a=1", "b=2"] and http["Link"] == "</l>" and "Content-Type" in http
+    assert json.loads(row["links"]) == ["/x", "/y"] and row["n_links"] == 2
+
+
 @pytest.fixture(scope="module")
 def extractor():
     return html_extract.fit(["Some plain words make up a sentence. Then comes another one, longer than before.", "Short text. " * 9], pages=500)
