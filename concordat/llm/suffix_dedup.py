@@ -116,8 +116,16 @@ def _anchors(data: list[bytes], window: int, gram: int):
     return [text[new], anchor, first, last, key[anchor], around]
 
 
+def _small(window: int) -> type:
+    """The narrowest type for counts and lengths around an anchor, all under twice the window."""
+    return next(t for t in (np.uint8, np.uint16, np.int32) if 2 * window <= np.iinfo(t).max)
+
+
 # key, text hash, doc, row hash, first window, windows, anchor's offset, marker
-_OCC = [np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint8, np.uint8]
+def _occ(window: int) -> list:
+    return [np.uint64, np.uint64, np.int64, np.int64, np.int64, _small(window), _small(window), np.uint8]
+
+
 _SPANS = [np.int64, np.int64, np.int64, np.int64]
 
 
@@ -169,7 +177,7 @@ def _occurrences(batches, window, gram, buckets, texts_per_key=64, chunk=1 << 19
     def flush():
         if not kept:
             return
-        c = [np.concatenate([k[i] for k in kept]) for i in range(len(_OCC))]
+        c = [np.concatenate([k[i] for k in kept]) for i in range(len(_occ(window)))]
         kept.clear()
         c, repeat = _settled(c)
         many = _per_key(c[0], ~repeat) > texts_per_key
@@ -194,8 +202,8 @@ def _occurrences(batches, window, gram, buckets, texts_per_key=64, chunk=1 << 19
         begin = np.cumsum([0, *map(len, data)])[text]
         kept.append([
             key, around, np.array(doc, np.int64)[text], np.array(row, np.int64)[text],
-            first - begin + np.array(base, np.int64)[text], (last - first + 1).astype(np.uint8),
-            (anchor - first).astype(np.uint8), np.zeros(len(text), np.uint8),
+            first - begin + np.array(base, np.int64)[text], (last - first + 1).astype(_small(window)),
+            (anchor - first).astype(_small(window)), np.zeros(len(text), np.uint8),
         ])
 
     data, doc, row, base, size = [], [], [], [], 0
@@ -244,8 +252,8 @@ def _settle_bucket(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
     kinds, packed = table.column("kind").to_pylist(), table.column("packed").to_pylist()
     of = lambda kind: [p for k, p in zip(kinds, packed) if k == kind]
     yield _found_spans(_gathered(of(_SPAN), _SPANS))
-    yield _found_open(_gathered(of(_OPEN), _OCC), window)
-    c, repeat = _settled(_gathered(of(_OCCURRENCE), _OCC))
+    yield _found_open(_gathered(of(_OPEN), _occ(window)), window)
+    c, repeat = _settled(_gathered(of(_OCCURRENCE), _occ(window)))
     yield _found_spans(_spans_of(c, np.flatnonzero(repeat), window))
     is_open = ((_per_key(c[0], ~repeat) > 1) | (_per_key(c[0], c[7] > 0) > 0)) & ~repeat & (c[7] == 0)
     yield _found_open([x[is_open] for x in c], window)
@@ -345,12 +353,13 @@ def _common(raw, start, length, group, order, most) -> np.ndarray:
 
 
 # group key, doc, row hash, anchor, anchor's offset, windows, bytes of text
-_MEMBER = [np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint8, np.uint8]
+def _member(window: int) -> list:
+    return [np.uint64, np.int64, np.int64, np.int64, *[_small(window)] * 3]
 
 
 def repeated_windows(member: list[np.ndarray], raw: np.ndarray, window: int) -> list[np.ndarray]:
     """Spans (doc, row, start, stop) of the windows of open occurrences that also start earlier."""
-    group, doc, row, anchor, off, windows, length = (x.astype(np.int64) if x.dtype == np.uint8 else x for x in member)
+    group, doc, row, anchor, off, windows, length = (x.astype(np.int64) if x.dtype.itemsize < 8 else x for x in member)
     start = np.cumsum(length) - length
     order = np.lexsort((anchor, row, doc, group))
     new = np.ones(len(order), bool)
@@ -403,7 +412,7 @@ def _members(batches, window, buckets, held=1 << 17):
         rows = []
         members = cold + list(hot.values())
         if members:
-            c = [np.array(x, d) for x, d in zip(list(zip(*members))[:7], _MEMBER)]
+            c = [np.array(x, d) for x, d in zip(list(zip(*members))[:7], _member(window))]
             where = _bucket(c[0], buckets)
             for b in np.unique(where):
                 mine = np.flatnonzero(where == b)
@@ -456,7 +465,7 @@ def _resolve_bucket(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
             n = int.from_bytes(p[:4], "little")
             heads.append(p[4 : 4 + n])
             texts.append(zstandard.ZstdDecompressor().decompress(p[4 + n :]))
-    member = _gathered(heads, _MEMBER)
+    member = _gathered(heads, _member(window))
     yield _found_spans(repeated_windows(member, np.frombuffer(b"".join(texts), np.uint8), window))
 
 

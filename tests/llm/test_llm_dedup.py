@@ -110,6 +110,16 @@ def test_repeats_are_those_of_brute_force(spark, corpus, hot):
         assert left + data[at:] == bytes(r["kept"])
 
 
+def test_repeats_of_a_large_window(spark, corpus):
+    rng = random.Random(4)
+    passage = random_text(rng, 300)
+    rows = [(i, f"{random_text(rng, 20)} {passage[40 * i : 40 * i + 1200]} {random_text(rng, 20)}") for i in range(6)]
+    expected = brute(rows, window=400)
+    for hot in (2, 1000):
+        got = suffix_dedup.without_repeats(corpus(*rows), window=400, gram=50, hot=hot).collect()
+        assert {r["doc_id"]: bytes(r["kept"]) for r in got} == expected
+
+
 def test_small_pieces_change_nothing(monkeypatch):
     rows = repeated_rows(3)
     import pyarrow as pa
