@@ -1,6 +1,7 @@
 """SimHash groups and repeated substrings against brute force."""
 
 import random
+from functools import partial
 
 import numpy as np
 import pytest
@@ -140,6 +141,14 @@ def test_small_pieces_change_nothing(monkeypatch):
     assert shapes[0] and shapes[0] <= shapes[1] | shapes[0]
 
 
+def test_small_pieces_leave_the_same_bytes(spark, corpus, monkeypatch):
+    rows = repeated_rows(3)
+    monkeypatch.setattr(suffix_dedup, "_occurrences", partial(suffix_dedup._occurrences, chunk=300, held=50))
+    monkeypatch.setattr(suffix_dedup, "_members", partial(suffix_dedup._members, held=5))
+    got = suffix_dedup.without_repeats(corpus(*rows)).collect()
+    assert {r["doc_id"]: bytes(r["kept"]) for r in got} == brute(rows)
+
+
 def test_repeated_rows_and_missing_ids(spark, corpus):
     text = random_text(random.Random(1), 40)
     got = suffix_dedup.without_repeats(corpus((None, text), (3, text), (3, text), (4, text + "!"))).collect()
