@@ -43,8 +43,3 @@ def conf(spark):
             spark.conf.unset(name)
         else:
             spark.conf.set(name, value)
-
-
-def rows(df, *columns):
-    """The rows as a sorted list of tuples."""
-    return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)

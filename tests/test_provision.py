@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 
 from concordat.plans.provision import find_workspaces, publish_verdicts
 from concordat.schemas import COLUMN_INVENTORY

@@ -1,6 +1,6 @@
 import datetime
 
-from conftest import rows
+from helpers import rows
 
 from concordat.operators import row_rules as r
 from concordat.operators.row_rules import ColumnRule

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from concordat.operators.status import fold_status, orphan_updates
 from concordat.schemas import STATUS_EVENT
