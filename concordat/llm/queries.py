@@ -18,6 +18,7 @@ from concordat.llm import (
     token_files,
     topk,
     toxicity,
+    url_filters,
     warc,
 )
 from concordat.llm.common import read
@@ -128,3 +129,36 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     return html_extract.main_text(pages, html_extract.train(pages))
+
+
+URL_RULES = [
+    ("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"),
+]
+
+
+@query(
+    "op12_url_filters",
+    """
+    WITH cut AS (
+        SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+    ), parts AS (
+        SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+        FROM cut
+    ), rules (verdict, rule_host, rule_path) AS (
+        VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+    ), numbered AS (
+        SELECT row_number() OVER () AS r, * FROM parts
+    ), fit AS (
+        SELECT r, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+               arg_max(verdict, length(rule_host || rule_path)) AS verdict
+        FROM numbered JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        GROUP BY r
+    )
+    SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM numbered LEFT JOIN fit USING (r)
+    """,
+)
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict"
+    )
