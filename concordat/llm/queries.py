@@ -14,6 +14,7 @@ from concordat.llm import (
     packing,
     sentencepiece_search,
     simhash,
+    spelling,
     suffix_dedup,
     token_files,
     topk,
@@ -162,3 +163,8 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judged(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select(
         "page_id", "host", "path", "rule", "verdict"
     )
+
+
+@query("op11_spelling")
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"), least=6, often=5, ratio=5, slips=199)
