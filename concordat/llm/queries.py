@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from concordat.llm import (
     fingerprints,
+    hard_negatives,
     html_extract,
     packing,
     sentencepiece_search,
@@ -168,3 +169,35 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_spelling")
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"), least=6, often=5, ratio=5, slips=199)
+
+
+@query(
+    "op13_hard_negatives",
+    """
+    WITH usable AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS MATERIALIZED (
+        SELECT a.r, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike,
+               CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i])) AS BIGINT) AS score
+        FROM usable a JOIN usable c ON a.vec_id % 50 = 0 AND a.r <> c.r AND len(a.v) = len(c.v)
+    ), positives AS (
+        SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score,
+               row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS p
+        FROM scored WHERE alike QUALIFY p <= 5
+    ), negatives AS (
+        SELECT anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score,
+               CAST(row_number() OVER (PARTITION BY r, p ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+        FROM positives JOIN scored s USING (r, anchor_id)
+        WHERE NOT alike AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+    )
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3
+    """,
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    embeddings = read(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(embeddings, F.col("vec_id") % 50 == 0, positives=5, negatives=3, window=(50, 95, 100))

@@ -74,7 +74,8 @@ def test_random_words(spark, corpus, seed, depth):
 
 
 def test_odd_documents(spark, corpus):
-    long = "".join(random.Random(0).choice("abcÀ") for _ in range(30_000))
+    rng = random.Random(0)
+    long = "".join(rng.choice("abcÀ") for _ in range(30_000))
     other = long[:12_000] + "é" + long[12_000:]
     rows = [(1, None), (2, ""), (3, "12 -"), (None, "Éclair éclair ECLAIR eclair×÷"), *[(4, f"{long} {other[:-1]} {other}")] * 5, *[(5, "x" * 30_000)] * 2]
     found = got(spelling.variants(corpus(*rows), least=1, often=1))
