@@ -6,6 +6,7 @@ from helpers import rows
 from concordat.operators.status import fold_status, orphan_updates
 from concordat.schemas import STATUS_EVENT
 from concordat.session import STREAMING_SETTINGS
+from concordat.streaming.orphans import orphan_stream, orphans_so_far
 from concordat.streaming.projection import publish_stream
 from concordat.streaming.status import fold_status_stream, latest_status, stream_creations, versions_to_read
 
@@ -119,3 +120,60 @@ def test_continuous_publication_runs_until_stopped(spark, tmp_path):
     assert query.isActive
     query.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def run_orphans(spark, folder, shares=3, **options):
+    stream = spark.readStream.schema(STATUS_EVENT).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    query = orphan_stream(stream, f"{folder}/side", f"{folder}/check", shares=shares, **options)
+    query.awaitTermination()
+
+
+@pytest.mark.parametrize("shares", [1, 3])
+def test_side_output_equals_the_batch_after_every_run(spark, tmp_path, shares):
+    """Arrival in any order: creations come after updates that are younger than they are."""
+    events = random_events(1500, tasks=12)
+    for i in range(3):
+        log(spark, *events[i * 500 : (i + 1) * 500]).repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+        run_orphans(spark, tmp_path, shares)
+        seen = log(spark, *events[: (i + 1) * 500])
+        assert rows(orphans_so_far(spark, f"{tmp_path}/side", STATUS_EVENT)) == rows(orphan_updates(seen))
+    side = spark.read.parquet(f"{tmp_path}/side")
+    assert side.where("taken_back").count() > 0 and side.select("version").distinct().count() > 3
+
+
+def test_side_output_after_a_stop_inside_a_batch(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    write, failed = DataFrameWriter.parquet, []
+
+    def stop_after_writing(self, path, *args, **kwargs):
+        write(self, path, *args, **kwargs)
+        if path.endswith("/side/version=1") and not failed:
+            failed.append(path)
+            raise RuntimeError("stopped")
+
+    events = random_events(900, tasks=9, seed=8)
+    for i in range(3):
+        log(spark, *events[i * 300 : (i + 1) * 300]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(DataFrameWriter, "parquet", stop_after_writing)
+    with pytest.raises(Exception, match="stopped"):
+        run_orphans(spark, tmp_path)
+    run_orphans(spark, tmp_path)
+    assert failed and rows(orphans_so_far(spark, f"{tmp_path}/side", STATUS_EVENT)) == rows(orphan_updates(log(spark, *events)))
+
+
+def test_side_output_of_odd_rows(spark, tmp_path):
+    """Tasks without id, repeated rows, other operations, a creation that comes earlier still, and no rows at all."""
+    assert orphans_so_far(spark, f"{tmp_path}/side", STATUS_EVENT).count() == 0
+    batches = [
+        [(None, 1, "create", None, None, None), (None, 2, "update", "FAILED", "", ""), *[("t", 5, "update", "x", None, None)] * 2, ("t", 6, "other", None, None, None)],
+        [("t", 7, "create", None, None, None), ("t", 3, "update", "y", "", ""), ("u", 9, "update", None, None, None)],
+        [("t", 4, "create", None, None, None), ("u", 9, "create", None, None, None)],
+    ]
+    seen = []
+    for batch in batches:
+        seen += batch
+        log(spark, *batch).write.mode("append").parquet(f"{tmp_path}/in")
+        run_orphans(spark, tmp_path)
+        assert rows(orphans_so_far(spark, f"{tmp_path}/side", STATUS_EVENT)) == rows(orphan_updates(log(spark, *seen)))
+    assert {r["task_id"] for r in orphans_so_far(spark, f"{tmp_path}/side", STATUS_EVENT).collect()} == {None, "t"}
