@@ -298,6 +298,21 @@ INPUTS: dict[str, str] = {
                CASE event_type WHEN 'view' THEN props ELSE '' END AS result,
                CASE event_type WHEN 'click' THEN props END AS info
         FROM {events}""",
+    # ---- patterns of names; chr(92) is a backslash, which the two dialects write differently
+    "job_names": """
+        SELECT c_custkey AS job_id, concat('Customer', CASE c_custkey % 3 WHEN 0 THEN '_' WHEN 1 THEN '%' ELSE '-' END,
+               right(concat('00000000', CAST(c_custkey AS STRING)), 9), '_', lower(c_mktsegment)) AS job_name
+        FROM {customer}""",
+    "name_patterns": """
+        SELECT o_orderkey AS request_id, CASE o_orderkey % 8
+               WHEN 0 THEN concat('Customer_', digits, '%')
+               WHEN 1 THEN concat('%', right(digits, 7), chr(92), '_house%')
+               WHEN 2 THEN concat('Customer', chr(92), '%', digits, '_building')
+               WHEN 3 THEN concat('%', right(digits, 4), '_m%y')
+               WHEN 4 THEN concat('Customer-', digits, '_machinery')
+               WHEN 5 THEN CASE WHEN o_custkey % 2 = 0 THEN '%_' ELSE '' END
+               WHEN 6 THEN concat('Customer', chr(92), 'd', digits) END AS pattern
+        FROM (SELECT o_orderkey, o_custkey, right(concat('00000000', CAST(o_custkey AS STRING)), 9) AS digits FROM {orders})""",
     # ---- components
     "components": """
         SELECT (p_partkey - p_partkey % 5) AS product_id, CAST(p_partkey % 5 AS INT) AS pos,

@@ -9,6 +9,7 @@ from checks.registry import query
 from concordat.operators import lookup
 from concordat.operators.definitions import compare_definitions
 from concordat.operators.existence import catalog_exists, schema_exists, table_exists
+from concordat.operators.patterns import match_patterns, pattern_verdicts
 
 
 @query(
@@ -65,6 +66,27 @@ def names_like_escaped(spark, sf_dir):
     return lookup.names_like(derived(spark, sf_dir, "unique_requests"), "name", "job_1", escape=True)
 
 
+@query(
+    "p7_patterns_matched",
+    """SELECT request_id, pattern, job_id, job_name FROM {name_patterns} p JOIN {job_names} n
+         ON CASE WHEN request_id % 8 IN (6, 7) OR pattern = '%_' THEN false
+                 ELSE job_name LIKE pattern ESCAPE chr(92) END""",
+)
+def patterns_matched(spark, sf_dir):
+    """All patterns against all names at once."""
+    return match_patterns(derived(spark, sf_dir, "job_names"), derived(spark, sf_dir, "name_patterns"), "job_name")
+
+
+@query(
+    "p7_pattern_verdicts",
+    """SELECT request_id, pattern, CASE WHEN request_id % 8 = 6 THEN 'MALFORMED' WHEN request_id % 8 = 7 THEN 'EMPTY'
+              WHEN pattern = '%_' THEN 'NO_LITERAL' ELSE 'OK' END AS verdict
+       FROM {name_patterns}""",
+)
+def patterns_judged(spark, sf_dir):
+    return pattern_verdicts(derived(spark, sf_dir, "name_patterns"))
+
+
 _FOUND = """found AS (SELECT name, count(*) AS match_count, max(id) AS id FROM {unique_existing} GROUP BY name),
     joined AS (SELECT r.*, coalesce(match_count, 0) AS match_count, f.id
                FROM {unique_requests} r LEFT JOIN found f ON r.name = f.name)"""
