@@ -12,6 +12,7 @@ from concordat.operators.contract import contract_projection, missing_columns
 from concordat.operators.row_rules import ColumnRule, count_violations
 from concordat.session import shared_folder
 from concordat.sources.catalog import column_inventory, inventory_from_catalog, keys_from_catalog, scan_files
+from concordat.sources.footers import folder_inventory
 from concordat.sources.views import ViewColumn, described_columns, publish_view, unpublish_view
 from concordat.streaming.projection import publish_stream
 
@@ -195,6 +196,24 @@ def inventory(spark, sf_dir):
     return declared.join(observed, ["table_name", "column_name"])
 
 
+@query(
+    "s5_inventory_from_footers",
+    " UNION ALL ".join(
+        f"SELECT 'lake.{t}' AS table_name, {pos} AS pos, '{c}' AS column_name, '{dtype}' AS type_name, "
+        f"true AS nullable, count(*) AS table_rows FROM {t} HAVING count(*) > 0"
+        for t, columns in _COLUMN_TYPES.items() for pos, (c, dtype) in enumerate(columns.items())
+    ),
+)
+def inventory_of_footers(spark, sf_dir):
+    """The columns of all tables in the folder, from their footers, beside their numbers of rows."""
+    columns = folder_inventory(spark, sf_dir, prefix="lake.").where("problem IS NULL")
+    counts = None
+    for t in TABLES:
+        counted = table(spark, sf_dir, t).agg(F.lit(f"lake.{t}").alias("table_name"), F.count("*").alias("table_rows"))
+        counts = counted if counts is None else counts.unionByName(counted)
+    return columns.join(counts, "table_name").select("table_name", "pos", "column_name", "type_name", "nullable", "table_rows")
+
+
 @query("t1_streamed_projection", "SELECT event_id, user_id, event_type, value FROM events")
 def streamed_projection(spark, sf_dir):
     """The projection published through a stream; equal to the batch projection."""

@@ -1,13 +1,19 @@
 """Tables and their columns.
 
-Listing schemas is metadata work on the driver, one small row per column; all
-that follows works on the resulting DataFrame.
+``column_inventory`` takes tables that are open already and lists their schemas on the driver.
+For a whole estate nothing is opened: ``database_inventory`` asks the session's catalog in one
+call, ``inventory_from_catalog`` takes the catalog's own table of columns, and
+``footers.folder_inventory`` reads the files' footers in the executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+import sys
+from collections.abc import Iterator, Mapping
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,8 +104,28 @@ def keys_from_catalog(usage: DataFrame, constraint_type: str = "PRIMARY KEY") ->
 
 
 def database_inventory(spark: SparkSession, database: str) -> DataFrame:
-    """The columns of every table and view of a database."""
-    names = [t.name for t in spark.catalog.listTables(database) if not t.isTemporary]
-    parts = database.split(".")
-    tables = {f"{database}.{n}": scan_table(spark, *parts, n) for n in names}
-    return column_inventory(spark, tables)
+    """The columns of every table and view of a database of the session's catalog.
+
+    The catalog answers for all of them in one call and none is opened; the driver sees one
+    text per table and executors turn it into rows.
+    """
+    catalog = spark._jsparkSession.sessionState().catalog()
+    listed = catalog.getTablesByName(catalog.listTables(database, "*", False))
+    found = [listed.apply(i) for i in range(listed.size())]
+    texts = [(f"{database}.{t.identifier().table()}", t.schema().json()) for t in found]
+    schemas = spark.createDataFrame(texts, "table_name string, schema_json string")
+    return schemas.mapInPandas(_from_schema_texts(), COLUMN_INVENTORY)
+
+
+def _from_schema_texts():
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers import nothing of ours
+
+    def convert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [
+                row for name, text in zip(frame["table_name"], frame["schema_json"])
+                for row in inventory_rows(name, T.StructType.fromJson(json.loads(text)))
+            ]
+            yield pd.DataFrame(rows, columns=COLUMN_INVENTORY.names, dtype=object)
+
+    return convert
