@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.inputs import derived, table
@@ -9,7 +11,9 @@ from checks.registry import query
 from concordat.functions.names import template_base_id
 from concordat.operators import components as c
 from concordat.operators.component_rules import component_problems
+from concordat.session import shared_folder
 from concordat.sources.descriptors import parse_descriptors
+from concordat.sources.documents import follow_documents
 
 ROUTES = {
     "job": ["urn:template:batch-job"],
@@ -100,9 +104,7 @@ def _parsed(spark, sf_dir):
     )
 
 
-@query(
-    "s6_parsed_descriptors",
-    """SELECT c_custkey, CASE WHEN c_custkey % 13 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 7 <> 0
+_DESCRIPTORS_SQL = """SELECT c_custkey, CASE WHEN c_custkey % 13 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 7 <> 0
                              THEN concat('product-', CAST(c_custkey AS STRING)) END AS product_id,
               CASE WHEN c_custkey % 13 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 7 <> 0
                    THEN concat('made from ', c_name) END AS description,
@@ -113,10 +115,34 @@ def _parsed(spark, sf_dir):
                    ELSE concat_ws(';', CASE WHEN c_custkey % 11 = 0 THEN 'product kind is not dataproduct' END,
                                   CASE WHEN c_custkey % 7 = 0 THEN 'component 1: unknown kind daemon' END)
               END AS errors
-       FROM customer""",
-)
+       FROM customer"""
+
+
+@query("s6_parsed_descriptors", _DESCRIPTORS_SQL)
 def parsed_descriptors(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir)
+    return _described(_parsed(spark, sf_dir))
+
+
+@query("s6_followed_descriptors", _DESCRIPTORS_SQL)
+def followed_descriptors(spark, sf_dir):
+    """The same descriptors in files of many documents, read and parsed by a stream in two runs."""
+    folder = f"{shared_folder(spark)}/descriptors-{uuid.uuid4().hex}"
+    texts = _descriptors(spark, sf_dir)
+    document = F.concat(F.lit("--- # customer "), F.col("c_custkey").cast("string"), F.lit("\n"), F.col("descriptor"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = "c_custkey bigint, product_id string, description string, component_id string, contract string, errors string"
+    for run in (0, 1):
+        coming = texts.where(F.pmod(F.xxhash64("c_custkey"), F.lit(2)) == run)
+        coming.repartition(tasks, "c_custkey").select(document).write.mode("append").text(f"{folder}/in")
+        stream = follow_documents(spark, f"{folder}/in", f"{folder}/log", range_bytes=1 << 20)
+        key = F.regexp_extract("descriptor", r"^ # customer (\d+)", 1).cast("bigint")
+        described = _described(parse_descriptors(stream.withColumn("c_custkey", key)))
+        query = described.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        query.start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(columns).parquet(f"{folder}/out")
+
+
+def _described(parsed):
     contract = F.transform(
         F.get(F.col("product.components"), F.lit(0))["dataContract"]["schema"],
         lambda column: F.concat(column["name"], F.lit(" "), column["dataType"]),

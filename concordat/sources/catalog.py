@@ -9,17 +9,16 @@ call, ``inventory_from_catalog`` takes the catalog's own table of columns, and
 from __future__ import annotations
 
 import json
-import sys
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concordat.functions.names import quote_identifier
 from concordat.schemas import COLUMN_INVENTORY
+from concordat.sources.stores import carried
 
 
 def scan_table(spark: SparkSession, *name: str) -> DataFrame:
@@ -118,7 +117,7 @@ def database_inventory(spark: SparkSession, database: str) -> DataFrame:
 
 
 def _from_schema_texts():
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers import nothing of ours
+    carried(__name__)
 
     def convert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

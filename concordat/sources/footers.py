@@ -12,15 +12,14 @@ Workers get the code with the task and import nothing of ours.
 from __future__ import annotations
 
 import json
-import sys
 from collections.abc import Iterator
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from concordat.schemas import COLUMN_INVENTORY
+from concordat.sources.stores import carried, listed, opened
 
 # Fixed value: where a Spark writer keeps its own schema in a footer.
 _SPARK_SCHEMA = b"org.apache.spark.sql.parquet.row.metadata"
@@ -28,19 +27,6 @@ _SPARK_SCHEMA = b"org.apache.spark.sql.parquet.row.metadata"
 _FIELDS = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in COLUMN_INVENTORY.fields) + ", problem string"
 
 
-def _opened(location: str):
-    """The file system and the path in it."""
-    import pyarrow.fs as pafs
-
-    if location.startswith("file:/") and not location.startswith("file://"):
-        location = location.removeprefix("file:")
-    return pafs.FileSystem.from_uri(location)
-
-
-def _hidden(name: str) -> bool:
-    return name.startswith(("_", "."))
-
-
 def _first_file(fs, path: str) -> tuple[str | None, list[tuple[str, str]]]:
     """The first data file below ``path`` and the (column, value) folders on the way."""
     import pyarrow.fs as pafs
@@ -50,7 +36,7 @@ def _first_file(fs, path: str) -> tuple[str | None, list[tuple[str, str]]]:
         return path, []
     partitions: list[tuple[str, str]] = []
     while True:
-        below = sorted((i for i in fs.get_file_info(pafs.FileSelector(path)) if not _hidden(i.base_name)), key=lambda i: i.base_name)
+        below = sorted((i for i in fs.get_file_info(pafs.FileSelector(path)) if not i.base_name.startswith(("_", "."))), key=lambda i: i.path)
         files = [i.path for i in below if i.type == pafs.FileType.File and i.size]
         if files:
             return files[0], partitions
@@ -87,7 +73,7 @@ def _rows_of(table: str, location: str) -> Iterator[tuple]:
     from pyspark.sql import types as T
 
     try:
-        fs, path = _opened(location)
+        fs, path = opened(location)
         file, partitions = _first_file(fs, path)
         if file is None:
             yield (table, *[None] * 8, "no data file")
@@ -120,12 +106,11 @@ class FooterReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         import pyarrow.fs as pafs
 
-        fs, path = _opened(self._root)
-        entries = sorted((i for i in fs.get_file_info(pafs.FileSelector(path)) if not _hidden(i.base_name)), key=lambda i: i.base_name)
-        scheme = self._root.split("://", 1)[0] + "://" if "://" in self._root and not self._root.startswith("file:") else ""
-        host = self._root.split("://", 1)[1].split("/", 1)[0] + "/" if scheme in ("hdfs://", "viewfs://") else ""
+        _, entries = listed(self._root)
+        # paths below a store's root: what stands ahead of the root's own path belongs to each of them
+        ahead = self._root[: len(self._root) - len(opened(self._root)[1])] if "://" in self._root else ""
         tables = [
-            (self._prefix + i.base_name.removesuffix(".parquet"), f"{scheme}{host}{i.path.lstrip('/') if scheme else i.path}")
+            (self._prefix + i.base_name.removesuffix(".parquet"), ahead + i.path)
             for i in entries if i.type == pafs.FileType.Directory or i.base_name.endswith(".parquet")
         ]
         n = self._per_partition
@@ -155,7 +140,7 @@ def folder_inventory(spark: SparkSession, root: str, prefix: str = "", tables_pe
     and one whose footer cannot be read have one row with a ``problem``.  ``root`` is in a store
     that pyarrow opens; for others take ``inventory_from_catalog``.
     """
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    carried(__name__)
     spark.dataSource.register(FooterSource)
     options = {"prefix": prefix, "tablesPerPartition": tables_per_partition}
     return spark.read.format("table_footers").options(**options).load(root)

@@ -1,8 +1,13 @@
+import io
+import random
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import yaml
 from helpers import rows
 
+from concordat.sources import documents
 from concordat.sources.catalog import database_inventory, inventory_rows
 from concordat.sources.footers import folder_inventory
 
@@ -66,3 +71,81 @@ def test_inventory_of_a_database_opens_no_table(spark, monkeypatch):
         expected += [(name, 0, "id", "BIGINT", None, "key"), (name, 1, "price", f"DECIMAL(9,{i % 5})", i % 5, None)]
         expected += [(name, 2, "note", "VARCHAR(7)", None, None)]
     assert found == sorted(expected, key=repr)
+
+
+def split_documents(data):
+    """The documents of a file, by lines."""
+    out, place, head = [], 0, True
+    lines, at = [], 0
+    for line in data.splitlines(keepends=True):
+        if line.startswith(b"---") and (len(line) == 3 or line[3:4] in b" \t\r\n"):
+            if not head or any(x.strip() and not x.strip().startswith(b"#") and not x.startswith(b"%") for x in lines):
+                out.append((place, b"".join(lines)))
+            place, head, lines = at, False, [line[3:]]
+        else:
+            lines.append(line)
+        at += len(line)
+    if not head or any(x.strip() and not x.strip().startswith(b"#") and not x.startswith(b"%") for x in lines):
+        out.append((place, b"".join(lines)))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [3, 7, 1 << 20])
+def test_ranges_hold_every_document_once(monkeypatch, chunk):
+    monkeypatch.setattr(documents, "_CHUNK", chunk)
+    rng = random.Random(chunk)
+    lines = [b"---\n", b"--- {a: 1}\n", b"a: 1\n", b"# note\n", b"\n", b"----\n", b" ---\n", b"---x\n", b"---\r\n", b"%YAML 1.2\n", b"b: long text over here\n", b"---"]
+    for _ in range(150):
+        data = b"".join(rng.choice(lines) for _ in range(rng.randrange(14)))
+        data = data.replace(b"---" + b"---", b"---\n---").rstrip(b"\n") if rng.random() < 0.3 else data
+        expected = [(p, t.rstrip(b"\n")) for p, t in split_documents(data)]
+        for size in (1, 2, 5, 11, 1000):
+            found = []
+            for start in range(0, len(data), size):
+                found += documents.documents(io.BytesIO(data), start, min(len(data), start + size))
+            assert [(p, t.rstrip(b"\n")) for p, t in found] == expected, (data, size)
+
+
+def test_documents_of_a_folder(spark, tmp_path):
+    for i in range(4):
+        text = "".join(f"---\nname: d{i}-{j}\nnote: {'é' * j}\n" for j in range(50 * i))
+        (tmp_path / f"f{i}.yaml").write_text(text)
+    (tmp_path / "_log").write_text("---\nnot: read\n")
+    found = documents.read_documents(spark, str(tmp_path), range_bytes=1000)
+    assert found.rdd.getNumPartitions() > 10
+    names = [yaml.safe_load(r["descriptor"])["name"] for r in found.collect()]
+    assert sorted(names) == sorted(f"d{i}-{j}" for i in range(4) for j in range(50 * i))
+    assert found.select("source", "place").distinct().count() == 300
+
+
+def test_stream_of_documents_goes_on_after_a_restart(spark, tmp_path):
+    source, out = tmp_path / "in", f"{tmp_path}/out"
+    source.mkdir()
+
+    def run(stop_in_batch=None):
+        stream = documents.follow_documents(spark, str(source), f"{tmp_path}/log", range_bytes=200)
+
+        def write(batch, number):
+            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+            if number == stop_in_batch:
+                raise RuntimeError("stopped")
+
+        query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    def add(i):
+        (source / f"f{9 - i}.yaml").write_text("".join(f"---\nname: d{i}-{j}\n" for j in range(30)))
+
+    add(0)
+    run()
+    run()  # nothing new
+    add(1)
+    add(2)
+    with pytest.raises(Exception, match="stopped"):
+        run(stop_in_batch=1)
+    add(3)
+    run()  # the stopped batch again
+    run()
+    columns = ["source", "place", "descriptor"]
+    assert rows(spark.read.parquet(out), *columns) == rows(documents.read_documents(spark, str(source)), *columns)
+    assert spark.read.parquet(out).select("batch").distinct().count() == 3
