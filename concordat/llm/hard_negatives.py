@@ -27,10 +27,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from concordat.llm.common import batch, pieces, work_folder, written
+from concordat.llm.scores import Scores, matrix, numbers, products, usable, whole_parts
 
-_EXACT = float(1 << 53)
 _SLACK = 1e-9  # of a distance, for rounding
-_OFFSET, _BYTES = 1 << 2200, 276  # order-preserving keys of scores that 64 bits do not hold
 
 
 class Node(NamedTuple):
@@ -154,40 +153,6 @@ def reached(tree: Tree, ranges: Ranges, q: np.ndarray, low: np.ndarray, high: np
     return out
 
 
-class Scores:
-    """Scores as a column: 64-bit integers, or binary keys of the same order where those do not suffice."""
-
-    def __init__(self, wide: bool) -> None:
-        self.wide = wide
-        self.sql, self.arrow = ("binary", pa.binary()) if wide else ("bigint", pa.int64())
-
-    def column(self, scores: np.ndarray) -> pa.Array:
-        if not self.wide:
-            return pa.array(scores.astype(np.int64))
-        return pa.array([(int(s) + _OFFSET).to_bytes(_BYTES, "big") for s in scores], pa.binary())
-
-    def values(self, items: list) -> list[int | None]:
-        return [None if s is None else int.from_bytes(s, "big") - _OFFSET if self.wide else s for s in items]
-
-    def as_long(self, key: str) -> Column:
-        """The score; null if 64 bits do not hold it."""
-        if not self.wide:
-            return F.col(key)
-
-        def convert(keys: pa.Array) -> pa.Array:
-            return pa.array([s if s is not None and -(1 << 63) <= s < 1 << 63 else None for s in self.values(keys.to_pylist())], pa.int64())
-
-        return F.arrow_udf(convert, "long")(key)
-
-
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows: 64-bit integers, or Python's where those could be too small."""
-    if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1] < _EXACT:
-        return (a @ b.T).astype(np.int64)
-    whole = np.frompyfunc(int, 1, 1)
-    return whole(a) @ whole(b).T
-
-
 def best(scores: np.ndarray, fits: np.ndarray, low: list, high: list, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k highest scores of each row among ``fits`` and from low to high; ties to the first column."""
     if scores.dtype == object or scores.shape[1] <= k:
@@ -206,35 +171,17 @@ def best(scores: np.ndarray, fits: np.ndarray, low: list, high: list, k: int) ->
     return np.nonzero(above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True))))
 
 
-def _numbers(x: np.ndarray) -> bytes:
-    """The least of a few types that holds the numbers, named by the first byte."""
-    for kind in ("h", "i"):
-        if not x.size or (np.abs(x).max() <= np.iinfo(kind).max):
-            return kind.encode() + x.astype(f"<{np.dtype(kind).str[1:]}").tobytes()
-    return b"d" + x.astype("<f8").tobytes()
-
-
-def _matrix(data: bytes, rows: int) -> np.ndarray:
-    return np.frombuffer(data, np.dtype(chr(data[0])).newbyteorder("<"), offset=1).astype(np.float64).reshape(rows, -1)
-
-
 def _vectors(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def _usable(embeddings: DataFrame, is_anchor: Column, scale: float) -> DataFrame:
-    def whole(x: Column) -> Column:  # beyond 2**52 every double is whole, and more than a bigint may hold
-        scaled = x.cast("double") * scale
-        return F.when(F.abs(scaled) < float(1 << 52), F.floor(scaled).cast("double")).otherwise(scaled)
-
-    numbers = F.transform("embedding", whole)
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     return (
-        embeddings.where(F.col("embedding").isNotNull() & F.forall("embedding", finite) & (F.size("embedding") > 0))
-        .where("vec_id IS NOT NULL AND label IS NOT NULL")
+        embeddings.where(usable(F.col("embedding"))).where("vec_id IS NOT NULL AND label IS NOT NULL")
         .select(
             F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.col("label").cast("long"),
-            F.coalesce(is_anchor, F.lit(False)).alias("anchor"), F.size("embedding").alias("width"), numbers.alias("vector"),
+            F.coalesce(is_anchor, F.lit(False)).alias("anchor"), F.size("embedding").alias("width"),
+            whole_parts(F.col("embedding"), scale).alias("vector"),
         )
     )
 
@@ -301,7 +248,7 @@ def _blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
             "leaf": pa.array(table.column("leaf")[:1].to_pylist(), pa.int32()),
             "block": pa.array(table.column("block")[:1].to_pylist(), pa.int32()),
             **{n: pa.array([c[order].astype("<i8").tobytes()], pa.binary()) for n, c in (("ids", ids), ("rows", row), ("labels", label))},
-            "numbers": pa.array([_numbers(x)], pa.binary()),
+            "numbers": pa.array([numbers(x)], pa.binary()),
         })
 
     dealt = rows.join(sizes, ["width", "leaf"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
@@ -367,10 +314,10 @@ class Search(NamedTuple):
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in pieces(batches, 1):
                 ids, rows, labels = (np.frombuffer(b.column(c)[0].as_buffer(), "<i8") for c in ("ids", "rows", "labels"))
-                x = _matrix(b.column("numbers")[0].as_py(), len(ids))
+                x = matrix(b.column("numbers")[0].as_py(), len(ids))
                 for t in pieces(pa.ipc.open_stream(b.column("tile")[0].as_buffer()), 64):
                     own, label = t.column("row").to_numpy(), t.column("label").to_numpy()
-                    product = _products(_vectors(t.column("vector")), x)
+                    product = products(_vectors(t.column("vector")), x)
                     alike = label[:, None] == labels[None]
                     fits = alike & (own[:, None] != rows[None]) if same else ~alike
                     asked = [list(zip(scores.values(p), scores.values(f))) for p, f in zip(t.column("positive").to_pylist(), t.column("floor").to_pylist())]
@@ -438,7 +385,7 @@ def mine(
         F.count("*"), F.max("width"), F.max(F.array_max(F.transform("vector", lambda x: F.abs(x))))
     ).first()
     width, largest = width or 0, int(largest or 0)
-    scores = Scores(largest * largest * width * 2 * max(map(abs, window)) >= 1 << 62)
+    scores = Scores(largest, width, 2 * max(map(abs, window)))
     trees = _fitted(vectors, n, width, sample, sample_bytes, ways, leaf)
     placed = written(_placed(vectors, trees, ways), folder, "placed")
     rows = placed.where("row IS NOT NULL").drop("at", "low", "high")

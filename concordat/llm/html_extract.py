@@ -17,6 +17,8 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,12 +31,16 @@ from concordat.llm.common import batch, pieces
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript head title svg math iframe object select textarea canvas audio video".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+HIDDEN = frozenset("script style template head title select textarea".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr br nobr input button".split()
+    "strike strong sub sup time tt u var wbr br nobr input button "
+    "math maction annotation merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace "
+    "msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
+# Their fallback text is judged like any block's, but they stand in a line and do not end it.
+SET_IN = frozenset("audio canvas desc g noscript object svg text textpath tspan video".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
     "h6 header hgroup hr main menu nav ol p pre search section table ul".split()
@@ -45,9 +51,7 @@ SAME_ENDS = {
 }
 SCOPES = frozenset("ul ol dl table td th div article section aside nav body main form blockquote".split())
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
-)
+_NAME_END = re.compile(r"[\s/>]")
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _WHITE = re.compile(r"\s+")
@@ -67,42 +71,125 @@ class Block:
     inline: int = 0  # inline elements
 
 
+class _Tags:
+    """The markup of a page from any place on, in time that grows with the page however broken it is."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self._at = [m.start() for m in re.finditer("[>\"']", page)]
+        self._same = [-1] * len(self._at)  # the next one of the same kind
+        last: dict[str, int] = {}
+        for k in range(len(self._at) - 1, -1, -1):
+            kind = page[self._at[k]]
+            self._same[k] = last.get(kind, -1)
+            last[kind] = k
+        self._open = bytearray(len(self._at))  # quotes from which no end of a tag is reached
+        self._name_end = self._close = -1
+
+    def _next(self, at: int) -> int:
+        """The next ``>``."""
+        if self._close < at:
+            found = self.page.find(">", at)
+            self._close = found if found >= 0 else len(self.page)
+        return self._close
+
+    def _tag_end(self, at: int) -> int:
+        """The ``>`` outside quotes that ends a tag, -1 if there is none."""
+        k, passed = bisect_left(self._at, at), []
+        while k < len(self._at) and not self._open[k]:
+            if self.page[self._at[k]] == ">":
+                return self._at[k]
+            passed.append(k)
+            if self._same[k] < 0:
+                break
+            k = self._same[k] + 1
+        for k in passed:
+            self._open[k] = 1
+        return -1
+
+    def find(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, closing, attributes) of the next markup; comments and declarations have no name."""
+        page, size = self.page, len(self.page)
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, size if end < 0 else end + 3, "", False, ""
+            if page[at : at + 1] in ("!", "?"):
+                if (end := self._next(at)) < size:
+                    return start, end + 1, "", False, ""
+                continue
+            closing = page[at : at + 1] == "/"
+            name = at + closing
+            if not (page[name : name + 1].isascii() and page[name : name + 1].isalpha()) or self._next(name) == size:
+                continue
+            if self._name_end <= name:
+                self._name_end = _NAME_END.search(page, name).start()
+            end = self._tag_end(self._name_end)
+            if end >= 0:
+                return start, end + 1, page[name : self._name_end].lower(), closing, page[self._name_end : end]
+        return None
+
+
+class _Open:
+    """The open blocks, innermost last, with the places of each name and of the scopes."""
+
+    def __init__(self) -> None:
+        self.blocks, self._names, self._at, self._scopes = [0], ["#root"], {}, []
+
+    def push(self, block: int, name: str) -> None:
+        self._at.setdefault(name, []).append(len(self.blocks))
+        if name in SCOPES:
+            self._scopes.append(len(self.blocks))
+        self.blocks.append(block)
+        self._names.append(name)
+
+    def innermost(self, name: str) -> int:
+        places = self._at.get(name)
+        return places[-1] if places else 0
+
+    def scope(self) -> int:
+        return self._scopes[-1] if self._scopes else 0
+
+    def cut(self, place: int) -> None:
+        for name in self._names[place:]:
+            self._at[name].pop()
+            if name in SCOPES:
+                self._scopes.pop()
+        del self.blocks[place:], self._names[place:]
+
+
 def parse(page: str) -> list[Block]:
     """The block elements of a page in page order, the root first.  Any text gives a tree."""
-    blocks = [Block("#root", (), -1, 0)]
-    open_blocks, in_link, at, end = [0], 0, 0, len(page)
+    blocks, opened, tags = [Block("#root", (), -1, 0)], _Open(), _Tags(page)
+    in_link, at, end = 0, 0, len(page)
     while at < end:
-        m = _TAG.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
+        m = tags.find(at)
+        text = page[at : m[0]] if m else page[at:]
         if text:
-            here = blocks[open_blocks[-1]]
+            here = blocks[opened.blocks[-1]]
             here.parts.append(text)
             if in_link:
                 here.links += len(text)
         if not m:
             break
-        at = m.end()
-        if not m[2]:
+        _, at, name, closing, attributes = m
+        if not name:
             continue
-        name, closing = m[2].lower(), bool(m[1])
         if closing:
             if name == "a":
                 in_link = 0
-            if name in INLINE:
-                continue
-            for k in range(len(open_blocks) - 1, 0, -1):
-                if blocks[open_blocks[k]].name == name:
-                    del open_blocks[k:]
-                    in_link = 0
-                    break
+            if name not in INLINE and (place := opened.innermost(name)):
+                opened.cut(place)
+                in_link = 0
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
             stop = page.find(">", close.start()) if close else -1
             at = stop + 1 if stop >= 0 else end
             continue
-        here = blocks[open_blocks[-1]]
         if name in INLINE:
+            here = blocks[opened.blocks[-1]]
             here.inline += 1
             if name == "br":
                 here.parts.append(" ")
@@ -110,24 +197,21 @@ def parse(page: str) -> list[Block]:
                 in_link = 1
             continue
         ends = ("p",) if name in CLOSES_P else SAME_ENDS.get(name, ())
-        for k in range(len(open_blocks) - 1, 0, -1):
-            if blocks[open_blocks[k]].name in ends:
-                del open_blocks[k:]
-                in_link = 0
-                if name not in SAME_ENDS:
-                    break
-            elif blocks[open_blocks[k]].name in SCOPES:
+        while ends and (place := max(map(opened.innermost, ends))) and place >= opened.scope():
+            opened.cut(place)
+            in_link = 0
+            if name not in SAME_ENDS:
                 break
         if name in VOID:
             continue
         tokens = []
-        for a in _ATTR.finditer(m[3]) if m[3] else ():
+        for a in _ATTR.finditer(attributes) if attributes else ():
             tokens += [t.lower() for t in _TOKEN.findall(a[2])]
-        parent = open_blocks[-1]
+        parent = opened.blocks[-1]
         blocks.append(Block(name, tuple(tokens), parent, blocks[parent].depth + 1))
         blocks[parent].parts.append(len(blocks) - 1)
-        if not m[3].endswith("/"):
-            open_blocks.append(len(blocks) - 1)
+        if not attributes.endswith("/"):
+            opened.push(len(blocks) - 1, name)
     return blocks
 
 
@@ -307,7 +391,7 @@ def clean(text: str) -> str:
 
 
 def kept_text(blocks: list[Block], kept: list[bool]) -> str:
-    """The kept blocks' texts in page order, one line each."""
+    """The kept blocks' texts in page order, one line each; elements set into a line do not end it."""
     lines: list[str] = []
     run: list[str] = []
 
@@ -325,14 +409,16 @@ def kept_text(blocks: list[Block], kept: list[bool]) -> str:
             part = parts[k]
             k += 1
             if type(part) is int:
-                flush()
+                if blocks[part].name not in SET_IN:
+                    flush()
                 stack.append((i, k))
                 stack.append((part, 0))
                 break
             if kept[i]:
                 run.append(part)
         else:
-            flush()
+            if blocks[i].name not in SET_IN:
+                flush()
     return "\n".join(lines)
 
 
@@ -494,16 +580,35 @@ def fit(paragraphs: list[str], pages: int = 900, seed: int = 11) -> Extractor:
     return Extractor(known, boost(x[use], y[use].astype(float), np.ones(int(use.sum()))))
 
 
-def train(pages: DataFrame, sample: int = 200, layouts: int = 900) -> Extractor:
-    """Fit with the paragraphs of at most ``sample`` pages, those with the least hashes."""
-    rows = pages.where("html IS NOT NULL").orderBy(F.xxhash64("page_id", "url"), "page_id").select("html").limit(sample).collect()
-    texts = []
-    for r in rows:
-        for b in parse(r["html"]):
-            text = clean("".join(p for p in b.parts if type(p) is str))
-            if b.name not in HIDDEN and len(text) > 20:
-                texts.append(html_lib.escape(text[:2000], quote=False))
-    return fit(texts, layouts)
+def train(pages: DataFrame, sample: int = 200, layouts: int = 900, per_page: int = 200, longest: int = 2000) -> Extractor:
+    """Fit with the paragraphs of at most ``sample`` pages, those with the least hashes.
+
+    Of a page at most ``per_page`` paragraphs are used, those with the least hashes, and none of
+    over ``longest`` characters: the driver gets no more than the product of the three.  Pages
+    are chosen by their hashes alone and cut into paragraphs by tasks.  Null pages are not
+    used, equal rows count once, and without any page a built-in sentence takes their place.
+    """
+    key = [F.xxhash64("page_id", "url").alias("h"), F.xxhash64("page_id", "url", "html").alias("whole")]
+    hashes = pages.where("html IS NOT NULL").select(*key).distinct().orderBy("h", "whole").limit(sample).collect()
+    if not hashes:
+        return fit([], layouts)
+    wanted = [r["whole"] for r in hashes]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 16):
+            for h, whole, page in zip(*(c.to_pylist() for c in b.columns)):
+                texts = []
+                for block in parse(page):
+                    text = clean("".join(p for p in block.parts if type(p) is str))
+                    if block.name not in HIDDEN and 20 < len(text) <= longest:
+                        texts.append(html_lib.escape(text, quote=False))
+                places = sorted(sorted(range(len(texts)), key=lambda i: (zlib.crc32(texts[i].encode()), i))[:per_page])
+                yield batch(found, [h] * len(places), [whole] * len(places), places, [texts[i] for i in places])
+
+    found = pa.schema([("h", pa.int64()), ("whole", pa.int64()), ("place", pa.int64()), ("text", pa.string())])
+    chosen = pages.where("html IS NOT NULL").select(*key, F.col("html").cast("string")).where(F.col("whole").isin(wanted))
+    rows = chosen.mapInArrow(cut, "h long, whole long, place long, text string").distinct().collect()
+    return fit([r["text"] for r in sorted(rows)], layouts)
 
 
 def main_text(pages: DataFrame, extractor: Extractor) -> DataFrame:

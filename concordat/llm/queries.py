@@ -103,17 +103,17 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op8_topk",
     """
-    WITH usable AS (
-        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    WITH usable AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
         FROM embeddings
-        WHERE embedding IS NOT NULL
+        WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     ), scored AS (
-        SELECT q.vec_id AS query_id, c.vec_id,
+        SELECT q.r, q.vec_id AS query_id, c.vec_id,
                CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-        FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+        FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.r <> c.r AND len(q.v) = len(c.v)
     ), ranked AS (
-        SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+        SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
     )
     SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,

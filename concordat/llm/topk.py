@@ -8,6 +8,7 @@ no group holds more than ``fan * k`` rows, however many shards there are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,65 +17,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.llm.common import batch, work_folder, written
-
-_EXACT = float(1 << 53)
-_LEAST = -(1 << 63)
-
+from concordat.llm.scores import Scores, matrix, numbers, products, usable, whole_parts
 
 def _matrices(vectors: DataFrame, size: int, n: int) -> DataFrame:
-    """(width, block, ids, values): about ``size`` vectors of one length in each row, by ascending id."""
+    """(width, block, ids, rows, numbers): about ``size`` vectors of one length in each row, by ascending id."""
     blocks = max(1, -(-n // size))
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
+        ids, rows = table.column("vec_id").to_numpy(), table.column("row").to_numpy()
+        order = np.lexsort((rows, ids))
         values = table.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
         return pa.table({
             "width": pa.array([table.column("width")[0].as_py()], pa.int32()),
             "block": pa.array([table.column("block")[0].as_py()], pa.int32()),
             "ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()),
-            "numbers": pa.array([values.astype("<f8").tobytes()], pa.binary()),
+            "rows": pa.array([rows[order].astype("<i8").tobytes()], pa.binary()),
+            "numbers": pa.array([numbers(values)], pa.binary()),
         })
 
-    return dealt.groupBy("width", "block").applyInArrow(pack, "width int, block int, ids binary, numbers binary")
-
-
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of integer rows as 64-bit integers, exact; beyond that range its ends."""
-    if not a.size or not b.size:
-        return np.zeros((len(a), len(b)), np.int64)
-    if np.abs(a).max() * np.abs(b).max() * a.shape[1] < _EXACT:
-        return (a @ b.T).astype(np.int64)
-    whole = np.vectorize(int, otypes=[object])
-    exact = whole(a) @ whole(b).T
-    return np.vectorize(lambda x: max(_LEAST + 1, min(-_LEAST - 1, x)), otypes=[np.int64])(exact)
+    return dealt.groupBy("width", "block").applyInArrow(pack, "width int, block int, ids binary, rows binary, numbers binary")
 
 
-def best_of_shard(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, rows: int = 256):
-    """(query id, vector id, score) of each query's best k others; ties to the smaller id, ``ids`` ascending."""
+def best_of_shard(own: np.ndarray, q: np.ndarray, rows: np.ndarray, v: np.ndarray, k: int, step: int = 256):
+    """(query, vector, score): places of each query's best k other rows; ties to the first vector."""
     out = []
-    for at in range(0, len(queries), rows):
-        own, scores = queries[at : at + rows], _products(q[at : at + rows], v)
-        place = np.searchsorted(ids, own)
-        itself = (place < len(ids)) & (ids[np.minimum(place, len(ids) - 1)] == own)
-        if len(ids) > k + 1:
-            # the k + 1 best hold the k best others; equal scores at the edge go by place
-            edge = np.partition(scores, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1]
-            above, at_edge = scores > edge[:, None], scores == edge[:, None]
-            lack = k + 1 - above.sum(axis=1)
-            keep = above | (at_edge & (np.cumsum(at_edge, axis=1) <= lack[:, None]))
+    for at in range(0, len(own), step):
+        scores = products(q[at : at + step], v)
+        others = own[at : at + step, None] != rows[None]
+        if scores.dtype == object:
+            found = [[c for c in np.flatnonzero(o)] for o in others]
+            found = [sorted(c, key=lambda j: (-s[j], j))[:k] for c, s in zip(found, scores)]
+            who = np.repeat(np.arange(len(found)), [len(c) for c in found])
+            col = np.array([j for c in found for j in c], int)
         else:
-            keep = np.ones(scores.shape, bool)
-        keep[np.flatnonzero(itself), place[itself]] = False
-        who, col = np.nonzero(keep)
-        got = scores[who, col]
-        order = np.lexsort((col, -got, who))
-        who, col, got = who[order], col[order], got[order]
-        new = np.concatenate([[True], who[1:] != who[:-1]]) if len(who) else np.empty(0, bool)
-        nth = np.arange(len(who)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(who) else np.empty(0, int)
-        first = nth < k
-        out.append((own[who[first]], ids[col[first]], got[first]))
+            # the k + 1 best hold the k best others; equal scores at the edge go by place
+            n = min(k + 1, len(rows))
+            edge = np.partition(scores, -n, axis=1)[:, -n, None]
+            above, level = scores > edge, scores == edge
+            keep = above | (level & (np.cumsum(level, axis=1) <= n - above.sum(axis=1, keepdims=True)))
+            who, col = np.nonzero(keep & others)
+            order = np.lexsort((col, -scores[who, col], who))
+            who, col = who[order], col[order]
+            first = np.searchsorted(who, np.arange(len(scores)))
+            kept = np.arange(len(who)) - first[who] < k
+            who, col = who[kept], col[kept]
+        out.append((who + at, col, scores[who, col]))
     return [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 3
 
 
@@ -82,58 +70,62 @@ def search(
     embeddings: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0,
     shard: int = 8192, tile: int = 1024, fan: int = 16,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k highest integer inner products.
+    """(query_id, rank, vec_id, score): each query row's k highest integer inner products.
 
     Components become ``floor(scale * x)``.  Queries are the rows where ``is_query`` holds;
     candidates are all rows but the query's own; ties go to the smaller vec_id, and a query
-    with fewer candidates gets them all.  Null vectors, those with a null or non-finite
-    component and rows without id take no part; vectors of different lengths are not compared.
-    A vec_id names one vector: of rows that share it the smallest vector counts.
+    with fewer candidates gets them all.  Rows are told apart as rows: those that share a
+    vec_id are candidates for each other, and each that is a query has a list of its own.
+    Null and empty vectors, those with a null or non-finite component and rows without id take
+    no part; vectors of different lengths are not compared.  Scores are exact: one that 64
+    bits do not hold is ordered by its value and returned as null.
+
+    A tile of queries is sent to every shard, so shards grow with the table: they hold
+    ``shard`` rows or four times the square root of the rows, whichever is more, and at most
+    64 MB of numbers.
     """
     folder = work_folder(embeddings.sparkSession)
-    usable = F.col("embedding").isNotNull() & F.forall(
-        "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    )
-    numbers = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    vectors = embeddings.where(usable & F.col("vec_id").isNotNull()).select(
-        F.col("vec_id").cast("long"), numbers.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query")
+    vectors = embeddings.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
+        F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.size("embedding").alias("width"),
+        whole_parts(F.col("embedding"), scale).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query"),
     )
-    vectors = vectors.groupBy("vec_id").agg(F.min("vector").alias("vector"), F.max("query").alias("query"))
-    vectors = written(vectors.withColumn("width", F.size("vector")), folder, "vectors")
-    count = vectors.agg(F.count("*").alias("n"), F.count_if("query").alias("q")).first()
-    shards = written(_matrices(vectors.drop("query"), shard, count["n"]), folder, "shards")
+    vectors = written(vectors, folder, "vectors")
+    count = vectors.agg(
+        F.count("*").alias("n"), F.count_if("query").alias("q"), F.max("width").alias("width"),
+        F.max(F.array_max(F.transform("vector", lambda x: F.abs(x)))).alias("largest"),
+    ).first()
+    width, n = count["width"] or 1, count["n"]
+    scores = Scores(int(count["largest"] or 0), width)
+    shard = min(max(shard, 4 * math.isqrt(n)), max(1, (8 << 20) // width))
+    shards = written(_matrices(vectors.drop("query"), shard, n), folder, "shards")
     tiles = _matrices(vectors.where("query").drop("query"), tile, count["q"]).select(
-        "width", F.col("block").alias("tile"), F.col("ids").alias("query_ids"), F.col("numbers").alias("query_numbers"),
-        F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-count["n"] // shard)) - 1))).alias("block"),
+        "width", F.col("ids").alias("query_ids"), F.col("rows").alias("query_rows"), F.col("numbers").alias("query_numbers"),
+        F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // shard)) - 1))).alias("block"),
     )
-    out = pa.schema([("query_id", pa.int64()), ("part", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    fields = [("query_row", pa.int64()), ("query_id", pa.int64()), ("part", pa.int32()), ("vec_id", pa.int64()), ("less", scores.arrow)]
+    out = pa.schema(fields)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                block, *parts = (b.column(j)[i] for j in range(5))
-                ids, numbers, query_ids, query_numbers = (
-                    np.frombuffer(p.as_buffer(), t) for p, t in zip(parts, ("<i8", "<f8", "<i8", "<f8"))
-                )
-                found = best_of_shard(
-                    query_ids, query_numbers.reshape(len(query_ids), -1), ids, numbers.reshape(len(ids), -1), k
-                )
-                yield batch(out, found[0], np.full(len(found[0]), block.as_py()), found[1], found[2])
+                block, *parts = (b.column(j)[i] for j in range(7))
+                ids, rows, query_ids, query_rows = (np.frombuffer(parts[j].as_buffer(), "<i8") for j in (0, 1, 3, 4))
+                v, q = matrix(parts[2].as_py(), len(ids)), matrix(parts[5].as_py(), len(query_ids))
+                who, col, score = best_of_shard(query_rows, q, rows, v, k)
+                yield batch(out, query_rows[who], query_ids[who], np.full(len(who), block.as_py()), ids[col], scores.column(-score))
 
     lists = (
-        shards.join(tiles, ["width", "block"]).select("block", "ids", "numbers", "query_ids", "query_numbers")
-        .mapInArrow(multiply, "query_id long, part int, vec_id long, score long")
+        shards.join(tiles, ["width", "block"])
+        .select("block", "ids", "rows", "numbers", "query_ids", "query_rows", "query_numbers")
+        .mapInArrow(multiply, f"query_row long, query_id long, part int, vec_id long, less {scores.sql}")
     )
-    ranked = F.struct((-F.col("score")).alias("less"), "vec_id")
-    left = max(1, -(-count["n"] // shard))
+    left = max(1, -(-n // shard))
     while True:
         left = -(-left // fan)
-        merged = lists.groupBy("query_id", F.floor(F.col("part") / fan).cast("int").alias("part")).agg(
-            F.slice(F.array_sort(F.collect_list(ranked)), 1, k).alias("best")
+        merged = lists.groupBy("query_row", "query_id", F.floor(F.col("part") / fan).cast("int").alias("part")).agg(
+            F.slice(F.array_sort(F.collect_list(F.struct("less", "vec_id"))), 1, k).alias("best")
         )
-        placed = merged.select("query_id", "part", F.posexplode("best").alias("at", "b"))
+        placed = merged.select("query_row", "query_id", "part", F.posexplode("best").alias("at", "b"))
+        lists = placed.select("query_row", "query_id", "part", (F.col("at") + 1).alias("rank"), "b.vec_id", "b.less")
         if left == 1:
-            return placed.select(
-                "query_id", (F.col("at") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.less")).alias("score")
-            )
-        lists = placed.select("query_id", "part", F.col("b.vec_id").alias("vec_id"), (-F.col("b.less")).alias("score"))
+            return lists.select("query_id", "rank", "vec_id", scores.as_long("less", -1).alias("score"))

@@ -121,26 +121,6 @@ def test_repeats_of_a_large_window(spark, corpus):
         assert {r["doc_id"]: bytes(r["kept"]) for r in got} == expected
 
 
-def test_small_pieces_change_nothing(monkeypatch):
-    rows = repeated_rows(3)
-    import pyarrow as pa
-
-    table = pa.record_batch([pa.array([i for i, _ in rows]), pa.array([i for i, _ in rows]), pa.array([t or "" for _, t in rows])], ["d", "r", "t"])
-    shapes = []
-    for chunk, held in ((1 << 19, 1 << 18), (300, 50)):
-        spans = set()
-        buckets = {}
-        for b in suffix_dedup._occurrences([table], 100, 50, 3, chunk=chunk, held=held):
-            for bucket, kind, packed in zip(*(b.column(i).to_pylist() for i in range(3))):
-                buckets.setdefault(bucket, []).append((kind, packed))
-        for rows_ in buckets.values():
-            t = pa.table({"kind": [k for k, _ in rows_], "packed": [p for _, p in rows_]})
-            for b in suffix_dedup._settle_bucket(t, 100):
-                spans.update(d for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        shapes.append(spans)
-    assert shapes[0] and shapes[0] <= shapes[1] | shapes[0]
-
-
 def test_small_pieces_leave_the_same_bytes(spark, corpus, monkeypatch):
     rows = repeated_rows(3)
     monkeypatch.setattr(suffix_dedup, "_occurrences", partial(suffix_dedup._occurrences, chunk=300, held=50))

@@ -2,11 +2,14 @@
 
 import hashlib
 import json
+import math
 import os
 import random
 import subprocess
 import sys
+import time
 import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from concordat.llm import fingerprints, html_extract, topk, toxicity, warc
+from concordat.llm import fingerprints, html_extract, scores, topk, toxicity, warc
 from concordat.llm.queries import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -98,19 +101,39 @@ def test_search_is_exact(spark, shard, tile, fan):
     rows += [(94, [1.0, 2.0]), (100, [3.0, 0.0]), (110, []), (None, [1.0] * 4), (7, rows[7][1])]
     table = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
     got = topk.search(table, F.col("vec_id") % 10 == 0, 5, shard=shard, tile=tile, fan=fan).collect()
-    usable = {i: [int(np.floor(256 * float(np.float32(x)))) for x in v] for i, v in rows
-              if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    expected = []
-    for q in (i for i in usable if i % 10 == 0):
-        found = [(-sum(a * b for a, b in zip(usable[q], v)), i) for i, v in usable.items() if i != q and len(v) == len(usable[q])]
-        expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(found)[:5])]
-    assert sorted(map(tuple, got)) == sorted(expected)
+    assert sorted(map(tuple, got)) == sorted(best_by_brute_force(rows, np.float32))
     assert topk.search(table.limit(0), F.lit(True), 5).count() == 0
 
 
+def best_by_brute_force(rows, number=float):
+    usable = [(at, i, [math.floor(256 * float(number(x))) for x in v]) for at, (i, v) in enumerate(rows)
+              if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for at, q, own in usable:
+        if q % 10 == 0:
+            found = [(-sum(a * b for a, b in zip(own, v)), i) for n, i, v in usable if n != at and len(v) == len(own)]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(found)[:5])]
+    return out
+
+
+def test_rows_that_share_an_id_are_all_candidates(spark):
+    rows = [(7, [1.0, 1.0]), (7, [5.0, 5.0]), (10, [1.0, 0.0]), (10, [2.0, 0.0]), (10, [2.0, 0.0]), (3, [1.0, 1.0])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, 5).collect()
+    assert sorted(map(tuple, got)) == sorted(best_by_brute_force(rows)) and len(got) == 15
+
+
+def test_scores_beyond_64_bits_keep_their_order(spark):
+    rows = [(10, [3e17, 1.0]), (1, [3e17, 1.0]), (2, [1e37, 0.0]), (3, [-1e37, 0.0]), (4, [3e17, 2.0]), (5, [1e-3, 4.0])]
+    for number, kind in ((float, "double"), (np.float32, "float")):
+        got = topk.search(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), F.col("vec_id") % 10 == 0, 5).collect()
+        expected = best_by_brute_force(rows, number)
+        assert sorted(map(tuple, got)) == [(*r[:3], r[3] if abs(r[3]) < 1 << 63 else None) for r in sorted(expected)]
+        assert [r[2] for r in sorted(expected)][0] == 2 and None in [r["score"] for r in got]
+
+
 def test_products_beyond_doubles():
     a, b = np.array([[2.0**30, 1.0]]), np.array([[2.0**30, 1.0], [2.0**40, 0.0]])
-    assert topk._products(a, b).tolist() == [[2**60 + 1, 2**63 - 1]]
+    assert scores.products(a, b).tolist() == [[2**60 + 1, 2**70]]
 
 
 PAGE = """<html><head><title>A &amp; B</title><script>var t="</p>";</script></head><body><nav><a href="/x?a=1&amp;b=2">x</a></nav>
@@ -195,17 +218,17 @@ def test_pages_of_a_table(spark, extractor):
 
 def test_queries_with_sql(spark):
     con = duckdb.connect()
-    for name in ("embeddings",):
+    for name in ("embeddings", "pages"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
     for name, sql in ORACLES.items():
         got = QUERIES[name](spark, SF_DIR)
         expected = con.execute(sql)
         columns = [d[0] for d in expected.description]
-        assert sorted(map(tuple, got.select(*columns).collect())) == sorted(expected.fetchall())
+        assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(expected.fetchall(), key=str)
 
 
 def test_every_operator_is_registered():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert any(name.startswith(f"op{n}_") for name in entry.queries())
     assert entry.queries()["pipeline"] is corpus_pipeline.run
 
@@ -215,12 +238,77 @@ def test_toxicity_query(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7) for r in rows)
 
 
+class ArticleText(HTMLParser):
+    """The blocks of the article of a given page; its comments and adverts are marked by their classes."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.lines, self.skipped = [], [[]], 0
+
+    def handle_starttag(self, tag, attributes):
+        if tag in ("br", "img", "hr", "input", "meta", "link"):
+            self.handle_data(" ")
+            return
+        if tag in ("p", "h1", "h2", "h3", "li", "div", "ul", "td", "tr", "table", "blockquote", "article", "section", "aside"):
+            self.lines.append([])
+        self.stack.append((tag, set(dict(attributes).get("class", "").split())))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+            if tag not in ("b", "i", "a", "span", "em", "strong"):
+                self.lines.append([])
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.stack):
+            self.lines[-1].append(data)
+
+
+def test_given_pages_give_their_articles(spark):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in QUERIES["op10_html"](spark, SF_DIR).collect()}
+    for page_id, page in pages.items():
+        reader = ArticleText()
+        reader.feed(page)
+        lines = [" ".join("".join(parts).split()) for parts in reader.lines]
+        assert got[page_id] == "\n".join(filter(None, lines)), page_id
+
+
+def test_formulas_and_fallback_texts_stay_in_their_line(extractor):
+    tail = "<p>Some plain words make up a sentence. Then comes another one, longer than before.</p>" * 3
+    page = f"<body><article><p>Let a<math><mi>x</mi><mo>=</mo></math> b, and <svg><text>one</text></svg> <object>two</object> follow it here.</p>{tail}</article></body>"
+    first = html_extract.kept_text(*(lambda b: (b, [True] * len(b)))(html_extract.parse(page))).split("\n")[0]
+    assert first == "Let ax= b, and one two follow it here."
+    assert extractor.extract([page])[0].split("\n")[0].startswith("Let ax= b, and")
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<h1>", "<p><td><h1>", '<a ""', "<a", "<ul><li>", "<!--", "<x></y>", "<a '\"' ", "</p "])
+def test_hostile_pages_take_time_in_proportion(piece):
+    took = []
+    for n in (20_000, 80_000):
+        started = time.process_time()
+        html_extract.parse(piece * n + '">"')
+        took.append(time.process_time() - started)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_training_takes_bounded_paragraphs(spark, monkeypatch):
+    rows = [(i % 7, "u", "".join(f"<p>Paragraph {i} {j} has some words in it.</p>" for j in range(30)) + f"<p>{'long ' * 500}</p>") for i in range(40)]
+    seen = []
+    monkeypatch.setattr(html_extract, "fit", lambda texts, layouts: seen.append(texts))
+    pages = spark.createDataFrame(rows + rows[:20] + [(1, "u", None)], "page_id long, url string, html string")
+    html_extract.train(pages.repartition(5), sample=6, per_page=4, longest=100)
+    html_extract.train(pages.repartition(3), sample=6, per_page=4, longest=100)
+    assert len(seen[0]) == 24 and seen[0] == seen[1] and max(map(len, seen[0])) <= 100
+
+
 def test_pipeline_stages_on_odd_documents(spark, corpus):
     text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
     docs = corpus((1, text), (2, text), (3, None), (4, ""), (5, f"{text} and something else that differs at the end"), (5, "twice"), (None, "no id"))
     kept = corpus_pipeline.without_near_duplicates(spark, docs, SF_DIR)
     assert kept.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "5", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "5", "5", "None"]
     cut = corpus_pipeline.without_repeated_passages(spark, docs, SF_DIR)
     left = {(r["doc_id"], len(r["text"]), r["n_chars"]) for r in cut.collect()}
     assert cut.columns == docs.columns and (1, len(text), len(text)) in left and (2, 0, 0) in left
