@@ -313,6 +313,29 @@ INPUTS: dict[str, str] = {
                WHEN 5 THEN CASE WHEN o_custkey % 2 = 0 THEN '%_' ELSE '' END
                WHEN 6 THEN concat('Customer', chr(92), 'd', digits) END AS pattern
         FROM (SELECT o_orderkey, o_custkey, right(concat('00000000', CAST(o_custkey AS STRING)), 9) AS digits FROM {orders})""",
+    # ---- nested definitions as JSON, with < and > for braces until they are complete:
+    # the same settings in another order, with other stamps, or changed
+    "requested_jobs": """
+        SELECT request_id, name, override, environment,
+               replace(replace(text, '<', chr(123)), '>', chr(125)) AS definition
+        FROM (SELECT o_orderkey AS request_id, concat('job_', CAST(o_orderkey AS STRING)) AS name,
+                     o_orderkey % 5 = 0 AS override,
+                     CASE WHEN o_orderkey % 3 = 0 THEN 'DEVELOPMENT' ELSE 'production' END AS environment,
+                     CASE WHEN o_orderkey % 41 = 0 THEN '<unclosed' ELSE
+                     concat('<"retries": ', CAST(o_custkey % 4 AS STRING), ', "labels": <"b": "', o_orderstatus,
+                            '", "a": 1.50>, "tasks": [<"key": "t1", "seen": ', CAST(o_orderkey AS STRING),
+                            '>, <"key": "t2">], "created": 1>') END AS text
+              FROM {orders})""",
+    "deployed_jobs": """
+        SELECT id, name, replace(replace(text, '<', chr(123)), '>', chr(125)) AS definition
+        FROM (SELECT CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE concat('id-', CAST(o_orderkey AS STRING)) END AS id,
+                     concat('job_', CAST(o_orderkey AS STRING)) AS name,
+                     concat('<"tasks": [<"seen": null, "key": "t1">, <"key": "t', CASE WHEN o_orderkey % 13 = 0 THEN '9' ELSE '2' END,
+                            '">], "created": 77, "labels": <"a": 1.5, "b": "', o_orderstatus, '">, "owner": <"name": "x">, "retries": ',
+                            CAST((o_custkey + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END) % 4 AS STRING), '>') AS text
+              FROM {orders} WHERE o_orderkey % 7 <> 0
+              UNION ALL
+              SELECT 'again', concat('job_', CAST(o_orderkey AS STRING)), '<>' FROM {orders} WHERE o_orderkey % 19 = 0)""",
     # ---- components
     "components": """
         SELECT (p_partkey - p_partkey % 5) AS product_id, CAST(p_partkey % 5 AS INT) AS pos,

@@ -9,6 +9,7 @@ from checks.registry import query
 from concordat.operators import lookup
 from concordat.operators.definitions import compare_definitions
 from concordat.operators.existence import catalog_exists, schema_exists, table_exists
+from concordat.operators.normal_form import compare_nested
 from concordat.operators.patterns import match_patterns, pattern_verdicts
 
 
@@ -195,6 +196,25 @@ def definition_compare(spark, sf_dir):
     )
 
 
+@query(
+    "v6_nested_definition_compare",
+    """AS_WITH found AS (SELECT name, count(*) AS n, min(id) AS id FROM {deployed_jobs} GROUP BY name)
+      SELECT request_id, r.name, coalesce(n, 0) AS existing_count, CASE WHEN n = 1 THEN id END AS existing_id,
+             CASE WHEN request_id % 41 = 0 THEN 'ERROR_UNREADABLE' WHEN n IS NULL THEN 'OK_NEW'
+                  WHEN n > 1 THEN 'ERROR_NOT_UNIQUE' WHEN id = '' THEN 'ERROR_EMPTY_ID'
+                  WHEN id <> 'again' AND request_id % 13 <> 0 AND request_id % 11 <> 0 THEN 'OK_SAME'
+                  WHEN override THEN 'OK_OVERRIDE' WHEN environment = 'DEVELOPMENT' THEN 'ERROR_DIFFERS'
+                  ELSE 'OK_CHANGED' END AS verdict
+      FROM {requested_jobs} r LEFT JOIN found f ON r.name = f.name""",
+)
+def nested_definition_compare(spark, sf_dir):
+    """Jobs whose fields come in any order; stamps of the platform are no part of the comparison."""
+    return compare_nested(
+        derived(spark, sf_dir, "requested_jobs"), derived(spark, sf_dir, "deployed_jobs"),
+        ignored=["created", "owner", "tasks[*].seen"],
+    ).select("request_id", "name", "existing_count", "existing_id", "verdict")
+
+
 @query(
     "k9_last_wins",
     """SELECT user_id, event_type, arg_max(props, event_id) AS props FROM events GROUP BY ALL""",

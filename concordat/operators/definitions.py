@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from concordat.functions.names import is_empty
 from concordat.operators.access import DEVELOPMENT
 from concordat.operators.joins import keyed_join
+from concordat.operators.normal_form import comparable
 
 
 def compare_definitions(
@@ -26,20 +27,24 @@ def compare_definitions(
     columns; ``existing`` has ``name``, ``id`` and the same settings.  Only the
     settings are compared: creation time, creator, id and run-as name are set by
     the platform.  ``empty_settings`` gives the value of each setting in an empty
-    definition, where ``existing.<setting>`` refers to the existing one.
+    definition, where ``existing.<setting>`` refers to the existing one.  Settings may be
+    nested and hold maps, whose entries have no order.
     """
     body = F.struct("id", *settings)
     found = existing.groupBy("name").agg(
-        F.count(F.lit(1)).alias("existing_count"), F.min(body).alias("existing")
+        F.count(F.lit(1)).alias("existing_count"), F.any_value(body).alias("existing")
     )
     joined = keyed_join(requested, found, ["name"], "left", salts)
     count = F.coalesce(F.col("existing_count"), F.lit(0))
     same = F.lit(True)
-    for setting in settings:
-        same = same & F.col(setting).eqNullSafe(F.col("existing")[setting])
+    types = {setting: requested.schema[setting].dataType for setting in settings}
+    for setting, dtype in types.items():
+        known = comparable(F.col("existing")[setting].cast(dtype), dtype)
+        same = same & comparable(F.col(setting), dtype).eqNullSafe(known)
     is_blank_request = F.lit(empty_settings is not None)
     for setting, value in (empty_settings or {}).items():
-        is_blank_request = is_blank_request & F.col(setting).eqNullSafe(value)
+        blank = comparable(value.cast(types[setting]), types[setting])
+        is_blank_request = is_blank_request & comparable(F.col(setting), types[setting]).eqNullSafe(blank)
     verdict = (
         F.when(is_empty("name"), "ERROR_NO_NAME")
         .when(count == 0, "OK_NEW")

@@ -26,6 +26,10 @@ _HASH = "__key_hash"
 _SALT = "__salt"
 
 
+def _hashable(type_text: str) -> bool:
+    return "map<" not in type_text and "variant" not in type_text
+
+
 def keyed_join(
     facts: DataFrame,
     directory: DataFrame,
@@ -49,14 +53,14 @@ def keyed_join(
         return facts.join(directory, on, how)
     if salts > 1:
         # A hash of the row keeps the salt the same when a lost task is run again.
-        spread = [c for c, t in facts.dtypes if c not in on and not t.startswith("map")]
+        spread = [c for c, t in facts.dtypes if c not in on and _hashable(t)]
         salt = F.pmod(F.xxhash64(*(spread or on)), F.lit(salts))
         every_salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
         salted = facts.withColumn(_SALT, salt)
         return salted.join(directory.withColumn(_SALT, every_salt), [*on, _SALT], how).drop(_SALT)
     key_hash = F.xxhash64(*on)
     # A null key matches nothing; its rows would all meet in one partition, so they are dealt by the whole row.
-    others = [c for c, t in facts.dtypes if not t.startswith("map")]
+    others = [c for c, t in facts.dtypes if c in on or _hashable(t)]
     has_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
     return (
         facts.withColumn(_HASH, F.when(has_null, F.xxhash64(*[F.col(f"`{c}`") for c in others])).otherwise(key_hash))
