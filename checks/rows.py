@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.inputs import table
 from checks.registry import query
 from concordat.operators import row_rules as r
+from concordat.operators.profile_states import keep_states, kept_states, profile_of_states
 from concordat.operators.row_rules import ColumnRule
+from concordat.session import shared_folder
 
 
 @query(
@@ -132,6 +136,28 @@ def profile_with_bounds(spark, sf_dir):
     return r.profile(table(spark, sf_dir, "customer"))
 
 
+@query(
+    "e6_profile_of_kept_states",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS nulls, CAST(min({c}) AS VARCHAR) AS min_value, "
+        f"CAST(max({c}) AS VARCHAR) AS max_value, true AS distinct_is_close FROM orders"
+        for c in ("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    ),
+)
+def profile_of_kept_states(spark, sf_dir):
+    """Orders by status, profiled in two runs: one partition is read again, one is new; the rest is merged."""
+    orders = table(spark, sf_dir, "orders")
+    path = f"{shared_folder(spark)}/profile-{uuid.uuid4().hex}"
+    keep_states(orders.where("o_orderstatus IN ('F', 'O')"), ["o_orderstatus"], path)
+    keep_states(orders.where("o_orderstatus NOT IN ('F')"), ["o_orderstatus"], path)
+    kept = profile_of_states(kept_states(spark, path))
+    exact = r.profile(orders).select("column_name", F.col("distinct_values").alias("counted"))
+    close = F.abs(F.col("distinct_values") - F.col("counted")) <= F.col("counted") * 0.08
+    return kept.join(exact, "column_name").select(
+        "column_name", "rows", "nulls", "min_value", "max_value", close.alias("distinct_is_close")
+    )
+
+
 @query(
     "e7_freshness",
     """SELECT max(ts) AS newest, max(ts) >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 24 HOURS AS is_fresh
