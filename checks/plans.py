@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.contracts import DERIVED_SQL
-from checks.inputs import derived
+from checks.inputs import derived, table
 from checks.registry import query
 from concordat.operators.contract import update_errors
+from concordat.operators.mappers import mapper
 from concordat.plans.access_update import access_update_plan
 from concordat.plans.provision import find_workspaces, publish_verdicts
 from concordat.plans.reverse_provision import contract_problems, reverse_provision_plan
@@ -68,9 +69,7 @@ _MAPPED = """canon AS (SELECT lower(display_name) AS g, count(*) AS n, min(displ
            WHERE role <> 'access' AND lower(environment) = 'development')"""
 
 
-@query(
-    "access_update_plan",
-    f"""AS_WITH {_MAPPED}
+_PLAN_SQL = f"""AS_WITH {_MAPPED}
       SELECT DISTINCT 'TABLE' AS object_type, securable AS object_name, principal, 'SELECT' AS privilege, 'REVOKE' AS action
       FROM {{access_grants}} WHERE securable IN (SELECT securable FROM usable)
         AND (securable, principal) NOT IN (SELECT (securable, principal) FROM kept)
@@ -79,8 +78,10 @@ _MAPPED = """canon AS (SELECT lower(display_name) AS g, count(*) AS n, min(displ
         SELECT 'TABLE', securable, principal, 'SELECT' FROM wanted
         UNION SELECT 'CATALOG', split_part(securable, '.', 1), principal, 'USE_CATALOG' FROM wanted
         UNION SELECT 'SCHEMA', split_part(securable, '.', 1) || '.' || split_part(securable, '.', 2), principal, 'USE_SCHEMA'
-        FROM wanted)""",
-)
+        FROM wanted)"""
+
+
+@query("access_update_plan", _PLAN_SQL)
 def access_plan(spark, sf_dir):
     return access_update_plan(
         derived(spark, sf_dir, "access_requests"),
@@ -90,6 +91,33 @@ def access_plan(spark, sf_dir):
     )
 
 
+@query("access_update_plan_by_batches", _PLAN_SQL)
+def access_plan_by_batches(spark, sf_dir):
+    """The same plan with a mapper in Python, which is asked for lists of references."""
+    spellings: dict[str, list[str]] = {}
+    for row in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():  # 25 rows at any scale
+        if row["n_nationkey"] % 5:
+            spellings.setdefault(row["n_name"].lower(), []).append(row["n_name"])
+        if row["n_nationkey"] % 7 == 1:
+            spellings.setdefault(row["n_name"].lower(), []).append(row["n_name"].lower())
+
+    def of_batch(refs):
+        answers = {}
+        for ref in refs:
+            if ref.startswith("user:"):
+                local, at, domain = ref[5:].rpartition("_")
+                answers[ref] = f"{local}@{domain}" if at else ref[5:]
+            elif ref.startswith("group:"):
+                found = spellings.get(ref[6:].lower(), [])
+                answers[ref] = found[0] if len(found) == 1 else LookupError(f"{len(found)} groups")
+        return answers
+
+    return access_update_plan(
+        derived(spark, sf_dir, "access_requests"), derived(spark, sf_dir, "access_securables"),
+        derived(spark, sf_dir, "access_grants"), mapper=mapper("batches", of_batch=of_batch),
+    )
+
+
 _JSON = """concat('{"name":"', name, '","dataType":"', data_type, '","dataLength":', coalesce(CAST(data_length AS VARCHAR), 'null'),
    ',"constraint":', coalesce('"' || "constraint" || '"', 'null'), ',"precision":', coalesce(CAST(precision AS VARCHAR), 'null'),
    ',"scale":', coalesce(CAST(scale AS VARCHAR), 'null'), ',"description":"', description, '","tags":null}')"""

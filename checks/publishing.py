@@ -15,6 +15,7 @@ from concordat.sources.catalog import column_inventory, inventory_from_catalog,
 from concordat.sources.footers import folder_inventory
 from concordat.sources.views import ViewColumn, described_columns, publish_view, unpublish_view
 from concordat.streaming.projection import publish_stream
+from concordat.streaming.versions import publish_versions, published_rows
 
 
 @query("s1_table_scan", "SELECT * FROM orders")
@@ -223,3 +224,18 @@ def streamed_projection(spark, sf_dir):
     wanted = ["event_id", "user_id", "event_type", "value"]
     publish_stream(stream, wanted, f"{folder}/data", f"{folder}/checkpoint").awaitTermination()
     return spark.read.schema(source.select(*wanted).schema).parquet(f"{folder}/data")
+
+
+@query(
+    "t1_versioned_projection",
+    """SELECT event_id, user_id, CASE WHEN event_id % 2 = 1 THEN props END AS props FROM events""",
+)
+def versioned_projection(spark, sf_dir):
+    """Events in two runs of a stream; the contract has one column more in the second."""
+    source = table(spark, sf_dir, "events")
+    folder = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    for run, wanted in enumerate((["event_id", "user_id"], ["event_id", "user_id", "props"])):
+        source.where(F.col("event_id") % 2 == run).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(source.schema).parquet(f"{folder}/in")
+        publish_versions(stream, wanted, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return published_rows(spark, f"{folder}/out", source.select(*wanted).schema).drop("version")

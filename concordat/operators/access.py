@@ -162,7 +162,10 @@ def configured_privilege(principal: str, privilege: str, development: str = DEVE
 def configured_levels(
     objects: DataFrame, owner_level: str, developer_level: str, object_id: str = "object_id"
 ) -> DataFrame:
-    """Configured levels of owner and development group on jobs or pipelines, in every environment."""
+    """Configured levels of owner and development group on jobs or pipelines, in every environment.
+
+    An object without owner or without group has no row for it.
+    """
     pairs = F.array(
         record(
             principal_type=F.lit("user"),
@@ -178,7 +181,7 @@ def configured_levels(
     return (
         objects.select(object_id, F.explode(pairs).alias("p"))
         .select(object_id, "p.principal_type", "p.principal", "p.permission_level")
-        .where(F.col("permission_level") != NO_PERMISSIONS)
+        .where((F.col("permission_level") != NO_PERMISSIONS) & ~is_empty("principal"))
     )
 
 

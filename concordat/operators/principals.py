@@ -95,23 +95,26 @@ def _extra(order: Sequence[str]) -> list[str]:
 
 
 def workspace_assignments(
-    principals: DataFrame, users: DataFrame, groups: DataFrame, salts: int = 1
+    principals: DataFrame,
+    users: DataFrame,
+    groups: DataFrame,
+    order: Sequence[str] = ("id",),
+    salts: int = 1,
 ) -> DataFrame:
     """Account id and workspace permission of principals given as (``kind``, ``name``).
 
-    Names match exactly; users become ADMIN and groups USER.
+    Names match exactly; users become ADMIN and groups USER.  Of several of a name the first in
+    ``order``, columns of both directories, counts; if that one has no id, none is found.
     """
     entries = users.select(
-        F.lit("user").alias("kind"), F.col("user_name").alias("name"), F.col("id").alias("__id")
+        F.lit("user").alias("kind"), F.col("user_name").alias("name"), F.col("id"), *_extra(order)
     ).unionByName(
         groups.select(
-            F.lit("group").alias("kind"),
-            F.col("display_name").alias("name"),
-            F.col("id").alias("__id"),
+            F.lit("group").alias("kind"), F.col("display_name").alias("name"), F.col("id"), *_extra(order)
         )
     )
     directory = one_row_per_key(
-        entries, {"kind": F.col("kind"), "name": F.col("name")}, ["__id"], ["__id"]
+        entries.withColumn("__id", F.col("id")), {"kind": F.col("kind"), "name": F.col("name")}, ["__id"], order
     )
     joined = keyed_join(principals, directory, ["kind", "name"], "left", salts)
     found = ~is_empty(F.col("__id").cast("string"))

@@ -9,15 +9,16 @@ from concordat.functions.names import is_empty, record
 from concordat.functions.principals import group_reference
 from concordat.operators.access import DEVELOPMENT, READ, plan_rows, usage_rows
 from concordat.operators.joins import keyed_join
-from concordat.operators.principals import map_to_names
+from concordat.operators.mappers import Mapper, names_in
 
 
 def mapped_requests(
-    requests: DataFrame, securables: DataFrame, groups: DataFrame, salts: int = 1
+    requests: DataFrame, securables: DataFrame, groups: DataFrame | None, salts: int = 1, mapper: Mapper | None = None
 ) -> DataFrame:
     """Every reference a view needs (``role`` access, owner or dev_group) with its mapping.
 
-    A user is mapped by an expression, so only references to groups meet the directory.
+    ``mapper`` maps them; the default one takes names from ``groups``.  It maps a user by an
+    expression, so only references to groups meet the directory.
     """
     roles = F.array(
         record(role=F.lit("owner"), ref=F.col("owner")),
@@ -35,7 +36,7 @@ def mapped_requests(
     uses = uses.withColumn("ref", F.coalesce("ref", F.lit(""))).where(
         F.col("securable").isNotNull()
     )
-    return map_to_names(uses, groups, salts)
+    return (mapper or names_in(groups, salts))(uses)
 
 
 # What is known of a view and a principal, as bits of one number.
@@ -64,21 +65,23 @@ def access_update_plan(
     requests: DataFrame,
     securables: DataFrame,
     current: DataFrame,
-    groups: DataFrame,
+    groups: DataFrame | None = None,
     development: str = DEVELOPMENT,
     salts: int = 1,
+    mapper: Mapper | None = None,
 ) -> DataFrame:
     """Plan rows (``object_type``, ``object_name``, ``principal``, ``privilege``, ``action``).
 
     ``requests`` has ``securable`` and ``ref``; ``securables`` has one row per view
     with owner and development group as references.  A view with any reference
     that cannot be mapped, or any current grant without principal, is left as it
-    is, and so is a view that ``securables`` does not list.
+    is, and so is a view that ``securables`` does not list.  References are mapped to names by
+    ``groups``, or by a ``mapper`` (see ``operators.mappers``).
 
     References and grants meet in one aggregate by view and principal; what blocks
     a view is an aggregate of that, and comes back to the pairs in one join.
     """
-    pairs = _claims(mapped_requests(requests, securables, groups, salts), current)
+    pairs = _claims(mapped_requests(requests, securables, groups, salts, mapper), current)
     blocked = pairs.groupBy("securable").agg(F.max(_has(_BROKEN)).alias("blocked"))
     open_views = keyed_join(
         blocked, securables.select("securable", "environment"), ["securable"], "inner", unique_facts=True

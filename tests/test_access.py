@@ -58,7 +58,7 @@ def test_configured_grants_only_in_development(spark):
 
 
 def test_configured_levels(spark):
-    jobs = spark.createDataFrame([("j", "o", "g")], "object_id string, owner string, dev_group string")
+    jobs = spark.createDataFrame([("j", "o", "g"), ("k", None, "")], "object_id string, owner string, dev_group string")
     assert rows(a.configured_levels(jobs, "can_manage", "no_permissions")) == [("j", "user", "o", "CAN_MANAGE")]
     assert a.configured_levels(jobs, "NO_PERMISSIONS", "no_permissions").count() == 0
 
