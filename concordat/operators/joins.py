@@ -9,7 +9,9 @@ execution splits such a partition, but only where both sides come straight from
 shuffle made for this join.  A directory that was just aggregated by the join key
 is not: it would be used as it lies, and the hot partition would stay whole.  The
 join therefore also compares a hash of the key.  That costs one more shuffle of
-the directory, one row per key, and lets every hot fact partition be split.
+the directory, one row per key, and lets every hot fact partition be split.  The hash
+comes first: a sort goes by a number of 64 bits then, where names that begin alike would
+be compared in full.
 """
 
 from __future__ import annotations
@@ -64,7 +66,7 @@ def keyed_join(
     has_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
     return (
         facts.withColumn(_HASH, F.when(has_null, F.xxhash64(*[F.col(f"`{c}`") for c in others])).otherwise(key_hash))
-        .join(directory.withColumn(_HASH, key_hash), [*on, _HASH], how)
+        .join(directory.withColumn(_HASH, key_hash), [_HASH, *on], how)
         .drop(_HASH)
     )
 

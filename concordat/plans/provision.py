@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from concordat.functions.names import WORKSPACE_URL, record, workspace_reference
 from concordat.operators.access import DEVELOPMENT, READ, configured_privilege, usage_rows
-from concordat.operators.existence import table_exists
 from concordat.operators.joins import keyed_join
 from concordat.operators.principals import map_to_names
 from concordat.sources.product_tables import contract_columns
@@ -39,28 +38,40 @@ def find_workspaces(
     )
 
 
-def contract_findings(contract: DataFrame, inventory: DataFrame, salts: int = 1) -> DataFrame:
-    """Per view: the contract columns its source lacks, and whether any name comes twice.
+def _named(name: Column) -> Column:
+    """A column of a table as a key beside the table itself, which is ``_TABLE``."""
+    return F.concat(F.lit("c"), name)
 
-    One pass over the contract; names are compared as data, with case.
+
+_TABLE = "t"
+
+
+def source_findings(publications: DataFrame, contract: DataFrame, inventory: DataFrame, salts: int = 1) -> DataFrame:
+    """Per view whose source lacks anything: ``missing_columns`` of its contract, and ``table_missing``.
+
+    Publications ask for their table and contract columns for theirs, by one key; what the
+    inventory has of these keys drops out in a single anti join, so the inventory is shuffled
+    once, never made distinct, and only what is missing goes on.  Names compare as data, with
+    case; a contract column without name is missing.
     """
-    present = (
-        inventory.select(
-            F.col("table_name").alias("source_table"), F.col("column_name").alias("name")
-        )
-        .distinct()
-        .withColumn("__present", F.lit(True))
-    )
-    named = keyed_join(contract, present, ["source_table", "name"], "left", salts)
-    per_name = named.groupBy("target_view", "name").agg(
-        F.count(F.lit(1)).alias("times"),
-        F.count_if(F.col("__present").isNull()).alias("missing"),
+    asked = contract.select("target_view", "source_table", _named(F.col("name")).alias("__name")).unionByName(
+        publications.select("target_view", "source_table", F.lit(_TABLE).alias("__name"))
     )
-    return per_name.groupBy("target_view").agg(
-        F.sum("missing").alias("missing_columns"), F.max(F.col("times") > 1).alias("repeated")
+    has = F.array(_named(F.col("column_name")), F.lit(_TABLE))
+    present = inventory.select(F.col("table_name").alias("source_table"), F.explode(has).alias("__name"))
+    missing = keyed_join(asked, present, ["source_table", "__name"], "left_anti", salts)
+    is_table = F.coalesce(F.col("__name") == _TABLE, F.lit(False))
+    return missing.groupBy("target_view").agg(
+        F.count_if(~is_table).alias("missing_columns"), F.bool_or(is_table).alias("table_missing")
     )
 
 
+def repeated_names(contract: DataFrame) -> DataFrame:
+    """The views whose contract has a name twice."""
+    twice = contract.groupBy("target_view", "name").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    return twice.select("target_view").distinct().withColumn("repeated", F.lit(True))
+
+
 def publish_verdicts(
     publications: DataFrame,
     contract: DataFrame,
@@ -78,11 +89,13 @@ def publish_verdicts(
     rejected because no view can have them; ``reject_duplicates=False`` leaves
     that to the view's creation.
     """
-    tables = inventory.select(F.col("table_name").alias("source_table"))
-    checked = table_exists(publications, tables, "source_table", salts)
-    findings = contract_findings(contract, inventory, salts)
-    checked = keyed_join(checked, findings, ["target_view"], "left", unique_facts=True)
-    repeated = F.coalesce("repeated", F.lit(False)) & F.lit(reject_duplicates)
+    findings = source_findings(publications, contract, inventory, salts)
+    checked = keyed_join(publications, findings, ["target_view"], "left", unique_facts=True)
+    repeated = F.lit(False)
+    if reject_duplicates:
+        checked = keyed_join(checked, repeated_names(contract), ["target_view"], "left", unique_facts=True)
+        repeated = F.coalesce("repeated", F.lit(False))
+    table_missing = F.coalesce("table_missing", F.lit(False))
     missing_count = F.coalesce("missing_columns", F.lit(0))
     no_metastore = ~F.coalesce("metastore_attached", F.lit(False))
     in_development = F.lower("environment") == development.lower()
@@ -90,7 +103,7 @@ def publish_verdicts(
         F.when(~F.col("workspace_known"), "WORKSPACE_UNKNOWN")
         .when(no_metastore & F.col("is_managed"), "METASTORE_NOT_ATTACHED_YET")
         .when(no_metastore, "METASTORE_MISSING")
-        .when(~F.col("table_exists"),
+        .when(table_missing,
               F.when(in_development, "TABLE_NOT_CREATED_YET").otherwise("TABLE_NOT_DEPLOYED"))
         .when(missing_count > 0, "COLUMNS_MISSING")
         .when(repeated, "COLUMNS_REPEATED")
