@@ -9,18 +9,19 @@ only where a repeat is possible.
 1. *Anchors.*  In each window the leftmost ``gram`` with the smallest hash is its anchor.
    Equal windows have equal anchors at equal offsets, and neighbouring windows mostly share
    one.  An anchor with the text of all windows it stands for is an occurrence.
-2. *Occurrences by anchor.*  Occurrences with the same text repeat as a whole; each task
-   settles those it sees itself and passes on one per text.  An anchor with one text is no
-   repeat.  What is left, anchors with different texts around them, is open.
-3. *Deep-shallow sorting* of the suffixes at open anchors, and of the reversed texts before
+2. *Open anchors.*  An anchor that occurs once repeats nothing.  Tasks count what they see
+   themselves and settle the rest by the anchor's hash; occurrences of anchors that occur more
+   often are open.
+3. *Deep-shallow sorting* of the suffixes at all open anchors, and of the reversed texts before
    them: multikey quicksort over characters of eight bytes to a shallow depth, then a blind
    trie for every group that still has a common prefix.  From the sorted order follow, for
    each distance of a window's start from the anchor, the classes of equal windows; all but
-   the earliest of a class are repeats.
+   the earliest of a class are repeats.  Nothing is removed for equal hashes: texts that are
+   equal byte for byte share one entry of a task, and of the order.
 
 An anchor may occur in a large part of all documents with as many texts around it.  Anchors
-with over ``hot`` open occurrences are taken apart into single windows and dealt by the
-window's hash, so equal windows still meet and nothing else does.  Occurrences travel as
+with over ``hot`` texts, counted by task, are taken apart into single windows and dealt by the
+window's hash, so equal windows still meet, are sorted like other texts, and nothing else does.  Occurrences travel as
 packed columns, one row per task and bucket.
 """
 
@@ -129,16 +130,14 @@ def _occ(window: int) -> list:
 _SPANS = [np.int64, np.int64, np.int64, np.int64]
 
 
-def _settled(c: list[np.ndarray]):
-    """Occurrences sorted by key, text, place: without copies; which repeat an earlier one; texts per key."""
+def _without_copies(c: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Occurrences by key, text and place, each place once; and which is the first of its text."""
     order = np.lexsort((c[7], c[4], c[3], c[2], c[1], c[0]))
     c = [x[order] for x in c]
-    same_text = np.zeros(len(order), bool)
-    same_text[1:] = (c[0][1:] == c[0][:-1]) & (c[1][1:] == c[1][:-1])
-    copy = np.zeros(len(order), bool)
-    copy[1:] = same_text[1:] & (c[2][1:] == c[2][:-1]) & (c[3][1:] == c[3][:-1]) & (c[4][1:] == c[4][:-1])
-    c, repeat = [x[~copy] for x in c], same_text[~copy]
-    return c, repeat
+    same = lambda *columns: np.logical_and.reduce([c[i][1:] == c[i][:-1] for i in columns])
+    keep, lead = np.ones(len(order), bool), np.ones(len(order), bool)
+    keep[1:], lead[1:] = ~same(0, 1, 2, 3, 4), ~same(0, 1)
+    return [x[keep] for x in c], lead[keep]
 
 
 def _per_key(key: np.ndarray, counted: np.ndarray) -> np.ndarray:
@@ -148,11 +147,6 @@ def _per_key(key: np.ndarray, counted: np.ndarray) -> np.ndarray:
     return sums[np.cumsum(new) - 1] if len(key) else sums
 
 
-def _spans_of(c: list[np.ndarray], rows: np.ndarray, window: int) -> list[np.ndarray]:
-    start = c[4][rows]
-    return [c[2][rows], c[3][rows], start, start + c[5][rows].astype(np.int64) - 1 + window]
-
-
 def _by_bucket(columns: list[np.ndarray], bucket: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     order = np.lexsort((columns[4] if len(columns) > 4 else columns[2], columns[2], bucket))
     columns, bucket = [x[order] for x in columns], bucket[order]
@@ -169,8 +163,8 @@ _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("packed", pa
 _PACKED_SQL = "bucket int, kind int, packed binary"
 
 
-def _occurrences(batches, window, gram, buckets, texts_per_key=64, chunk=1 << 19, held=1 << 18):
-    """A task's documents as packed occurrences, whole repeats and open occurrences."""
+def _occurrences(batches, window, gram, buckets, chunk=1 << 19, held=1 << 18):
+    """A task's documents as packed occurrences: open ones where an anchor comes again, else single ones."""
     holding("anchors", hashing.release)
     kept: list[list[np.ndarray]] = []
 
@@ -179,19 +173,16 @@ def _occurrences(batches, window, gram, buckets, texts_per_key=64, chunk=1 << 19
             return
         c = [np.concatenate([k[i] for k in kept]) for i in range(len(_occ(window)))]
         kept.clear()
-        c, repeat = _settled(c)
-        many = _per_key(c[0], ~repeat) > texts_per_key
+        c, lead = _without_copies(c)
+        again = _per_key(c[0], np.ones(len(c[0]), bool)) > 1
         rows: list[tuple[int, int, bytes]] = []
-        some = int(c[0][0] % _U(buckets)) if len(c[0]) else 0
-        if repeat.any():
-            rows.append((some, _SPAN, _pack(_spans_of(c, np.flatnonzero(repeat), window))))
-        open_now = many & ~repeat
-        if open_now.any():
-            rows.append((some, _OPEN, _pack([x[open_now] for x in c])))
-        marks = open_now & np.concatenate([[True], c[0][1:] != c[0][:-1]])
-        sent = (~many & ~repeat) | marks
+        if again.any():
+            c[7] = lead.astype(np.uint8)
+            rows.append((int(c[0][0] % _U(buckets)), _OPEN, _pack([x[again] for x in c])))
+        # of an anchor that is open already one occurrence tells the others so
+        marks = again & np.concatenate([[True], c[0][1:] != c[0][:-1]])
         c[7] = marks.astype(np.uint8)
-        c = [x[sent] for x in c]
+        c = [x[marks | ~again] for x in c]
         rows += [(b, _OCCURRENCE, _pack(x)) for b, x in _by_bucket(c, _bucket(c[0], buckets))]
         for at in range(0, len(rows), 4096):
             part = rows[at : at + 4096]
@@ -228,34 +219,33 @@ def _occurrences(batches, window, gram, buckets, texts_per_key=64, chunk=1 << 19
 
 _FOUND = pa.schema([
     ("kind", pa.int32()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()),
-    ("key", pa.int64()), ("windows", pa.int32()), ("off", pa.int32()),
+    ("key", pa.int64()), ("windows", pa.int32()), ("off", pa.int32()), ("lead", pa.int32()),
 ])
-_FOUND_SQL = "kind int, doc long, row long, start long, stop long, key long, windows int, off int"
+_FOUND_SQL = "kind int, doc long, row long, start long, stop long, key long, windows int, off int, lead int"
 
 
 def _found_spans(spans: list[np.ndarray]) -> pa.RecordBatch:
     n = len(spans[0])
     zero = np.zeros(n, np.int64)
-    return batch(_FOUND, np.full(n, _SPAN), *spans, zero, zero, zero)
+    return batch(_FOUND, np.full(n, _SPAN), *spans, zero, zero, zero, zero)
 
 
 def _found_open(c: list[np.ndarray], window: int) -> pa.RecordBatch:
     n = len(c[0])
-    return batch(
-        _FOUND, np.full(n, _OPEN), *_spans_of(c, np.arange(n), window), c[0].view(np.int64), c[5], c[6]
-    )
+    spans = [c[2], c[3], c[4], c[4] + c[5].astype(np.int64) - 1 + window]
+    return batch(_FOUND, np.full(n, _OPEN), *spans, c[0].view(np.int64), c[5], c[6], c[7])
 
 
 def _settle_bucket(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
-    """Whole repeats and open occurrences of the anchors of one bucket."""
+    """The open occurrences of the anchors of one bucket, and those that tasks found open."""
     holding("buckets", give_back)
     kinds, packed = table.column("kind").to_pylist(), table.column("packed").to_pylist()
     of = lambda kind: [p for k, p in zip(kinds, packed) if k == kind]
-    yield _found_spans(_gathered(of(_SPAN), _SPANS))
-    yield _found_open(_gathered(of(_OPEN), _occ(window)), window)
-    c, repeat = _settled(_gathered(of(_OCCURRENCE), _occ(window)))
-    yield _found_spans(_spans_of(c, np.flatnonzero(repeat), window))
-    is_open = ((_per_key(c[0], ~repeat) > 1) | (_per_key(c[0], c[7] > 0) > 0)) & ~repeat & (c[7] == 0)
+    for p in of(_OPEN):
+        yield _found_open(_unpack(p, _occ(window)), window)
+    c, lead = _without_copies(_gathered(of(_OCCURRENCE), _occ(window)))
+    is_open = (_per_key(c[0], np.ones(len(lead), bool)) > 1) & (c[7] == 0)
+    c[7] = lead.astype(np.uint8)
     yield _found_open([x[is_open] for x in c], window)
 
 
@@ -318,22 +308,34 @@ def deep_shallow_order(raw: np.ndarray, start: np.ndarray, length: np.ndarray, g
     at = np.minimum(start[:, None] + np.arange(wide), max(len(raw) - 1, 0))
     head = np.where(np.arange(wide) < length[:, None], raw[at] if len(raw) else np.uint8(0), np.uint8(0))
     chars = np.ascontiguousarray(head).view(">u8").astype(_U)
-    chars = np.concatenate([group.astype(_U)[:, None], chars], axis=1)
-    data, out = raw.tobytes(), []
-    stack = [(np.arange(len(start)), 0)]
-    while stack:
-        rows, depth = stack.pop()
-        if len(rows) <= 1:
-            out.append(rows)
-        elif depth == chars.shape[1]:
-            texts = [data[a : a + n] for a, n in zip(start[rows].tolist(), length[rows].tolist())]
-            out.append(rows[_blind_trie(texts)])
-        else:
-            c = chars[rows, depth]
-            pivot = c[len(c) // 2]
-            less, more = c < pivot, c > pivot
-            stack += [(rows[more], depth), (rows[~(less | more)], depth + 1), (rows[less], depth)]
-    return np.concatenate(out) if out else np.empty(0, np.int64)
+    order = np.argsort(group, kind="stable")
+    # all parts are split in step: a part is a run of ``order``, at some depth of its characters
+    first = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0])) if len(order) else np.empty(0, np.int64)
+    depth, deep = np.zeros(len(first), np.int64), []
+    size = np.diff(np.append(first, len(order)))
+    while True:
+        deep.append(np.stack([first, size])[:, (depth == words) & (size > 1)])
+        going = (depth < words) & (size > 1)
+        first, size, depth = first[going], size[going], depth[going]
+        if not len(first):
+            break
+        part = np.repeat(np.arange(len(first)), size)
+        place = np.arange(len(part)) - np.repeat(np.cumsum(size) - size, size) + first[part]
+        rows = order[place]
+        c = chars[rows, depth[part]]
+        pivot = chars[order[first + size // 2], depth][part]
+        side = part * 3 + (c >= pivot) + (c > pivot)  # less, equal, greater
+        by = np.argsort(side, kind="stable")
+        order[place] = rows[by]
+        side = side[by]
+        new = np.flatnonzero(np.concatenate([[True], side[1:] != side[:-1]]))
+        first, size, depth = place[new], np.diff(np.append(new, len(side))), depth[side[new] // 3] + (side[new] % 3 == 1)
+    data = raw.tobytes()
+    for a, n in np.concatenate(deep, axis=1).T.tolist():
+        rows = order[a : a + n]
+        texts = [data[x : x + y] for x, y in zip(start[rows].tolist(), length[rows].tolist())]
+        order[a : a + n] = rows[_blind_trie(texts)]
+    return order
 
 
 def _common(raw, start, length, group, order, most) -> np.ndarray:
@@ -402,15 +404,29 @@ def repeated_windows(member: list[np.ndarray], raw: np.ndarray, window: int) ->
 
 
 def _members(batches, window, buckets, held=1 << 17):
-    """Texts with their open occurrences as packed members; single windows of hot anchors."""
-    cold: list[tuple] = []
-    hot: dict[int, tuple] = {}
+    """Texts with their open occurrences as packed members; single windows of hot anchors.
+
+    Members that agree in every byte share the earliest one's entry; the others repeat it.
+    """
+    entries: dict[tuple, tuple] = {}
     spans: list[tuple] = []
     size = 0
 
+    def add(name: tuple, mine: tuple) -> None:
+        other = entries.setdefault(name, mine)
+        if other is mine:
+            return
+        place = lambda m: (m[1], m[2], m[3] - m[4])
+        first, later = sorted((other, mine), key=place)
+        entries[name] = first
+        if place(first) != place(later):
+            # the windows of a member, from its first to its last
+            at = later[3] - later[4]
+            spans.append((later[1], later[2], at, at + later[5] - 1 + window))
+
     def flush():
         rows = []
-        members = cold + list(hot.values())
+        members = list(entries.values())
         if members:
             c = [np.array(x, d) for x, d in zip(list(zip(*members))[:7], _member(window))]
             where = _bucket(c[0], buckets)
@@ -420,9 +436,8 @@ def _members(batches, window, buckets, held=1 << 17):
                 head = _pack([x[mine] for x in c])
                 rows.append((int(b), _OPEN, len(head).to_bytes(4, "little") + head + text))
         if spans:
-            rows.append((0, _SPAN, _pack([np.array(x, np.int64) for x in zip(*spans)])))
-            rows[-1] = (rows[0][0], *rows[-1][1:])
-        cold.clear(), hot.clear(), spans.clear()
+            rows.append((spans[0][1] % buckets, _SPAN, _pack([np.array(x, np.int64) for x in zip(*spans)])))
+        entries.clear(), spans.clear()
         if rows:
             yield batch(_PACKED, *(list(x) for x in zip(*rows)))
 
@@ -433,21 +448,14 @@ def _members(batches, window, buckets, held=1 << 17):
                 start, off, windows = f["start"], f["off"], f["windows"]
                 if not f["hot"]:
                     part = data[start : f["stop"]]
-                    cold.append((f["key"] & (1 << 64) - 1, doc, row, start + off, off, windows, len(part), part))
+                    mine = (f["key"] & (1 << 64) - 1, doc, row, start + off, off, windows, len(part), part)
+                    add((part, off, windows), mine)
                     size += 1
                     continue
                 for s in range(start, start + windows):
                     part = data[s : s + window]
                     key = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little")
-                    mine = (key, doc, row, start + off, start + off - s, 1, len(part), part)
-                    other = hot.setdefault(key, mine)
-                    if other is not mine:
-                        place = lambda m: (m[1], m[2], m[3] - m[4])
-                        first, later = sorted((other, mine), key=place)
-                        hot[key] = first
-                        if place(first) != place(later):
-                            at = later[3] - later[4]
-                            spans.append((later[1], later[2], at, at + window))
+                    add((part, start + off - s), (key, doc, row, start + off, start + off - s, 1, len(part), part))
                     size += 1
             if size > held:
                 size = 0
@@ -482,11 +490,11 @@ def repeated_spans(documents: DataFrame, folder: str, window: int, gram: int, ho
         folder, "found",
     )
     still_open = found.where(F.col("kind") == _OPEN)
-    crowded = still_open.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.lit(True).alias("hot"))
+    crowded = still_open.groupBy("key").agg(F.sum("lead").alias("n")).where(F.col("n") > hot).select("key", F.lit(True).alias("hot"))
     per_text = (
         keyed_join(still_open, crowded, ["key"])
         .groupBy("doc", "row")
-        .agg(F.collect_list(F.struct("key", "start", "stop", "windows", "off", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("found"))
+        .agg(F.collect_set(F.struct("key", "start", "stop", "windows", "off", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("found"))
     )
     settled = written(
         documents.join(per_text.hint("shuffle_hash"), ["doc", "row"]).select("doc", "row", "text", "found")
@@ -494,8 +502,7 @@ def repeated_spans(documents: DataFrame, folder: str, window: int, gram: int, ho
         .groupBy("bucket").applyInArrow(lambda t: pa.Table.from_batches(list(_resolve_bucket(t, window))), _FOUND_SQL),
         folder, "settled",
     )
-    spans = found.where(F.col("kind") == _SPAN).unionByName(settled).select("doc", "row", "start", "stop")
-    return spans.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return settled.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:

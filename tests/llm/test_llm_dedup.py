@@ -4,6 +4,7 @@ import random
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -129,6 +130,47 @@ def test_small_pieces_leave_the_same_bytes(spark, corpus, monkeypatch):
     assert {r["doc_id"]: bytes(r["kept"]) for r in got} == brute(rows)
 
 
+def in_process(rows, tasks, buckets=3, window=100, gram=50):
+    """The operator's steps on texts dealt to tasks, without Spark: spans per document, and what each step found."""
+    batches = [pa.record_batch([[i for i, _ in part], [i * 7 for i, _ in part], [t or "" for _, t in part]], ["d", "r", "t"]) for part in tasks]
+    dealt, found = {}, []
+    for b in batches:
+        for out in suffix_dedup._occurrences([b], window, gram, buckets):
+            for bucket, kind, packed in zip(*(out.column(i).to_pylist() for i in range(3))):
+                dealt.setdefault(bucket, []).append((kind, packed))
+    for part in dealt.values():
+        table = pa.table({"kind": [k for k, _ in part], "packed": [p for _, p in part]})
+        for out in suffix_dedup._settle_bucket(table, window):
+            found += out.to_pylist()
+    assert {f["kind"] for f in found} <= {suffix_dedup._OPEN}
+    members = {}
+    for b in batches:
+        texts = {d: t for d, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist())}
+        of = [[{**f, "hot": f["key"] % 5 == 0} for f in found if f["doc"] == d] for d in texts]
+        joined = pa.record_batch([pa.array(list(texts)), pa.array([d * 7 for d in texts]), pa.array(list(texts.values())), pa.array(of)], ["d", "r", "t", "f"])
+        for out in suffix_dedup._members([joined], window, buckets):
+            for bucket, kind, packed in zip(*(out.column(i).to_pylist() for i in range(3))):
+                members.setdefault(bucket, []).append((kind, packed))
+    gone = {i: np.zeros(len((t or "").encode()), bool) for i, t in rows}
+    for part in members.values():
+        table = pa.table({"kind": [k for k, _ in part], "packed": [p for _, p in part]})
+        for out in suffix_dedup._resolve_bucket(table, window):
+            for f in out.to_pylist():
+                gone[f["doc"]][f["start"] : f["stop"]] = True
+    return {i: np.frombuffer((t or "").encode(), np.uint8)[~gone[i]].tobytes() for i, t in rows}
+
+
+@pytest.mark.parametrize("bits", [64, 6, 0])
+def test_every_repeat_comes_from_the_sorted_order(monkeypatch, bits):
+    """Hashes only say where to look: with few of them, or one, the same bytes go."""
+    mixed = suffix_dedup.hashing.mixed
+    if bits < 64:
+        monkeypatch.setattr(suffix_dedup.hashing, "mixed", lambda h: mixed(h) & np.uint64((1 << bits) - 1))
+    rows = repeated_rows(4)[:40]
+    for tasks in ([rows], [rows[0::3], rows[1::3], rows[2::3]]):
+        assert in_process(rows, tasks) == brute(rows)
+
+
 def test_repeated_rows_and_missing_ids(spark, corpus):
     text = random_text(random.Random(1), 40)
     got = suffix_dedup.without_repeats(corpus((None, text), (3, text), (3, text), (4, text + "!"))).collect()
