@@ -11,6 +11,7 @@ from checks.registry import query
 from concordat.functions.names import template_base_id
 from concordat.operators import components as c
 from concordat.operators.component_rules import component_problems
+from concordat.operators.workload_rules import with_workload_problems
 from concordat.session import shared_folder
 from concordat.sources.descriptors import parse_descriptors
 from concordat.sources.documents import follow_documents
@@ -426,3 +427,78 @@ def component_documents(spark, sf_dir):
         F.expr("try_variant_get(component, '$.id', 'string')").alias("id"),
         F.array_join(F.expr(component_problems("component")), ";").alias("problems"),
     )
+
+
+# Parts of workloads, each with the one problem it has; the first of each route is sound.
+_GIT = '"git": {"gitRepoUrl": "u", "gitReference": "main", "gitReferenceType": "branch", "gitPath": "/p"}'
+_JOB = (
+    '{"workspace": "w", "repoPath": "/r", ' + _GIT + ', "jobName": "j", "scheduling": {"cronExpression": "c", "javaTimezoneId": "UTC"}, '
+    '"cluster": {"clusterSparkVersion": "15", "nodeTypeId": "n", "numWorkers": 2, "availability": "SPOT_AZURE", "sparkConf": [{"name": "a", "value": "b"}]}}'
+)
+_FLOW = (
+    '{"workspace": "w", "repoPath": "/r", "git": {"gitRepoUrl": "u"}, "workflow": {"name": "f"}, "override": true, '
+    '"workflowTasksInfoList": [{"taskKey": "a"}, {"task_key": "b"}]}'
+)
+_PIPELINE = (
+    '{"workspace": "w", "repoPath": "/r", "git": {"gitRepoUrl": "u"}, "pipelineName": "p", "catalog": "c", "productEdition": "PRO", '
+    '"continuous": false, "photon": "yes", "channel": "Current", "notebooks": ["n"], "target": "t", "notifications": [{"mail": "m", "alert": []}], '
+    '"cluster": {"mode": "ENHANCED", "minWorkers": 1, "maxWorkers": "3", "workerType": "x", "driver_type": "y", "tags": {"k": "v"}}}'
+)
+
+
+def _broken(text, *changes):
+    """The part with each change made, and its problem."""
+    return [(text, "")] + [(text.replace(old, new, 1), problem) for old, new, problem in changes]
+
+
+_PARTS = {
+    "job": _broken(
+        _JOB, ('"repoPath": "/r", ', "", "missing repoPath"), ('"workspace": "w"', '"workspace": 5', "wrong type of workspace"),
+        (_GIT + ", ", "", "missing git"), ('"branch"', '"commit"', "invalid git.gitReferenceType"),
+        ('"gitPath"', '"gitProvider": "github", "gitPath"', "invalid git.gitProvider"), ('"numWorkers": 2', '"numWorkers": 0', "invalid cluster.numWorkers"),
+        ('"numWorkers": 2', '"numWorkers": "2.5"', "wrong type of cluster.numWorkers"), (', "value": "b"', "", "missing cluster.sparkConf[0].value"),
+        ('"SPOT_AZURE"', '"spot_azure"', "invalid cluster.availability"), (', "javaTimezoneId": "UTC"', "", "missing scheduling.javaTimezoneId"),
+        ('"jobName": "j"', '"jobName": null', "missing jobName"), ('"numWorkers": 2', '"numWorkers": " 7 ", "spotBidMaxPrice": "0.5"', ""),
+        ('"numWorkers": 2', '"numWorkers": 2, "spotInstances": "maybe"', "wrong type of cluster.spotInstances"),
+    ),
+    "workflow": _broken(
+        _FLOW, ('"workflow": {"name": "f"}, ', "", "missing workflow"), ('"workflow": {"name": "f"}', '"workflow": []', "wrong type of workflow"),
+        ('"override": true', '"override": null', "missing override"), ('"override": true', '"override": 0', ""),
+        ('"taskKey": "a"', '"taskKey": 3', "wrong type of workflowTasksInfoList[0].taskKey"),
+        ('"task_key": "b"', '"task_key": 3', "wrong type of workflowTasksInfoList[1].taskKey"),
+        ('"workflowTasksInfoList": [{"taskKey": "a"}', '"workflow_tasks_info": ["x"', "wrong type of workflowTasksInfoList[0]"),
+        ('"gitRepoUrl": "u"', "", "missing git.gitRepoUrl"), (_FLOW, "[]", "wrong type of specific"), (_FLOW, "{unclosed", "wrong type of specific"),
+    ),
+    "dlt": _broken(
+        _PIPELINE, ('"pipelineName": "p"', '"pipelineName": ""', "invalid pipelineName"), ('"pipelineName"', '"pipeline_name"', ""),
+        ('"notebooks": ["n"]', '"notebooks": []', "invalid notebooks"), ('["n"]', '["n", 1]', "wrong type of notebooks[1]"),
+        ('"PRO"', '"gold"', "invalid productEdition"), ('"continuous": false', '"continuous": "maybe"', "wrong type of continuous"),
+        ('"workerType": "x"', '"workerType": ""', "invalid cluster.workerType"), ('"minWorkers": 1, ', "", "cluster: autoscale needs min and max workers"),
+        ('"minWorkers": 1', '"min_workers": 1', ""), ('"minWorkers": 1', '"minWorkers": 1, "num_workers": 2', "cluster: autoscale excludes a fixed number"),
+        ('"mode": "ENHANCED", ', "", "cluster: fixed size needs a number of workers"),
+        ('"mode": "ENHANCED"', '"mode": null, "numWorkers": 2', "cluster: fixed size excludes min and max workers"),
+        ('"mode": "ENHANCED"', '"mode": "enhanced"', "invalid cluster.mode"), ('"alert": []', '"alert": "x"', "wrong type of notifications[0].alert"),
+        ('{"k": "v"}', '{"k": 1}', "invalid cluster.tags"), ('"cluster": {', '"cluster": [{}], "other": {', "wrong type of cluster"),
+    ),
+}
+
+
+def _chosen(at):
+    """SQL of the part or the problem of an order: its route by its customer, its variant by its key."""
+    cases = []
+    for number, variants in enumerate(_PARTS.values()):
+        inner = " ".join(f"WHEN {i} THEN '{v[at]}'" for i, v in enumerate(variants))
+        cases.append(f"WHEN {number} THEN CASE o_orderkey % {len(variants)} {inner} END")
+    return f"CASE o_custkey % 4 {' '.join(cases)} ELSE '{('{}', 'no rules for this template')[at]}' END"
+
+
+@query(
+    "v3_workload_rules",
+    f"""SELECT o_orderkey, CASE o_custkey % 4 WHEN 0 THEN 'job' WHEN 1 THEN 'workflow' WHEN 2 THEN 'dlt' ELSE 'outputport' END AS route,
+               {_chosen(1)} AS problems FROM orders""",
+)
+def workload_rules(spark, sf_dir):
+    """The own part of a workload per order, by the rules of its template; every rule is broken somewhere."""
+    template = "CASE o_custkey % 4 WHEN 0 THEN 'urn:template:batch-job:1' WHEN 1 THEN 'urn:template:task-graph:2' WHEN 2 THEN 'urn:template:live-tables:1' ELSE 'urn:template:view:1' END"
+    parts = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(template).alias("template_id"), F.expr(_chosen(0)).alias("specific"))
+    return with_workload_problems(parts, ROUTES).select("o_orderkey", "route", F.array_join("problems", ";").alias("problems"))

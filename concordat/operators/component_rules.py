@@ -28,7 +28,10 @@ _INT_MAX = 2147483647
 
 @dataclass(frozen=True)
 class Rule:
-    """What a part must be: its form, which values are allowed, and what lies in it."""
+    """What a part must be: its form, which values are allowed, and what lies in it.
+
+    ``other`` is a second name it may be written under.
+    """
 
     form: Callable[[str], str] | None
     allowed: Callable[[str], str] | None = None
@@ -36,6 +39,7 @@ class Rule:
     nullable: bool = True
     fields: Mapping[str, Rule] = field(default_factory=dict)
     items: Rule | None = None
+    other: str | None = None
 
 
 # Forms and allowed values are SQL over the SQL text of a part: the rules make some thousand
@@ -225,6 +229,12 @@ def _field_problems(root: str, place: str, rule: Rule, prefix: str, depth: int)
     for name, of_field in rule.fields.items():
         at = f"concat({prefix}, '{name}')"
         value = f"try_variant_get({root}, '{place}.{name}', 'variant')"
+        if of_field.other is not None:
+            second = f"try_variant_get({root}, '{place}.{of_field.other}', 'variant')"
+            if of_field.items is not None:
+                listed = _item_problems(root, f"{place}.{of_field.other}", of_field.items, at, depth)
+                inner.append(f"CASE WHEN {value} IS NULL THEN {listed} ELSE {_NO_PROBLEMS} END")
+            value = f"coalesce({value}, {second})"
         own.append(_own_problem(value, of_field, at))
         if of_field.fields:
             inner.append(_field_problems(root, f"{place}.{name}", of_field, f"concat({at}, '.')", depth))
