@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from checks.components import _FLOW, _JOB, _PIPELINE, ROUTES
 from concordat.operators.workload_rules import with_workload_problems
 
-TEMPLATES = {"job": "urn:template:batch-job:1", "workflow": "urn:template:task-graph", "dlt": '"urn:template:live-tables:3"'}
+TEMPLATES = {"job": "urn:template:batch-job:1", "workflow": "urn:template:task-graph:1", "dlt": '"urn:template:live-tables:3"'}
 
 
 def problems(spark, *parts):
