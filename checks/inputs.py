@@ -298,6 +298,22 @@ INPUTS: dict[str, str] = {
                CASE event_type WHEN 'view' THEN props ELSE '' END AS result,
                CASE event_type WHEN 'click' THEN props END AS info
         FROM {events}""",
+    # ---- workflows to take back into their descriptors; a workflow is an order
+    "workflow_jobs": """
+        SELECT o_orderkey AS job_id, o_orderkey * 1000 AS created_time,
+               concat('flow_', CAST(o_orderkey - CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END AS STRING)) AS name,
+               CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE concat('app-', CAST(o_custkey AS STRING)) END AS run_as,
+               CASE WHEN o_orderkey % 5 <> 0 THEN concat('user "', o_orderpriority, '"') END AS creator_user_name,
+               CASE WHEN o_orderkey % 37 <> 0 THEN concat('[', CAST(o_custkey AS STRING), ']') END AS settings
+        FROM {orders}""",
+    "workflow_requests": """
+        SELECT o_orderkey AS request_id,
+               CASE WHEN o_orderkey % 23 = 0 THEN '' WHEN o_orderkey % 29 = 0 THEN 'flow_none'
+                    ELSE concat('flow_', CAST(o_orderkey AS STRING)) END AS name,
+               CASE WHEN o_orderkey % 7 <> 0 THEN
+                    concat('principal ', CASE WHEN o_orderkey % 31 = 0 THEN 'other' ELSE CAST(o_custkey AS STRING) END)
+               END AS expected_run_as
+        FROM {orders}""",
     # ---- patterns of names; chr(92) is a backslash, which the two dialects write differently
     "job_names": """
         SELECT c_custkey AS job_id, concat('Customer', CASE c_custkey % 3 WHEN 0 THEN '_' WHEN 1 THEN '%' ELSE '-' END,

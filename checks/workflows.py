@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.inputs import derived, table
 from checks.registry import query
 from concordat.operators import workflows as w
+from concordat.plans.reverse_provision import judge_workflow_requests, workflow_updates
 
 
 @query(
@@ -165,3 +166,55 @@ def rebuilt_jobs(spark, sf_dir):
     return rebuilt.select(
         "job_id", "job_name", F.to_json("tasks").alias("tasks"), F.array_join(listed, ",").alias("errors")
     )
+
+
+_CAPTURED = """captured AS (SELECT t.*, name, (t.ref_type = 'job' AND coalesce(name, '') = '') OR name IS NULL AS failed
+        FROM {tasks} t LEFT JOIN {source_directory} d ON t.ref_type = d.ref_type AND t.ref_id = d.id WHERE t.ref_type IS NOT NULL),
+      judged AS (SELECT r.*, j.job_id, j.run_as, CASE WHEN r.name = '' THEN 'EMPTY_NAME' WHEN n IS NULL THEN 'NOT_FOUND'
+             WHEN n > 1 THEN 'AMBIGUOUS' WHEN f.id IN (SELECT job_id FROM captured WHERE failed) THEN 'REFERENCE_NOT_CAPTURED'
+             WHEN expected_run_as IS NULL OR trim(run_as) = '' THEN NULL WHEN display_name IS NULL THEN 'ERROR_UNKNOWN_PRINCIPAL'
+             WHEN lower(display_name) <> expected_run_as THEN 'ERROR_RUN_AS_CHANGED' END AS error
+        FROM {workflow_requests} r
+        LEFT JOIN (SELECT name, count(*) AS n, max(job_id) AS id FROM {workflow_jobs} GROUP BY name) f ON r.name = f.name
+        LEFT JOIN {workflow_jobs} j ON j.job_id = CASE WHEN n = 1 AND r.name <> '' THEN f.id END
+        LEFT JOIN {service_principals} s ON lower(trim(run_as)) = application_id)"""
+
+
+def _judged_workflows(spark, sf_dir):
+    captured = w.capture_references(derived(spark, sf_dir, "tasks"), derived(spark, sf_dir, "source_directory"))
+    jobs = derived(spark, sf_dir, "workflow_jobs")
+    principals = derived(spark, sf_dir, "service_principals")
+    return judge_workflow_requests(derived(spark, sf_dir, "workflow_requests"), jobs, captured, principals), jobs, captured
+
+
+@query("workflow_update_verdicts", "AS_WITH " + _CAPTURED + " SELECT request_id, name, expected_run_as, job_id, error FROM judged")
+def workflow_verdicts(spark, sf_dir):
+    """Which workflows may be taken back into their descriptors."""
+    return _judged_workflows(spark, sf_dir)[0]
+
+
+@query(
+    "workflow_update_map",
+    "AS_WITH " + _CAPTURED + """,
+      usable AS (SELECT request_id, job_id FROM judged WHERE error IS NULL),
+      quoted AS (SELECT c.*, ref_type IN ('pipeline', 'job') AS is_task, '"' || ref_id || '"' AS i, '"' || name || '"' AS m FROM captured c),
+      task_rows AS (SELECT request_id, 'spec.mesh.specific.workflowTasksInfoList' AS path, pos, chr(123) || '"taskKey":"' || task_key
+               || '","referencedTaskType":"' || ref_type || '","referencedTaskId":' || CASE WHEN is_task THEN i ELSE 'null' END
+               || ',"referencedTaskName":' || CASE WHEN is_task THEN m ELSE 'null' END || ',"referencedClusterName":'
+               || CASE WHEN is_task THEN 'null' ELSE m END || ',"referencedClusterId":' || CASE WHEN is_task THEN 'null' ELSE i END
+               || chr(125) AS value_json FROM usable JOIN quoted USING (job_id)),
+      no_tasks AS (SELECT request_id, 'spec.mesh.specific.workflowTasksInfoList', NULL, '[]' FROM usable
+               WHERE job_id NOT IN (SELECT job_id FROM captured)),
+      details AS (SELECT request_id, unnest(['spec.mesh.specific.workflow.job_id', 'spec.mesh.specific.workflow.created_time',
+                 'spec.mesh.specific.workflow.creator_user_name', 'spec.mesh.specific.workflow.settings',
+                 'spec.mesh.specific.workflow.settings.name', 'form.parameters.modifiedByRef', 'form.parameters.updatedDate']) AS path,
+               NULL AS pos, unnest([CAST(job_id AS VARCHAR), CAST(created_time AS VARCHAR),
+                 coalesce('"' || replace(creator_user_name, '"', chr(92) || '"') || '"', 'null'), coalesce(settings, chr(123) || chr(125)),
+                 '"IGNORED"', '"template.1"', '"2024-05-06T07:08:09.010Z"']) AS value_json
+               FROM usable JOIN {workflow_jobs} USING (job_id))
+      SELECT * FROM task_rows UNION ALL SELECT * FROM no_tasks UNION ALL SELECT * FROM details""",
+)
+def workflow_map(spark, sf_dir):
+    judged, jobs, captured = _judged_workflows(spark, sf_dir)
+    moment = F.to_timestamp(F.lit("2024-05-06 07:08:09.010"))
+    return workflow_updates(judged, jobs, captured, "form.parameters", "template.1", moment)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from concordat.functions.names import col, is_empty, iso_millis_utc, record
 from concordat.operators.contract import (
     as_problem,
     derive_contract,
@@ -11,6 +15,8 @@ from concordat.operators.contract import (
     update_map,
 )
 from concordat.operators.joins import keyed_join
+from concordat.operators.lookup import unique_lookup
+from concordat.operators.principals import run_as_guard
 from concordat.operators.problems import gather_problems
 
 
@@ -36,3 +42,91 @@ def reverse_provision_plan(
     relevant = keyed_join(inventory, wanted, ["table_name"], "left_semi", salts)
     derived = derive_contract(mark_primary_key(relevant, constraints, salts))
     return update_map(derived, requests, form_prefix)
+
+
+# Where a workflow's own part and its captured references go in a descriptor.
+WORKFLOW_PATH = "spec.mesh.specific.workflow"
+TASK_INFOS_PATH = "spec.mesh.specific.workflowTasksInfoList"
+
+
+def judge_workflow_requests(
+    requests: DataFrame,
+    jobs: DataFrame,
+    captured: DataFrame,
+    service_principals: DataFrame,
+    order: Sequence[str] = ("seq",),
+    salts: int = 1,
+) -> DataFrame:
+    """``requests`` with the ``job_id`` each one means, and the first ``error`` in its way.
+
+    ``requests`` has one row per ``request_id`` with ``name`` and ``expected_run_as``; ``jobs``
+    one per ``job_id`` with ``name`` and ``run_as``; ``captured`` is what ``capture_references``
+    gives for their tasks.  A name must be given and name exactly one job, every reference of
+    its tasks must be captured, and the job must still run as expected.
+    """
+    columns = requests.columns
+    found = unique_lookup(requests.withColumn("__asked", F.col("name")), jobs, "name", "name", "job_id", salts=salts)
+    broken = captured.where("error IS NOT NULL").select("job_id").distinct().withColumn("__broken", F.lit(True))
+    runs = jobs.select("job_id", "run_as")
+    known = found.withColumn("job_id", F.when(F.col("verdict") == "OK", F.col("id"))).drop("id", "match_count")
+    known = keyed_join(keyed_join(known, broken, ["job_id"], "left", salts), runs, ["job_id"], "left", salts)
+    guarded = run_as_guard(known.withColumnRenamed("verdict", "__lookup"), service_principals, order, salts)
+    error = (
+        F.when(is_empty("name"), "EMPTY_NAME")
+        .when(F.col("__lookup") != "OK", F.col("__lookup"))
+        .when(F.coalesce("__broken", F.lit(False)), "REFERENCE_NOT_CAPTURED")
+        .when(F.col("verdict") != "OK", F.col("verdict"))
+    )
+    return guarded.select(*columns, "job_id", error.alias("error"))
+
+
+def workflow_updates(
+    judged: DataFrame,
+    jobs: DataFrame,
+    captured: DataFrame,
+    form_prefix: str,
+    modified_by: str,
+    updated_at: Column,
+    salts: int = 1,
+) -> DataFrame:
+    """Descriptor updates (``request_id``, ``path``, ``pos``, ``value_json``) of requests without error.
+
+    The captured references go under one path, a row per task: its value is the list of its rows
+    in the order of ``pos``, and a job without any has one row of null ``pos`` with the empty list.
+    The job's id, creation, creator and settings, which ``jobs`` has as JSON text, go under one path
+    each; the name in the settings is not the descriptor's to keep.  ``form_prefix`` is the root of
+    the form parameters in the caller's portal, where ``modified_by`` and the moment of the update go.
+    """
+    usable = judged.where("error IS NULL").select("request_id", "job_id")
+    info = F.struct(
+        F.col("task_key").alias("taskKey"), F.col("ref_type").alias("referencedTaskType"),
+        F.col("referenced_id").alias("referencedTaskId"), F.col("referenced_name").alias("referencedTaskName"),
+        F.col("cluster_name").alias("referencedClusterName"), F.col("cluster_id").alias("referencedClusterId"),
+    )
+    listed = captured.select("job_id", "pos", F.to_json(info, {"ignoreNullFields": "false"}).alias("value_json"))
+    # requests may share a job, so its tasks may come more than once
+    rows = keyed_join(listed, usable, ["job_id"], "inner", salts)
+    tasks = rows.select("request_id", F.lit(TASK_INFOS_PATH).alias("path"), "pos", "value_json")
+    none = keyed_join(usable, captured.select("job_id").distinct(), ["job_id"], "left_anti", salts).select(
+        "request_id", F.lit(TASK_INFOS_PATH).alias("path"), F.lit(None).cast("int").alias("pos"), F.lit("[]").alias("value_json")
+    )
+    values = {
+        f"{WORKFLOW_PATH}.job_id": _json("job_id"),
+        f"{WORKFLOW_PATH}.created_time": _json("created_time"),
+        f"{WORKFLOW_PATH}.creator_user_name": _json("creator_user_name"),
+        f"{WORKFLOW_PATH}.settings": F.coalesce("settings", F.lit("{}")),
+        f"{WORKFLOW_PATH}.settings.name": F.lit('"IGNORED"'),
+        f"{form_prefix}.modifiedByRef": _json(F.lit(modified_by)),
+        f"{form_prefix}.updatedDate": _json(iso_millis_utc(updated_at)),
+    }
+    each = F.array(*[record(path=F.lit(path), value_json=value) for path, value in values.items()])
+    details = keyed_join(usable, jobs, ["job_id"], "inner", salts).select("request_id", F.explode(each).alias("u"))
+    return tasks.unionByName(none).unionByName(
+        details.select("request_id", "u.path", F.lit(None).cast("int").alias("pos"), "u.value_json")
+    )
+
+
+def _json(value: str | Column) -> Column:
+    """A value as JSON text, null included."""
+    whole = F.to_json(F.struct(col(value).alias("v")), {"ignoreNullFields": "false"})
+    return F.regexp_extract(whole, r'(?s)^\{"v":(.*)\}\z', 1)

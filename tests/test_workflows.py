@@ -195,3 +195,42 @@ def test_rebuilt_jobs(spark):
     assert found[2]["tasks"] is None and found[3]["tasks"] == [] and found[3]["errors"] == []
     assert found[4]["tasks"] is None and [e["error"] for e in found[4]["errors"]] == ["TASK_OF_ANOTHER_TYPE", "JOB_ID_NOT_A_NUMBER"]
     assert [found[i]["name"] for i in (1, 2, 3, 4)] == ["a", "b", "c", "d"]
+
+
+def test_updates_of_workflows(spark):
+    """A job asked for twice, one without tasks, and every reason against an update."""
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from concordat.plans.reverse_provision import judge_workflow_requests, workflow_updates
+
+    jobs = spark.createDataFrame(
+        [(1, "a", "app", 5, None, '{"x": 1}'), (2, "b", None, None, "me", None), (3, "c", "app", 5, "me", "{}"), (4, "d", "app", 1, "", "{}"), (5, "d", "app", 1, "", "{}"), (6, "e", "lost", 1, "", "{}")],
+        "job_id bigint, name string, run_as string, created_time bigint, creator_user_name string, settings string",
+    )
+    captured = spark.createDataFrame(
+        [(1, 0, "t0", "pipeline", "p", "P", None, None, None), (1, 1, "t1", "notebook_compute", None, None, "c", None, None), (3, 0, "t", "job", "9", None, None, None, "JOB_WITHOUT_NAME")],
+        "job_id bigint, pos int, task_key string, ref_type string, referenced_id string, referenced_name string, cluster_id string, cluster_name string, error string",
+    )
+    principals = spark.createDataFrame([("app", "Runner", 1)], "application_id string, display_name string, seq int")
+    requests = spark.createDataFrame(
+        [(1, "a", "runner"), (2, "a", None), (3, "b", "runner"), (4, "c", None), (5, "d", None), (6, "", None), (7, None, None), (8, "zz", None), (9, "a", "other"), (10, "e", "runner")],
+        "request_id int, name string, expected_run_as string",
+    )
+    judged = judge_workflow_requests(requests, jobs, captured, principals)
+    assert {r["request_id"]: (r["job_id"], r["error"]) for r in judged.collect()} == {
+        1: (1, None), 2: (1, None), 3: (2, None), 4: (3, "REFERENCE_NOT_CAPTURED"), 5: (None, "AMBIGUOUS"), 6: (None, "EMPTY_NAME"),
+        7: (None, "EMPTY_NAME"), 8: (None, "NOT_FOUND"), 9: (1, "ERROR_RUN_AS_CHANGED"), 10: (6, "ERROR_UNKNOWN_PRINCIPAL"),
+    }
+    moment = F.lit(datetime.datetime(2024, 1, 2, 3, 4, 5, 6000))
+    found = workflow_updates(judged, jobs, captured, "form", "template", moment).collect()
+    assert len(found) == 2 * (7 + 2) + 7 + 1
+    values = {(r["request_id"], r["path"].rsplit(".", 1)[-1], r["pos"]): r["value_json"] for r in found}
+    assert values[1, "workflowTasksInfoList", 1] == (
+        '{"taskKey":"t1","referencedTaskType":"notebook_compute","referencedTaskId":null,"referencedTaskName":null,'
+        '"referencedClusterName":null,"referencedClusterId":"c"}'
+    )
+    assert values[3, "workflowTasksInfoList", None] == "[]" and values[3, "settings", None] == "{}"
+    assert values[3, "created_time", None] == values[1, "creator_user_name", None] == "null"
+    assert values[2, "updatedDate", None] == '"2024-01-02T03:04:05.006Z"' and values[2, "name", None] == '"IGNORED"'
