@@ -217,6 +217,20 @@ def _occurrences(batches, window, gram, buckets, chunk=1 << 19, held=1 << 18):
     yield from flush()
 
 
+def _joined(spans: list[np.ndarray]) -> list[np.ndarray]:
+    """Spans (doc, row, start, stop) without overlap: those of a text that touch become one."""
+    order = np.lexsort((spans[2], spans[1], spans[0]))
+    doc, row, start, stop = (x[order] for x in spans)
+    if not len(doc):
+        return spans
+    other = np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])])
+    # the furthest stop so far, text by text: texts are set apart by more than any length
+    apart = np.cumsum(other) * (int(stop.max()) + 1)
+    reach = np.maximum.accumulate(stop + apart) - apart
+    new = np.flatnonzero(other | np.concatenate([[True], start[1:] > reach[:-1]]))
+    return [doc[new], row[new], start[new], reach[np.append(new[1:], len(doc)) - 1]]
+
+
 _FOUND = pa.schema([
     ("kind", pa.int32()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()),
     ("key", pa.int64()), ("windows", pa.int32()), ("off", pa.int32()), ("lead", pa.int32()),
@@ -436,20 +450,24 @@ def _members(batches, window, buckets, held=1 << 17):
                 head = _pack([x[mine] for x in c])
                 rows.append((int(b), _OPEN, len(head).to_bytes(4, "little") + head + text))
         if spans:
-            rows.append((spans[0][1] % buckets, _SPAN, _pack([np.array(x, np.int64) for x in zip(*spans)])))
+            rows.append((spans[0][1] % buckets, _SPAN, _pack(_joined([np.array(x, np.int64) for x in zip(*spans)]))))
         entries.clear(), spans.clear()
         if rows:
             yield batch(_PACKED, *(list(x) for x in zip(*rows)))
 
     for b in pieces(batches):
-        for doc, row, text, found in zip(*(b.column(i).to_pylist() for i in range(4))):
+        found, ends = b.column(3).flatten(), np.cumsum(b.column(3).value_lengths().to_numpy()).tolist()
+        keys, starts, marks = (found.field(name).to_numpy() for name in ("key", "start", "mark"))
+        keys, begin = keys.view(_U).tolist(), 0
+        hots, offs, counts = (marks & 1).tolist(), (marks >> 1 & 0x7FFFFFFF).tolist(), (marks >> 32).tolist()
+        starts = starts.tolist()
+        for doc, row, text, end in zip(*(b.column(i).to_pylist() for i in range(3)), ends):
             data = text.encode("utf-8", "surrogatepass")
-            for f in found:
-                start, off, windows = f["start"], f["off"], f["windows"]
-                if not f["hot"]:
-                    part = data[start : f["stop"]]
-                    mine = (f["key"] & (1 << 64) - 1, doc, row, start + off, off, windows, len(part), part)
-                    add((part, off, windows), mine)
+            for i in range(begin, end):
+                start, off, windows = starts[i], offs[i], counts[i]
+                if not hots[i]:
+                    part = data[start : start + windows - 1 + window]
+                    add((part, off, windows), (keys[i], doc, row, start + off, off, windows, len(part), part))
                     size += 1
                     continue
                 for s in range(start, start + windows):
@@ -457,6 +475,7 @@ def _members(batches, window, buckets, held=1 << 17):
                     key = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little")
                     add((part, start + off - s), (key, doc, row, start + off, start + off - s, 1, len(part), part))
                     size += 1
+            begin = end
             if size > held:
                 size = 0
                 yield from flush()
@@ -474,7 +493,7 @@ def _resolve_bucket(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
             heads.append(p[4 : 4 + n])
             texts.append(zstandard.ZstdDecompressor().decompress(p[4 + n :]))
     member = _gathered(heads, _member(window))
-    yield _found_spans(repeated_windows(member, np.frombuffer(b"".join(texts), np.uint8), window))
+    yield _found_spans(_joined(repeated_windows(member, np.frombuffer(b"".join(texts), np.uint8), window)))
 
 
 # ---------------------------------------------------------------- the operator
@@ -491,10 +510,13 @@ def repeated_spans(documents: DataFrame, folder: str, window: int, gram: int, ho
     )
     still_open = found.where(F.col("kind") == _OPEN)
     crowded = still_open.groupBy("key").agg(F.sum("lead").alias("n")).where(F.col("n") > hot).select("key", F.lit(True).alias("hot"))
+    # windows, offset and hotness in one number: a struct takes eight bytes a field
+    hot_bit = F.coalesce("hot", F.lit(False)).cast("long")
+    mark = F.shiftleft(F.col("windows").cast("long"), 32) + F.shiftleft(F.col("off").cast("long"), 1) + hot_bit
     per_text = (
         keyed_join(still_open, crowded, ["key"])
         .groupBy("doc", "row")
-        .agg(F.collect_set(F.struct("key", "start", "stop", "windows", "off", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("found"))
+        .agg(F.collect_set(F.struct("key", "start", mark.alias("mark"))).alias("found"))
     )
     settled = written(
         documents.join(per_text.hint("shuffle_hash"), ["doc", "row"]).select("doc", "row", "text", "found")

@@ -146,7 +146,10 @@ def in_process(rows, tasks, buckets=3, window=100, gram=50):
     members = {}
     for b in batches:
         texts = {d: t for d, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist())}
-        of = [[{**f, "hot": f["key"] % 5 == 0} for f in found if f["doc"] == d] for d in texts]
+        of = [
+            [{"key": f["key"], "start": f["start"], "mark": (f["windows"] << 32) + (f["off"] << 1) + (f["key"] % 5 == 0)} for f in found if f["doc"] == d]
+            for d in texts
+        ]
         joined = pa.record_batch([pa.array(list(texts)), pa.array([d * 7 for d in texts]), pa.array(list(texts.values())), pa.array(of)], ["d", "r", "t", "f"])
         for out in suffix_dedup._members([joined], window, buckets):
             for bucket, kind, packed in zip(*(out.column(i).to_pylist() for i in range(3))):
@@ -171,6 +174,15 @@ def test_every_repeat_comes_from_the_sorted_order(monkeypatch, bits):
         assert in_process(rows, tasks) == brute(rows)
 
 
+def test_joined_spans():
+    rng = random.Random(3)
+    spans = [(rng.randrange(3), rng.randrange(2), s := rng.randrange(60), s + rng.randrange(1, 9)) for _ in range(80)]
+    joined = list(zip(*(x.tolist() for x in suffix_dedup._joined([np.array(x) for x in zip(*spans)]))))
+    places = lambda found: {(d, r, i) for d, r, a, b in found for i in range(a, b)}
+    assert places(joined) == places(spans)
+    assert all(x[:2] != y[:2] or x[3] < y[2] for x, y in zip(joined, joined[1:]))
+
+
 def test_repeated_rows_and_missing_ids(spark, corpus):
     text = random_text(random.Random(1), 40)
     got = suffix_dedup.without_repeats(corpus((None, text), (3, text), (3, text), (4, text + "!"))).collect()
