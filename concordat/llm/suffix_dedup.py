@@ -417,7 +417,7 @@ def repeated_windows(member: list[np.ndarray], raw: np.ndarray, window: int) ->
 # ---------------------------------------------------------------- open occurrences with their text
 
 
-def _members(batches, window, buckets, held=1 << 17):
+def _members(batches, window, buckets, held=1 << 16):
     """Texts with their open occurrences as packed members; single windows of hot anchors.
 
     Members that agree in every byte share the earliest one's entry; the others repeat it.
