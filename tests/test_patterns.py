@@ -68,3 +68,12 @@ def test_a_common_gram_is_passed_over_for_a_rare_one(spark):
     names, patterns = tables(spark, [f"common_{i:04d}_x" for i in range(500)], [f"common_{i:04d}%" for i in range(0, 500, 7)])
     found = matching_pairs(names.select("name"), patterns.select("pattern"))
     assert found.count() == len(range(0, 500, 7))
+
+
+def test_no_side_is_broadcast_by_the_size_of_its_files(spark, tmp_path):
+    """Postings are many times the file of their names, which is what Spark estimates them by."""
+    names, patterns = tables(spark, [f"name_{i:06d}" for i in range(200)], [f"%{i:04d}" for i in range(20)])
+    names.write.parquet(f"{tmp_path}/names")
+    found = match_patterns(spark.read.parquet(f"{tmp_path}/names"), patterns)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 20
