@@ -53,7 +53,7 @@ def unknown_types(contract: DataFrame, data_type: str = "data_type") -> DataFram
 
 
 def mark_primary_key(
-    inventory: DataFrame, constraints: DataFrame, salts: int = 1
+    inventory: DataFrame, constraints: DataFrame, salts: int = 1, merge: bool = False
 ) -> DataFrame:
     """Adds ``is_primary_key``: the column is in any primary-key constraint of its table."""
     keys = (
@@ -61,7 +61,7 @@ def mark_primary_key(
         .distinct()
         .withColumn("is_primary_key", F.lit(True))
     )
-    return keyed_join(inventory, keys, ["table_name", "column_name"], "left", salts).withColumn(
+    return keyed_join(inventory, keys, ["table_name", "column_name"], "left", salts, merge=merge).withColumn(
         "is_primary_key", F.coalesce(F.col("is_primary_key"), F.lit(False))
     )
 
@@ -73,7 +73,6 @@ def derive_contract(marked: DataFrame, strict_decimals: bool = False) -> DataFra
     ``strict_decimals`` a decimal without fraction digits keeps them as well.
     Unknown nullability counts as NOT_NULL.
     """
-    incomplete = is_empty("column_name") | is_empty("type_name")
     mapped = contract_type("type_name")
     precision, scale = F.col("type_precision"), F.col("type_scale")
     if strict_decimals:
@@ -85,9 +84,6 @@ def derive_contract(marked: DataFrame, strict_decimals: bool = False) -> DataFra
     constraint = F.when(F.col("is_primary_key"), "PRIMARY_KEY").when(
         ~F.coalesce(F.col("nullable"), F.lit(False)), "NOT_NULL"
     )
-    problem = F.when(incomplete, "MISSING_NAME_OR_TYPE").when(
-        mapped.isNull(), F.concat(F.lit("UNKNOWN_TYPE "), F.col("type_name"))
-    )
     return marked.select(
         "table_name",
         "pos",
@@ -98,7 +94,15 @@ def derive_contract(marked: DataFrame, strict_decimals: bool = False) -> DataFra
         F.when(has_digits, precision).alias("precision"),
         F.when(has_digits, scale).alias("scale"),
         comment.alias("description"),
-        problem.alias("problem"),
+        contract_problem().alias("problem"),
+    )
+
+
+def contract_problem() -> Column:
+    """What prevents a contract column of an inventory row; null when nothing does."""
+    incomplete = is_empty("column_name") | is_empty("type_name")
+    return F.when(incomplete, "MISSING_NAME_OR_TYPE").when(
+        contract_type("type_name").isNull(), F.concat(F.lit("UNKNOWN_TYPE "), F.col("type_name"))
     )
 
 
@@ -134,17 +138,29 @@ def update_map(derived: DataFrame, requests: DataFrame, form_prefix: str) -> Dat
     the root of the form parameters in the caller's portal.  Views asked for details
     are left out (see ``update_errors``).
     """
+    usable = usable_requests(derived, requests)
+    rows = keyed_join(derived, usable.select("table_name"), ["table_name"], "left_semi", merge=True)
+    return updates_of(rows, usable, form_prefix)
+
+
+def usable_requests(problems: DataFrame, requests: DataFrame) -> DataFrame:
+    """The requests of tables none of whose columns has a ``problem``, but for the details of views."""
     sound = (
-        derived.groupBy("table_name").agg(F.max(F.col("problem").isNotNull()).alias("__bad"))
+        problems.groupBy("table_name").agg(F.max(F.col("problem").isNotNull()).alias("__bad"))
         .where(~F.col("__bad")).select("table_name")
     )
-    usable = keyed_join(requests.where(_update_error().isNull()), sound, ["table_name"], "left_semi", unique_facts=True)
+    return keyed_join(
+        requests.where(_update_error().isNull()), sound, ["table_name"], "left_semi", unique_facts=True, merge=True
+    )
+
+
+def updates_of(derived: DataFrame, usable: DataFrame, form_prefix: str) -> DataFrame:
+    """The updates of ``update_map`` from the derived rows of usable requests' tables alone."""
     paths = F.array(F.lit(SCHEMA_PATH), F.lit(f"{form_prefix}.schemaDefinition.schemaColumns"))
     item = F.struct(*_JSON_FIELDS.values())
-    schema_updates = keyed_join(
-        derived.select("table_name", "pos", _column_json(item).alias("value_json")),
-        usable.select("table_name"), ["table_name"], "left_semi",
-    ).select("table_name", F.explode(paths).alias("path"), "pos", "value_json")
+    schema_updates = derived.select("table_name", "pos", _column_json(item).alias("value_json")).select(
+        "table_name", F.explode(paths).alias("path"), "pos", "value_json"
+    )
     details = F.array(
         *[
             record(path=F.lit(f"{prefix}.{key}"), value_json=_json_text(F.col(source)))

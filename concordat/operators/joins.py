@@ -39,6 +39,7 @@ def keyed_join(
     how: str = "left",
     salts: int = 1,
     unique_facts: bool = False,
+    merge: bool = False,
 ) -> DataFrame:
     """Join ``facts`` with ``directory``, which has at most one row per key.
 
@@ -49,8 +50,12 @@ def keyed_join(
     row per key as well, so that no key can be hot and both sides may be used as
     they lie.  ``salts`` above 1 spreads the rows of each key over so many
     partitions without adaptive execution, repeating every directory row as often.
+    ``merge`` is for directories that grow with the facts: they are never broadcast, not even
+    while their shuffle files, many times smaller than their rows, are under the threshold.
     """
     on = list(on)
+    if merge:
+        directory = directory.hint("merge")
     if unique_facts:
         return facts.join(directory, on, how)
     if salts > 1:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from concordat.functions.names import col, is_empty, iso_millis_utc, record
 from concordat.operators.contract import (
     as_problem,
+    contract_problem,
     derive_contract,
     mark_primary_key,
-    update_map,
+    updates_of,
+    usable_requests,
 )
 from concordat.operators.joins import keyed_join
 from concordat.operators.lookup import unique_lookup
@@ -38,10 +40,11 @@ def reverse_provision_plan(
     salts: int = 1,
 ) -> DataFrame:
     """Descriptor updates of every requested table whose columns all have a contract type."""
-    wanted = requests.select("table_name").distinct()
-    relevant = keyed_join(inventory, wanted, ["table_name"], "left_semi", salts)
-    derived = derive_contract(mark_primary_key(relevant, constraints, salts))
-    return update_map(derived, requests, form_prefix)
+    usable = usable_requests(inventory.select("table_name", contract_problem().alias("problem")), requests)
+    # columns of other tables are gone before the keys are marked, and texts are made after all shuffles
+    relevant = keyed_join(inventory, usable.select("table_name"), ["table_name"], "left_semi", salts, merge=True)
+    derived = derive_contract(mark_primary_key(relevant, constraints, salts, merge=True))
+    return updates_of(derived, usable, form_prefix)
 
 
 # Where a workflow's own part and its captured references go in a descriptor.

@@ -180,3 +180,11 @@ def test_inventory_reads_types_from_the_schema(spark):
     assert rows(column_inventory(spark, {"t": df}), "column_name", "type_name", "type_scale") == [
         ("a", "ARRAY<INT>", None), ("d", "DECIMAL(10,4)", 4), ("i", "INTERVAL DAY", None), ("n", "VOID", None),
     ]
+
+
+def test_update_map_broadcasts_nothing_that_grows_with_the_tables(spark):
+    """Names are compressed in shuffle files to a fraction of the rows that a broadcast holds."""
+    inv, constraints, requests = plan_inputs(spark, bad=False)
+    plan = reverse_provision_plan(inv, constraints, requests, "form")
+    assert plan.count() > 0
+    assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()

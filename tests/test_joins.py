@@ -60,3 +60,12 @@ def test_first_row_per_key_breaks_ties_by_value(spark):
     for parts in (1, 3):
         got = one_row_per_key(df.repartition(parts), {"key": F.col("key")}, ["v"], ["seq"])
         assert rows(got) == [("a", "y"), ("b", "w")]
+
+
+def test_a_directory_that_grows_is_not_broadcast_by_the_size_of_its_files(spark):
+    facts = spark.createDataFrame([(i, i % 5) for i in range(20)], "id int, k int")
+    directory = spark.createDataFrame([(i, str(i)) for i in range(5)], "k int, v string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        joined = keyed_join(facts, directory, ["k"], how, merge=True)
+        assert joined.count() == (0 if how == "left_anti" else 20)
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
