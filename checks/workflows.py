@@ -181,7 +181,7 @@ _CAPTURED = """captured AS (SELECT t.*, name, (t.ref_type = 'job' AND coalesce(n
 
 
 def _judged_workflows(spark, sf_dir):
-    captured = w.capture_references(derived(spark, sf_dir, "tasks"), derived(spark, sf_dir, "source_directory"))
+    captured = w.capture_references(derived(spark, sf_dir, "tasks"), derived(spark, sf_dir, "source_directory"), merge=True)
     jobs = derived(spark, sf_dir, "workflow_jobs")
     principals = derived(spark, sf_dir, "service_principals")
     return judge_workflow_requests(derived(spark, sf_dir, "workflow_requests"), jobs, captured, principals), jobs, captured

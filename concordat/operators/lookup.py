@@ -44,6 +44,7 @@ def unique_lookup(
     existing_id: str = "id",
     empty_id_is_error: bool = True,
     salts: int = 1,
+    merge: bool = False,
 ) -> DataFrame:
     """Resolve each requested name that must exist exactly once.
 
@@ -52,7 +53,7 @@ def unique_lookup(
     found = _matches_per_name(existing, existing_name, existing_id).withColumnRenamed(
         existing_name, name
     )
-    joined = keyed_join(requests, found, [name], "left", salts)
+    joined = keyed_join(requests, found, [name], "left", salts, merge=merge)
     count = F.coalesce(F.col("match_count"), F.lit(0))
     no_id = is_empty(F.col("id").cast("string")) if empty_id_is_error else F.lit(False)
     verdict = (

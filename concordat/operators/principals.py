@@ -132,6 +132,7 @@ def run_as_guard(
     service_principals: DataFrame,
     order: Sequence[str | Column],
     salts: int = 1,
+    merge: bool = False,
 ) -> DataFrame:
     """Verdict on definitions whose ``run_as`` must still be ``expected_run_as``.
 
@@ -147,7 +148,7 @@ def run_as_guard(
         order,
     )
     keyed = definitions.withColumn("__application", trim_casefold(F.col("run_as")))
-    resolved = keyed_join(keyed, directory, ["__application"], "left", salts)
+    resolved = keyed_join(keyed, directory, ["__application"], "left", salts, merge=merge)
     display = F.col("__display")
     verdict = (
         F.when(is_empty("expected_run_as") | is_blank("run_as"), "OK")

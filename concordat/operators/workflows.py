@@ -55,7 +55,9 @@ def explode_tasks(jobs: DataFrame, tasks: str = "tasks") -> DataFrame:
     )
 
 
-def capture_references(tasks: DataFrame, directory: DataFrame, salts: int = 1) -> DataFrame:
+def capture_references(
+    tasks: DataFrame, directory: DataFrame, salts: int = 1, merge: bool = False
+) -> DataFrame:
     """The name behind each task's reference; tasks without a reference are dropped.
 
     Pipelines and jobs are named in ``referenced_name``, warehouses and clusters
@@ -69,7 +71,7 @@ def capture_references(tasks: DataFrame, directory: DataFrame, salts: int = 1) -
         ["__name", "__found"],
         ["__name"],
     )
-    joined = keyed_join(referring, names, ["ref_type", "ref_id"], "left", salts)
+    joined = keyed_join(referring, names, ["ref_type", "ref_id"], "left", salts, merge=merge)
     is_task = F.col("ref_type").isin(UNIQUE_TYPES)
     error = (
         F.when(is_empty(F.col("ref_id").cast("string")), "REFERENCE_WITHOUT_ID")

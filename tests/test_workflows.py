@@ -234,3 +234,20 @@ def test_updates_of_workflows(spark):
     assert values[3, "workflowTasksInfoList", None] == "[]" and values[3, "settings", None] == "{}"
     assert values[3, "created_time", None] == values[1, "creator_user_name", None] == "null"
     assert values[2, "updatedDate", None] == '"2024-01-02T03:04:05.006Z"' and values[2, "name", None] == '"IGNORED"'
+
+
+def test_workflow_updates_broadcast_nothing_that_grows_with_the_jobs(spark):
+    from pyspark.sql import functions as F
+
+    from concordat.plans.reverse_provision import judge_workflow_requests, workflow_updates
+
+    jobs = spark.createDataFrame([(1, "a", "app", 5, "me", "{}")], "job_id bigint, name string, run_as string, created_time bigint, creator_user_name string, settings string")
+    tasks = spark.createDataFrame([(1, 0, "t0", "pipeline", "p")], "job_id bigint, pos int, task_key string, ref_type string, ref_id string")
+    names = spark.createDataFrame([("pipeline", "p", "P")], "ref_type string, id string, name string")
+    principals = spark.createDataFrame([("app", "Runner", 1)], "application_id string, display_name string, seq int")
+    requests = spark.createDataFrame([(1, "a", "runner")], "request_id int, name string, expected_run_as string")
+    captured = w.capture_references(tasks, names, merge=True)
+    judged = judge_workflow_requests(requests, jobs, captured, principals)
+    updates = workflow_updates(judged, jobs, captured, "form", "template", F.lit("2024-01-02").cast("timestamp"))
+    assert updates.count() == 8
+    assert "Broadcast" not in updates._jdf.queryExecution().executedPlan().toString()
