@@ -220,12 +220,15 @@ def write_tokens(
     """
     spark = documents.sparkSession
     n = 2 * partitions(spark)
+    counted = pa.map_(pa.int64(), pa.int64())
     out = pa.schema([
         ("nth", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("ids", pa.binary()), ("width", pa.int32()),
+        ("counts", counted),
     ])
 
     def work(batches):
-        nth = 0
+        """A row per document, then one without number that counts the ids of all."""
+        nth, total = 0, np.zeros(0, np.int64)
         for b in by_size(batches, 2):
             found = encoded(texts(b.column(2)), tokenizer, end_id)
             data, width = [], []
@@ -233,28 +236,25 @@ def write_tokens(
                 short = not len(ids) or int(ids.max()) < 1 << 16
                 data.append(ids.astype("<u2" if short else "<u4").tobytes())
                 width.append(2 if short else 4)
-            yield batch(out, np.arange(nth, nth + b.num_rows), b.column(0), b.column(1), data, width)
+            here = np.bincount(np.concatenate(found), minlength=len(total))
+            here[: len(total)] += total
+            total = here
+            yield batch(
+                out, np.arange(nth, nth + b.num_rows), b.column(0), b.column(1), data, width, pa.nulls(b.num_rows, counted)
+            )
             nth += b.num_rows
+        seen = np.flatnonzero(total)
+        yield batch(out, [None], [None], [None], [None], [None], pa.MapArray.from_arrays([0, len(seen)], seen, total[seen]))
 
     ids = written(
         documents.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row"), F.col("text").cast("string"))
         .repartitionByRange(n, "doc", "row").sortWithinPartitions("doc", "row")
-        .mapInArrow(work, "nth long, doc long, row long, ids binary, width int")
-        .select(F.spark_partition_id().alias("part"), "nth", "doc", "row", "ids", "width"),
+        .mapInArrow(work, "nth long, doc long, row long, ids binary, width int, counts map<long, long>")
+        .select(F.spark_partition_id().alias("part"), "nth", "doc", "row", "ids", "width", "counts"),
         folder, "ids",
     )
 
-    def counted(batches):
-        total = np.zeros(0, np.int64)
-        for b in batches:
-            for data, width in zip(b.column(0), b.column(1).to_pylist()):
-                x = np.bincount(np.frombuffer(data.as_buffer(), "<u4" if width == 4 else "<u2"), minlength=len(total))
-                x[: len(total)] += total
-                total = x
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
-
-    counts_of = ids.select("ids", "width").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts_of = ids.select(F.explode("counts").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([r["id"] for r in counts_of], default=-1) + 1, np.int64)
     for r in counts_of:
         counts[r["id"]] = r["n"]
@@ -263,7 +263,7 @@ def write_tokens(
     lengths = code_lengths(counts, limit)
     target = made_folder(spark, f"{folder}/files")
     files = written(
-        ids.mapInArrow(
+        ids.where("nth IS NOT NULL").drop("counts").mapInArrow(
             lambda it: _write_files(it, target, lengths, limit, block_tokens, file_bytes),
             "file string, part int, nth long, tokens long",
         ),

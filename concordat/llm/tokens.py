@@ -2,9 +2,10 @@
 
 Meant for word tokenizers that drop white space, never let a piece cross it and mark the last
 piece of each word (``word_bpe_49k.json``): the ids of a text are those of its words in turn.
-Words are cut at ASCII white space, and before a full stop or comma that ends one, where such
-tokenizers always cut.  They are found and told apart by numpy for a batch of texts at once; a
-worker keeps the ids of up to ``_WORDS`` words and asks the library for the others in bulk.
+Words are cut at ASCII white space, and between a letter and an ASCII mark other than the
+apostrophe, where such tokenizers always cut.  They are found and told apart by numpy for a batch
+of texts at once; a worker keeps the ids of some ``_WORDS`` words, those that came again for
+longer, and asks the library for the others in bulk.
 Texts with the marks of special tokens go to the library whole.
 """
 
@@ -23,14 +24,19 @@ from concordat.llm.common import holding
 
 _WORDS = 400_000
 _SPECIAL = "<|"
-# Words with as many parts as they have matches here: letters that stay single letters in lower case.
-_PLAIN = re.compile("[a-zß-öø-ÿ]+|[.,]+")
+# Words of one part: letters that stay single letters in lower case, or ASCII marks but the apostrophe.
+_PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
+# Second bytes of U+00C0 to U+00FF, without the signs of multiplication and division.
+_SECOND = np.zeros(256, bool)
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_STOP = np.zeros(256, bool)
-_STOP[[44, 46]] = True
+_MARK = np.zeros(256, bool)
+_MARK[33:127] = True
+_MARK[[39, *range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -45,6 +51,17 @@ class WordCache:
         self._place = np.empty(0, np.int32)  # where their ids begin is at this place of _start
         self._start = np.zeros(1, np.int64)
         self._ids = np.empty(0, np.uint32)
+        self._again = np.empty(0, bool)  # by place: met more than once since the last _trim
+
+    def _trim(self) -> None:
+        """Forget the words that did not come again, and some of the others if these are too many."""
+        kept = np.flatnonzero(self._again[self._place])[: _WORDS // 2]
+        place = self._place[kept]
+        begin, size = self._start[place], self._start[place + 1] - self._start[place]
+        self._keys, self._ids = self._keys[kept], self._ids[_ranges(begin, size)]
+        self._place = np.arange(len(kept), dtype=np.int32)
+        self._start = np.concatenate([[0], np.cumsum(size)])
+        self._again = np.zeros(len(kept), bool)
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in turn and how many each has."""
@@ -53,29 +70,31 @@ class WordCache:
     def _of_ranges(self, joined: bytes, begin: np.ndarray, end: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         """Ids of the words in ``joined[begin:end]``, cut into texts at ``bounds``."""
         if len(self._keys) > _WORDS:
-            self._clear()
+            self._trim()
         base, raw = hashing.BASES[0], np.frombuffer(joined, np.uint8)
         key = hashing.of_ranges(hashing.prefix(raw.astype(np.uint64) + np.uint64(1), base), begin, end, base)
-        distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        distinct, first, inverse, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         at = np.searchsorted(self._keys, distinct)
         known = np.zeros(len(distinct), bool)
+        new = np.arange(len(distinct))
         if len(self._keys):
-            at = np.minimum(at, len(self._keys) - 1)
-            known = self._keys[at] == distinct
-            at = np.where(known, self._place[at], -1).astype(np.int64)
-        new = np.flatnonzero(~known)
+            near = np.minimum(at, len(self._keys) - 1)
+            known = self._keys[near] == distinct
+            new = np.flatnonzero(~known)
+        place = np.empty(len(distinct), np.int64)
+        place[known] = self._place[at[known]]
+        self._again[place[known]] = True
         if len(new):
             words = [joined[a:b].decode() for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist())]
             ids, sizes = self._words(words)
             n = len(self._keys)
-            at[new] = np.arange(n, n + len(new))
-            keys = np.concatenate([self._keys, distinct[new]])
-            order = np.argsort(keys, kind="stable")
-            self._keys = keys[order]
-            self._place = np.concatenate([self._place, at[new].astype(np.int32)])[order]
+            place[new] = np.arange(n, n + len(new))
+            self._keys = np.insert(self._keys, at[new], distinct[new])
+            self._place = np.insert(self._place, at[new], place[new])
             self._start = np.concatenate([self._start, self._start[-1] + np.cumsum(sizes)])
             self._ids = np.concatenate([self._ids, ids])
-        word = at[inverse]
+            self._again = np.concatenate([self._again, times[new] > 1])
+        word = place[inverse]
         size = self._start[word + 1] - self._start[word]
         ids = self._ids[_ranges(self._start[word], size)]
         ends = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(begin, bounds)]
@@ -98,7 +117,7 @@ class Encoder(WordCache):
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in found]
 
-    def _words(self, words: list[str], together: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, words: list[str], together: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in turn and how many each has."""
         plain = np.array([bool(_PLAIN.fullmatch(w)) for w in words], bool)
         sizes = np.zeros(len(words), np.int64)
@@ -144,11 +163,15 @@ class Encoder(WordCache):
         return out
 
     def _encode(self, joined: bytes, raw: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-        space = _SPACE[raw]
-        after = np.append(space[1:], True)
-        start = ~space & np.insert(space[:-1], 0, True)
-        start[1:] |= _STOP[raw[1:]] & _LETTER[raw[:-1]] & after[1:]
-        stop = ~space & (after | np.append(start[1:], True))
+        space, mark, letter = _SPACE[raw], _MARK[raw], _LETTER[raw]
+        wide = np.flatnonzero(raw[:-1] == 0xC3)
+        wide = wide[_SECOND[raw[wide + 1]]]
+        opens, closes = letter.copy(), letter  # first and last bytes of letters
+        opens[wide], closes[wide + 1] = True, True
+        start = ~space
+        start[1:] &= space[:-1] | (closes[:-1] & mark[1:]) | (mark[:-1] & opens[1:])
+        stop = ~space
+        stop[:-1] &= space[1:] | start[1:]
         begin, end = np.flatnonzero(start), np.flatnonzero(stop) + 1
         return self._of_ranges(joined, begin, end, bounds)
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from concordat.llm import packing, token_files
+from concordat.llm import packing, token_files, tokens
 from concordat.llm.queries import tokenizer
 from concordat.llm.sentencepiece_search import model, with_pieces
 from concordat.llm.tokens import encoded
@@ -30,6 +30,47 @@ def test_ids_are_the_library_s(chars):
     assert [x.tolist() for x in encoded(texts, PATH, 1, chars)] == reference_ids(texts)
 
 
+def test_ids_around_marks_are_the_library_s():
+    rng = random.Random(5)
+    kinds = ["aszétßxreldmvÉÀ×÷ÿ", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "'", "0129²½ \n\x1c\x85\xa0\u0338\u0301\u20e3日가İıſÅﬁ…–😀\x00\x7fΣ"]
+    texts = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    assert [x.tolist() for x in encoded(texts, PATH, 1)] == reference_ids(texts)
+
+
+def asked_of(encoder, monkeypatch):
+    """The words that the encoder asks the library for from now on."""
+    asked, words = [], encoder._words
+    monkeypatch.setattr(encoder, "_words", lambda w: asked.extend(w) or words(w))
+    return asked
+
+
+def test_a_word_is_asked_for_once_whatever_marks_follow(monkeypatch):
+    encoder = tokens.Encoder(PATH)
+    asked = asked_of(encoder, monkeypatch)
+    encoder.encode(["café café, (café) café.&&& café... straße-café x/y é's"])
+    assert sorted(asked) == sorted(["café", ",", "(", ")", ".&&&", "...", "straße", "-", "x", "/", "y", "é's"])
+
+
+def test_words_that_come_again_stay_known(monkeypatch):
+    monkeypatch.setattr(tokens, "_WORDS", 100)
+    encoder = tokens.Encoder(PATH)
+    asked = asked_of(encoder, monkeypatch)
+    texts = ["often usual " + " ".join("w" + chr(97 + i) + chr(97 + j) + chr(97 + k) for j in range(6) for k in range(6)) for i in range(26)]
+    for text in texts:
+        assert [*encoder.encode([text])[0].tolist(), 1] == reference_ids([text])[0]
+        assert len(encoder._keys) <= 100 + 38
+    assert asked.count("often") == asked.count("usual") == 1
+
+
+def test_many_words_that_come_again_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "_WORDS", 100)
+    encoder = tokens.Encoder(PATH)
+    text = " ".join("w" + chr(97 + i) + chr(97 + j) for i in range(26) for j in range(8))
+    for _ in range(4):
+        assert [*encoder.encode([text])[0].tolist(), 1] == reference_ids([text])[0]
+        assert len(encoder._keys) <= 208
+
+
 def test_patterns_hold_every_piece():
     rng = random.Random(3)
     for counts in ({}, {7: 1}, {2048: 3}, {1: 5000}, {rng.randrange(1, 2049): rng.randrange(1, 400) for _ in range(300)}):
@@ -96,6 +137,21 @@ def test_token_files(spark, corpus, options):
     assert token_files.through_files(corpus(), PATH).count() == 0
 
 
+def test_ids_are_counted_as_they_are_written(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "drop", lambda *_: None)
+    token_files.write_tokens(corpus(*enumerate(TEXTS), (None, "no id")), PATH, str(tmp_path))
+    wanted = {}
+    for ids in reference_ids([*TEXTS, "no id"]):
+        for i in ids:
+            wanted[i] = wanted.get(i, 0) + 1
+    rows = spark.read.parquet(f"{tmp_path}/ids").where("nth IS NULL").collect()
+    found = {}
+    for r in rows:
+        for i, n in r["counts"].items():
+            found[i] = found.get(i, 0) + n
+    assert found == wanted
+
+
 def best_score(m, text):
     """The best sum of scores by plain dynamic programming over all pieces."""
     score = {p: s for p, s in zip(m.pieces, m.scores)}
