@@ -77,3 +77,37 @@ def test_no_side_is_broadcast_by_the_size_of_its_files(spark, tmp_path):
     found = match_patterns(spark.read.parquet(f"{tmp_path}/names"), patterns)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 20
+
+
+@pytest.mark.parametrize("tile", [1, 3, 4096])
+def test_wildcards_alone_match_every_name_of_a_fitting_length(spark, monkeypatch, tile):
+    """In tiles of any size, with rows that come twice, code points beyond 16 bits, and names of no character."""
+    monkeypatch.setattr("concordat.operators.patterns._TILE", tile)
+    names = ["", None, "a", "é", "ab", "ab", "\U0001f600", "x%", "a\nb", "abcd", "\u0002", "a\u0003b"]
+    patterns = ["%", "_", "%_", "_%_", "__", "%%", "", "a%", "%b", "_____", "%\u0002%", "_\u0003_", "\\%", None, "a\\b", "%_", "_"]
+    found = rows(match_patterns(*tables(spark, names, patterns), wildcards=True))
+    judged = [(i, p) for i, p in enumerate(patterns) if p is not None and p != "a\\b"]
+    expected = [(i, p, j, n) for i, p in judged for j, n in enumerate(names) if n is not None and as_regex(p).fullmatch(n)]
+    assert found == sorted(expected, key=repr)
+    table = tables(spark, names, patterns)
+    pairs = matching_pairs(table[0].select("name"), table[1].select("pattern"))
+    assert rows(pairs, "pattern", "name") == sorted({(p, n) for _, p, _, n in expected}, key=repr)
+    alike = match_patterns(table[0].select("name"), table[1].select("pattern"), wildcards=True)  # rows without a number
+    assert rows(alike, "pattern", "name") == sorted([(p, n) for _, p, _, n in expected], key=repr)
+
+
+def test_wildcards_alone_with_no_rows(spark):
+    names, patterns = tables(spark, ["a"], ["%"])
+    for some, others in ((names.limit(0), patterns), (names, patterns.limit(0)), (names.where("name = 'b'"), patterns)):
+        assert match_patterns(some, others, wildcards=True).count() == 0
+
+
+def test_wildcards_alone_are_dealt_over_tiles(spark, conf, monkeypatch):
+    """Pairs of one pattern come from many tasks, though the rows that meet are few and small."""
+    monkeypatch.setattr("concordat.operators.patterns._TILE", 10)
+    conf(spark__sql__shuffle__partitions="16")
+    found = match_patterns(*tables(spark, [f"name_{i:03d}" for i in range(100)], ["%_"] * 80), wildcards=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Broadcast" not in plan
+    sizes = found.rdd.glom().map(len).filter(bool).collect()
+    assert sum(sizes) == 8000 and len(sizes) >= 8 and max(sizes) < 3000
