@@ -1,12 +1,15 @@
 import random
+from types import SimpleNamespace
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from helpers import rows
 
 from concordat.operators.status import fold_status, orphan_updates
 from concordat.schemas import STATUS_EVENT
 from concordat.session import STREAMING_SETTINGS
-from concordat.streaming.orphans import orphan_stream, orphans_so_far
+from concordat.streaming.orphans import EarlyUpdates, _packed, _table, orphan_stream, orphans_so_far
 from concordat.streaming.projection import publish_stream
 from concordat.streaming.status import fold_status_stream, latest_status, stream_creations, versions_to_read
 
@@ -177,3 +180,87 @@ def test_side_output_of_odd_rows(spark, tmp_path):
         run_orphans(spark, tmp_path)
         assert rows(orphans_so_far(spark, f"{tmp_path}/side", STATUS_EVENT)) == rows(orphan_updates(log(spark, *seen)))
     assert {r["task_id"] for r in orphans_so_far(spark, f"{tmp_path}/side", STATUS_EVENT).collect()} == {None, "t"}
+
+
+def test_side_output_has_a_state_for_a_page_of_tasks(spark, tmp_path):
+    """Calls into Python and rows of state are bounded by the pages, however many the tasks; without this, 900 tasks had 900."""
+    events = [e for t in range(900) for e in ((f"t{t}", 3 * t + 1, "update", "x", "", ""), (f"t{t}", 3 * t + t % 3, "create", None, None, None))]
+    random.Random(5).shuffle(events)
+    for i in range(2):
+        log(spark, *events[i * 900 : (i + 1) * 900]).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(STATUS_EVENT).parquet(f"{tmp_path}/in")
+        query = orphan_stream(stream, f"{tmp_path}/side", f"{tmp_path}/check", shares=2, pages=8)
+        query.awaitTermination()
+        seen = orphan_updates(log(spark, *events[: (i + 1) * 900]))
+        assert rows(orphans_so_far(spark, f"{tmp_path}/side", STATUS_EVENT)) == rows(seen) and seen.count() > 200
+        kept = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+        assert kept and 0 < max(kept) <= 3 * 8 * 2  # a value, a list and its counter for each page and share
+    assert spark.read.parquet(f"{tmp_path}/side").where("taken_back").count() > 100
+
+
+def test_side_output_of_ids_that_are_numbers_and_of_rows_without_seq(spark, tmp_path):
+    numbers = "task_id bigint, seq bigint, op string, status string, result string, info string"
+    batches = [
+        [(1, 5, "update", "x", None, None), (1, None, "update", "y", None, None), (2, None, "create", None, None, None), (2, 3, "update", "z", None, None)],
+        [(1, 4, "create", None, None, None), (None, 1, "update", "a", None, None), (1, None, "update", "b", None, None)],
+        [(2, 2, "create", None, None, None), (3, None, "update", None, None, None), (1, 1, "update", "c", "", "")],
+    ]
+    seen = []
+    for batch in batches:
+        seen += batch
+        spark.createDataFrame(batch, numbers).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(numbers).parquet(f"{tmp_path}/in")
+        orphan_stream(stream, f"{tmp_path}/side", f"{tmp_path}/check", shares=2, pages=2).awaitTermination()
+        log_so_far = spark.createDataFrame(seen, numbers)
+        assert rows(orphans_so_far(spark, f"{tmp_path}/side", log_so_far.schema)) == rows(orphan_updates(log_so_far))
+
+
+SIDE = pa.schema([(f.name, pa.int64() if f.name == "seq" else pa.string()) for f in STATUS_EVENT])
+
+
+class Kept:
+    """A value or a list of a page's state, without a store."""
+
+    def __init__(self):
+        self.held = []
+
+    def get(self):
+        return iter(self.held) if self.is_list else (self.held[0] if self.held else None)
+
+    def update(self, value):
+        self.held = [value]
+
+    def put(self, values):
+        self.held = list(values)
+
+    def appendValue(self, value):
+        self.held.append(value)
+
+    def clear(self):
+        self.held = []
+
+
+def test_side_output_lets_go_of_what_was_written_long_ago():
+    """Neighbours of a page are let go of one by one; what is written again stays as long again."""
+    names = [f.name for f in STATUS_EVENT]
+    update = lambda task, seq: (task, seq, "update", "x", "", "")
+    create = lambda task, seq: (task, seq, "create", None, None, None)
+    steps = [
+        (0, [update("t", 5), update("u", 5), create("v", 1)], [("t", 5, False), ("u", 5, False)]),
+        (60, [update("u", 6), update("v", 9), create("w", 3)], [("u", 6, False)]),
+        # the creation of v and the first updates were written 100 ms ago
+        (100, [create("t", 4), create("u", 4), update("v", 10), update("w", 7)], [("u", 6, True), ("v", 10, False)]),
+        (190, [update("t", 8), update("w", 7), create("v", 2)], [("v", 10, True), ("w", 7, False)]),
+        (200, [update("t", 8), update("v", 8)], [("t", 8, False)]),
+    ]
+    for ttl_ms in (100, None):
+        page = EarlyUpdates(ttl_ms)
+        page._tasks, page._early = Kept(), Kept()
+        page._tasks.is_list, page._early.is_list = False, True
+        for now, events, expected in steps:
+            packed = _packed(pa.table({n: [e[i] for e in events] for i, n in enumerate(names)}, SIDE))
+            timer = SimpleNamespace(getCurrentProcessingTimeInMs=lambda now=now: now)
+            side = [r for out in page.handleInputRows((0, 0), iter([pd.DataFrame({"packed": [packed]})]), timer) for r in _table(out["packed"][0]).to_pylist()]
+            if ttl_ms:
+                assert sorted((r["task_id"], r["seq"], r["taken_back"]) for r in side) == expected, now
+    assert not page._early.held  # without a limit all were taken back
